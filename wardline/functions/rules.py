@@ -61,7 +61,7 @@ DECODED_KEYWORDS = r"(ignore|disregard|override|bypass|jailbreak|DAN|system\s*pr
 # The inline letters of the flags that may be named; any other flag text means no flag.
 _FLAG_LETTERS = {"IGNORECASE": "i", "MULTILINE": "m", "DOTALL": "s"}
 # The only characters outside ASCII that a case-blind match takes for an ASCII letter (s, k, i, i).
-_FOLDING_EXTRAS = ("ſ", "K", "ı", "İ")
+_FOLDING_EXTRAS = ("\u017f", "\u212a", "\u0131", "\u0130")
 
 
 def java_regex(regex: str, flags: str = "0") -> str:
@@ -94,38 +94,47 @@ def base64_payload(text: Column) -> Column:
 
 def _decode_run(run: Column) -> Column:
     padded = F.rpad(run, (F.ceil(F.length(run) / 4) * 4).cast("int"), "=")
-    return F.replace(F.make_valid_utf8(F.unbase64(padded).cast("string")), F.lit("�"), F.lit(""))
+    decoded = F.unbase64(padded).cast("string")
+    # A real U+FFFD is set aside first, so that only those standing for bad bytes are dropped.
+    decoded = F.replace(decoded, F.lit("\ufffd"), F.lit("\x00"))
+    return F.replace(F.make_valid_utf8(decoded), F.lit("\ufffd"), F.lit(""))
 
 
-def rule_hit(rule: Rule, text: Column, lowered: Column) -> Column:
-    """Whether one rule matches anywhere in the text."""
+def rule_hit(rule: Rule, text: Column, lowered: Column, folds: Column) -> Column:
+    """Whether one rule matches anywhere in the text.
+
+    `lowered` is the lower-cased text; `folds` tells that the text holds one of the characters for which
+    a look at ASCII letters alone would not do, so that the hints must not be trusted.
+    """
     hit = F.rlike(text, F.lit(java_regex(rule.regex, rule.flags)))
     if rule.decode_check:
         hit = hit & base64_payload(text)
     if rule.hints:
         hinted = _any_of([F.contains(lowered, F.lit(h)) for h in rule.hints])
-        if rule.flags == "IGNORECASE":
-            hinted = hinted | _any_of([F.contains(text, F.lit(c)) for c in _FOLDING_EXTRAS])
-        hit = hinted & hit
+        hit = (hinted | folds if rule.flags == "IGNORECASE" else hinted) & hit
     return hit
 
 
-def first_match(text: Column, lowered: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
+def first_match(text: Column, lowered: Column, folds: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     """Name of the first rule that matches, else null. Later rules are not evaluated after a hit."""
     chain = None
     for rule in rules:
-        hit = rule_hit(rule, text, lowered)
+        hit = rule_hit(rule, text, lowered, folds)
         chain = F.when(hit, F.lit(rule.name)) if chain is None else chain.when(hit, F.lit(rule.name))
     return F.lit(None).cast("string") if chain is None else chain
 
 
 def match_rules(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """Add `s1_matched` and `pattern`. The lower-cased copy of the text is made once per row."""
-    lowered = "_lowered"
+    lowered, folds = "_lowered", "_folds"
+    text = F.col(text_col)
     return (
-        df.withColumn(lowered, F.lower(text_col))
-        .withColumn("pattern", first_match(F.col(text_col), F.col(lowered), rules))
-        .drop(lowered)
+        df.withColumns({
+            lowered: F.lower(text),
+            folds: _any_of([F.contains(text, F.lit(c)) for c in _FOLDING_EXTRAS]),
+        })
+        .withColumn("pattern", first_match(text, F.col(lowered), F.col(folds), rules))
+        .drop(lowered, folds)
         .withColumn("s1_matched", F.col("pattern").isNotNull())
     )
 

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from wardline import settings
 
-# The characters for which Python's str.isspace() holds.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+# The code points for which Python's str.isspace() holds.
+WHITESPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+              *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
-# The same set as the body of a Java character class.
-WHITESPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+# The same set as the body of a Java character class, under the (?U) flag.
+WHITESPACE_CLASS = r"\s\x1c-\x1f"
 
 
 def strip_text(text: Column | str) -> Column:
@@ -34,7 +33,7 @@ def text_preview(text: Column | str, length: int = settings.PREVIEW_LENGTH) -> C
 def token_set(text: Column | str) -> Column:
     """Distinct lower-cased tokens between white space, in order of first use; blank text gives []."""
     stripped = strip_text(F.lower(_col(text)))
-    tokens = F.array_distinct(F.split(stripped, f"[{WHITESPACE_CLASS}]+"))
+    tokens = F.array_distinct(F.split(stripped, f"(?U)[{WHITESPACE_CLASS}]+"))
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(tokens)
 
 
