@@ -33,7 +33,31 @@ def score_or_zero(score: Column) -> Column:
 
 
 def half_even(value: Column, digits: int) -> Column:
-    return F.bround(value, digits)
+    """Round a double to `digits` decimals as Python's `round` does.
+
+    Python rounds the exact binary value, so 0.00015 (stored slightly below) gives 0.0001, where decimal
+    rounding of the printed digits gives 0.0002. The product with 10^digits is split into its rounded value
+    and its exact error (Dekker's product), which tells on which side of a tie the value lies.
+    """
+    scale = float(10**digits)
+    split = F.lit(134217729.0)  # 2^27 + 1
+    scale_high = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    scale_low = scale - scale_high
+    product = value * F.lit(scale)
+    high = value * split - (value * split - value)
+    low = value - high
+    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    whole = F.floor(product)
+    above = (product - whole - F.lit(0.5)) + error
+    up = F.when(above > 0, 1).when(above < 0, 0).otherwise(F.abs(whole % 2))
+    rounded = (whole + up).cast("double") / F.lit(scale)
+    finite = ~F.isnan(value) & (F.abs(value) < F.lit(1e9))
+    return F.when(finite, rounded).otherwise(value)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, as Python's `format(value, ".4f")` gives."""
+    return F.format_string(f"%.{digits}f", half_even(value, digits))
 
 
 def ratio(top: Column, bottom: Column) -> Column:
