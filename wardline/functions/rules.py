@@ -125,17 +125,21 @@ def first_match(text: Column, lowered: Column, folds: Column, rules: Sequence[Ru
 
 
 def match_rules(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
-    """Add `s1_matched` and `pattern`. The lower-cased copy of the text is made once per row."""
+    """Add `s1_matched` and `pattern`, each rule being evaluated at most once per row.
+
+    The result comes out of a one-element generator: Catalyst moves a filter on a plain column below its
+    projection and so evaluates the column twice, but leaves a filter on generated columns in place.
+    """
     lowered, folds = "_lowered", "_folds"
     text = F.col(text_col)
-    return (
-        df.withColumns({
-            lowered: F.lower(text),
-            folds: _any_of([F.contains(text, F.lit(c)) for c in _FOLDING_EXTRAS]),
-        })
-        .withColumn("pattern", first_match(text, F.col(lowered), F.col(folds), rules))
-        .drop(lowered, folds)
-        .withColumn("s1_matched", F.col("pattern").isNotNull())
+    kept = [F.col(c) for c in df.columns if c not in ("pattern", "s1_matched")]
+    prepared = df.withColumns({
+        lowered: F.lower(text),
+        folds: _any_of([F.contains(text, F.lit(c)) for c in _FOLDING_EXTRAS]),
+    })
+    found = first_match(text, F.col(lowered), F.col(folds), rules)
+    return prepared.select(*kept, F.explode(F.array(found)).alias("pattern")).withColumn(
+        "s1_matched", F.col("pattern").isNotNull()
     )
 
 

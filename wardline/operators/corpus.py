@@ -23,6 +23,9 @@ class SourceSpec:
 
     name: str
     text_col: str
+    id_col: str = "row_id"
+    turn_col: str | None = None
+    split_col: str = "split"
     text_hints: tuple[str, ...] = ()
     label: int | None = None
     label_col: str | None = None
@@ -45,16 +48,16 @@ TRAINING_SOURCES: tuple[SourceSpec, ...] = (
     SourceSpec("wildchat", "content", label=0, conversation_col="conversation", role_col="role", role_value="user",
                toxic_col="toxic", licence="ODC-BY"),
     SourceSpec("oasst1", "text", label=0, role_col="role", role_value="prompter", licence="Apache-2.0"),
-    SourceSpec("neuralchemy", "text", ("text", "prompt", "input"), label_col="label",
+    SourceSpec("neuralchemy", "text", text_hints=("text", "prompt", "input"), label_col="label",
                label_hints=("label", "class", "target"), missing_label=0, positive_words=_WORDS,
                attack_types=("benign", "direct_override"), licence="Apache-2.0"),
-    SourceSpec("advbench", "prompt", ("prompt", "text"), label=1, attack_types=("jailbreak", "jailbreak"),
+    SourceSpec("advbench", "prompt", text_hints=("prompt", "text"), label=1, attack_types=("jailbreak", "jailbreak"),
                licence="MIT"),
-    SourceSpec("tensor_trust", "attack", ("attack", "prompt", "text"), attack_split="attack",
+    SourceSpec("tensor_trust", "attack", text_hints=("attack", "prompt", "text"), attack_split="attack",
                attack_types=("benign", "direct_override"), licence="Apache-2.0"),
 )
-EVAL_SOURCE = SourceSpec("rogue_benchmark", "prompt", ("prompt", "text"), label_col="label", label_hints=("label",),
-                         missing_label=1, positive_words=("1", "injection", "attack", "malicious"),
+EVAL_SOURCE = SourceSpec("rogue_benchmark", "prompt", text_hints=("prompt", "text"), label_col="label",
+                         label_hints=("label",), missing_label=1, positive_words=("1", "injection", "attack", "malicious"),
                          attack_types=("unknown", "unknown"), include_in_training=False, licence="CC-BY-NC-4.0")
 
 
@@ -104,10 +107,9 @@ def filter_toxic_by_labels(df: DataFrame, labels: DataFrame, id_col: str, toxic_
     return df.join(flagged, id_col, "left_anti")
 
 
-def normalise(
-    df: DataFrame, spec: SourceSpec, rank: int, id_col: str = "row_id", split_col: str = "split", turn_col: str | None = None
-) -> DataFrame:
+def normalise(df: DataFrame, spec: SourceSpec, rank: int = 0) -> DataFrame:
     """(row_key, source_rank, text, label, source, attack_type) of one raw source: a projection and filters."""
+    turn_col = spec.turn_col
     if spec.conversation_col and spec.conversation_col in df.columns:
         df, turn_col = user_turns(df, spec.conversation_col, spec.text_col), "turn"
     if spec.toxic_col and spec.toxic_col in df.columns:
@@ -118,7 +120,7 @@ def normalise(
     if spec.label is not None:
         label = F.lit(spec.label)
     elif spec.attack_split:
-        label = F.contains(F.lower(split_col), F.lit(spec.attack_split)).cast("int")
+        label = F.contains(F.lower(spec.split_col), F.lit(spec.attack_split)).cast("int")
     elif label_col is None:
         label = F.lit(spec.missing_label)
     else:
@@ -126,7 +128,7 @@ def normalise(
     benign, positive = spec.attack_types
     return (
         df.select(
-            row_key(F.lit(rank), F.col(id_col), F.col(turn_col) if turn_col else None).alias("row_key"),
+            row_key(F.lit(rank), F.col(spec.id_col), F.col(turn_col) if turn_col else None).alias("row_key"),
             F.lit(rank).alias("source_rank"),
             strip_text(F.col(text_col).cast("string")).alias("text"),
             label.cast("int").alias("label"),
@@ -142,16 +144,10 @@ def reject_unlabelled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("label").isNotNull()), df.where(F.col("label").isNull())
 
 
-def union_sources(
-    frames: dict[str, DataFrame],
-    specs: Sequence[SourceSpec] = TRAINING_SOURCES,
-    id_col: str = "row_id",
-    turn_cols: dict[str, str] | None = None,
-) -> DataFrame:
+def union_sources(frames: dict[str, DataFrame], specs: Sequence[SourceSpec] = TRAINING_SOURCES) -> DataFrame:
     """UNION ALL of the sources meant for training, in the order of `specs`; absent ones add nothing."""
-    turn_cols = turn_cols or {}
     parts = [
-        normalise(frames[s.name], s, rank, id_col, turn_col=turn_cols.get(s.name))
+        normalise(frames[s.name], s, rank)
         for rank, s in enumerate(specs)
         if s.include_in_training and s.name in frames
     ]

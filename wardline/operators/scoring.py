@@ -47,8 +47,6 @@ def batch_scorer(
         for batch in texts:
             yield score(model, batch) if load else score(batch)
 
-    # Plain hints for the decorator: the evaluated ones are what it reads.
-    batches.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     scored = F.pandas_udf(batches, T.DoubleType())
 
     def apply(df: DataFrame) -> DataFrame:

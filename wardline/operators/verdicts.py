@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,3 +115,23 @@ def resolve_verdicts(
         "confidence": F.coalesce("confidence", F.lit(NEUTRAL_CONFIDENCE)),
         "reasoning": F.coalesce("reasoning", F.lit(ERROR_PREFIX + error)),
     })
+
+
+def review_batches(
+    requests: DataFrame, id_col: str, review: Callable[[pd.Series], pd.Series], request_col: str = "request"
+) -> DataFrame:
+    """(id, reply) from an own reviewer that maps a batch of requests to raw replies.
+
+    A batch on which the reviewer fails gets null replies, which `parse_verdicts` reads as reviewer errors.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                replies = review(batch[request_col])
+            except Exception:
+                replies = None
+            yield pd.DataFrame({id_col: batch[id_col], "reply": replies})
+
+    id_type = requests.schema[id_col].dataType.simpleString()
+    return requests.select(id_col, request_col).mapInPandas(run, f"{id_col} {id_type}, reply string")

@@ -41,11 +41,10 @@ def source_registry(
     spark: SparkSession,
     paths: Mapping[str, Mapping[str, str]],
     specs: Sequence[SourceSpec] = TRAINING_SOURCES,
-    id_col: str = "row_id",
 ) -> DataFrame:
     """Training rows of every registered source: `paths` maps source to {split: path}; absent ones are skipped."""
     frames = {name: read_splits(spark, splits) for name, splits in paths.items()}
-    return union_sources({name: df for name, df in frames.items() if df is not None}, specs, id_col)
+    return union_sources({name: df for name, df in frames.items() if df is not None}, specs)
 
 
 def read_eval_sets(spark: SparkSession, paths: Mapping[str, str], choice: str = "all") -> DataFrame:
