@@ -88,7 +88,7 @@ bands AS MATERIALIZED (SELECT doc_id, i // {settings.MINHASH_ROWS} AS band,
 def minhash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bands with the number of their rows: rows sharing a band are candidates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    bands = minhash_bands(docs).select("doc_id", F.explode("bands").alias("band"))
+    bands = minhash_bands(docs, token_set("text")).select("doc_id", F.explode("bands").alias("band"))
     return bands.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 

@@ -6,8 +6,11 @@ import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline import settings
 from wardline.functions.text import token_set
@@ -24,33 +27,47 @@ def permutation_factors(permutations: int = settings.MINHASH_PERMUTATIONS) -> li
     return [(draw(f"a{i}", 1), draw(f"b{i}", 0)) for i in range(permutations)]
 
 
-def minhash_signature(tokens: Column, permutations: int = settings.MINHASH_PERMUTATIONS) -> Column:
-    """One minimum per permutation over the hashed tokens; PRIME for an empty set."""
-    hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % PRIME)
-    factors = F.array(
-        *[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
-          for a, b in permutation_factors(permutations)]
-    )
-    return F.transform(
-        factors,
-        lambda f: F.coalesce(F.array_min(F.transform(hashes, lambda h: (f.a * h + f.b) % PRIME)), F.lit(PRIME)),
-    )
+def token_hashes(tokens: Column) -> Column:
+    """The first 32 bits of each token's MD5, modulo PRIME."""
+    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % PRIME)
+
+
+def minhash_signature(hashes: Column, permutations: int = settings.MINHASH_PERMUTATIONS) -> Column:
+    """One minimum per permutation; PRIME for an empty set.
+
+    Arrow batches and numpy: on 10,000 documents several times faster than the same in SQL expressions, where
+    every permutation of every token is a row or a lambda call.
+    """
+    factors = permutation_factors(permutations)
+
+    def signature(batch: pd.Series) -> pd.Series:
+        a, b = (np.array(column, dtype=np.uint64)[:, None] for column in zip(*factors))
+
+        def minima(values: np.ndarray) -> np.ndarray:
+            least = np.full(permutations, PRIME, dtype=np.uint64)
+            for at in range(0, len(values), 4096):  # bounds memory on long texts
+                part = values[at : at + 4096].astype(np.uint64)
+                np.minimum(least, ((a * part + b) % np.uint64(PRIME)).min(axis=1), out=least)
+            return least.astype(np.int64)
+
+        return batch.map(minima)
+
+    return F.pandas_udf(signature, T.ArrayType(T.LongType()))(hashes)
 
 
 def minhash_bands(
     df: DataFrame,
-    text_col: str = "text",
+    tokens: Column,
     bands: int = settings.MINHASH_BANDS,
     rows: int = settings.MINHASH_ROWS,
 ) -> DataFrame:
-    """Add `bands`: one digest per band of the text's signature. Rows sharing a digest are candidates."""
-    return df.withColumn("_signature", minhash_signature(token_set(text_col), bands * rows)).withColumn(
-        "bands",
-        F.array(*[
-            F.md5(F.concat_ws(",", F.lit(str(i)), F.slice("_signature", i * rows + 1, rows).cast("array<string>")))
-            for i in range(bands)
-        ]),
-    ).drop("_signature")
+    """Add `bands`: one digest per band of the token set's signature. Rows sharing a digest are candidates."""
+    signed = df.withColumn("_signature", minhash_signature(token_hashes(tokens), bands * rows))
+    digests = [
+        F.md5(F.concat_ws(",", F.lit(str(i)), F.slice("_signature", i * rows + 1, rows).cast("array<string>")))
+        for i in range(bands)
+    ]
+    return signed.withColumn("bands", F.array(*digests)).drop("_signature")
 
 
 def minhash_dedup(
@@ -70,11 +87,9 @@ def minhash_dedup(
         df.select(order_column(list(order_cols)).alias("ord"), tokens.alias("tokens"))
         .groupBy(F.sha2(F.concat_ws(" ", "tokens"), 256).alias("set_key"))
         .agg(F.min("ord").alias("ord"), F.first("tokens").alias("tokens"))
-        .select("ord", F.concat_ws(" ", "tokens").alias("text"))
-    )
-    live = written(
-        minhash_bands(sets, "text", bands, rows).select("ord", F.explode("bands").alias("band")), "minhash-bands"
     )
+    banded = minhash_bands(sets.select("ord", "tokens"), F.col("tokens"), bands, rows)
+    live = written(banded.select("ord", F.explode("bands").alias("band")), "minhash-bands")
     kept_rounds = []
     while True:
         first = written(
