@@ -10,7 +10,7 @@ from wardline.catalog.inputs import strip_sql, table
 from wardline.catalog.registry import query
 from wardline.functions.text import token_set
 from wardline.operators.dedup import near_dedup, near_duplicate_pairs
-from wardline.operators.minhash import PRIME, minhash_bands, minhash_dedup, permutation_factors
+from wardline.operators.minhash import PRIME, each_band, minhash_bands, minhash_dedup, permutation_factors
 
 _TOKENS_SQL = f"""
 cleaned AS (SELECT doc_id, lower({strip_sql('text')}) AS cleaned FROM documents),
@@ -88,7 +88,7 @@ bands AS MATERIALIZED (SELECT doc_id, i // {settings.MINHASH_ROWS} AS band,
 def minhash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bands with the number of their rows: rows sharing a band are candidates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    bands = minhash_bands(docs, token_set("text")).select("doc_id", F.explode("bands").alias("band"))
+    bands = minhash_bands(docs, token_set("text")).select("doc_id", each_band().alias("band"))
     return bands.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.text import WHITESPACE
-from wardline.operators.corpus import TRAINING_SOURCES, SourceSpec, EVAL_SOURCE
+from wardline.operators.corpus import EVAL_SOURCE, TRAINING_SOURCES, SourceSpec
+from wardline.sources.readers import spread_if_small
 
 # One sentence per rule, appended to some of the rows because the tables hold no attacks of their own.
 ATTACKS: tuple[str, ...] = (
@@ -40,7 +41,7 @@ def sql_text(value: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_if_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def with_attacks(id_col: str, text: Column | None = None) -> Column:

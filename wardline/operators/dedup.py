@@ -33,6 +33,7 @@ HOT_LIMIT = 256
 PAIR_KEY_TOKENS = 32
 # Buckets of the token frequency sketch: bounds what is broadcast, whatever the vocabulary.
 SKETCH_BUCKETS = 1 << 18
+_HASH_BITS = 42
 
 
 def near_dedup(
@@ -80,7 +81,7 @@ def near_duplicate_pairs(
 
 
 def _ordered_rows(df: DataFrame, text_col: str, order_cols: Sequence[str]) -> DataFrame:
-    tokens = F.array_sort(token_set(text_col))
+    tokens = F.sort_array(token_set(text_col))
     return df.select(order_column(list(order_cols)).alias("ord"), tokens.alias("tokens")).withColumn(
         "set_key", F.sha2(F.concat_ws(" ", "tokens"), 256)
     )
@@ -95,34 +96,39 @@ def _keep_only(df: DataFrame, kept: DataFrame, order_cols: Sequence[str]) -> Dat
 
 
 def _distinct_sets(rows: DataFrame) -> DataFrame:
-    """One written row per distinct token set: earliest row, number of copies, tokens rare first.
+    """One written row per distinct token set: earliest row, number of copies, tokens, ranks rare first.
 
-    The frequency sketch counts hashed tokens in a fixed number of buckets. Any order is correct as long as
-    it is the same everywhere; a good one only makes prefixes selective. The table is grouped by set key
-    throughout, so ordering the tokens needs no second shuffle.
+    A rank holds the token's frequency above bits of its hash, so that sorting ranks puts rare tokens first in
+    an order that is the same everywhere. Frequencies come from a sketch that counts hashed tokens in a fixed
+    number of buckets; they only make prefixes selective. Tokens that share a rank count as one there, which
+    can add candidates but lose none. The table stays grouped by set key, so ranking needs no second shuffle.
+    Outer explodes throughout: for inner ones Catalyst adds a size filter below, computing the array twice.
     """
     bucket = F.pmod(F.xxhash64("token"), F.lit(SKETCH_BUCKETS)).cast("int").alias("bucket")
     sketch = (
-        rows.select(F.explode("tokens").alias("token")).groupBy(bucket).agg(F.count("*").alias("frequency"))
+        rows.select(F.explode_outer("tokens").alias("token")).groupBy(bucket).agg(F.count("*").alias("frequency"))
     )
     sets = rows.groupBy("set_key").agg(
         F.min("ord").alias("ord"), F.count("*").alias("copies"), F.first("tokens").alias("tokens")
     )
+    low_bits = (1 << _HASH_BITS) - 1
+    frequency = F.least("frequency", F.lit((1 << (62 - _HASH_BITS)) - 1))
+    rank = F.shiftleft(frequency, _HASH_BITS).bitwiseOR(F.xxhash64("token").bitwiseAND(F.lit(low_bits)))
     ranked = (
         sets.select("set_key", "ord", "copies", F.explode_outer("tokens").alias("token"))
         .withColumn("bucket", bucket)
         .join(F.broadcast(sketch), "bucket", "left")
+        .select("set_key", "ord", "copies", "token", F.when(F.col("token").isNotNull(), rank).alias("rank"))
         .groupBy("set_key")
         .agg(
             F.first("ord").alias("ord"),
             F.first("copies").alias("copies"),
-            F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("frequency", "token")))).alias("s"),
+            F.count("token").cast("int").alias("n"),
+            F.collect_list("token").alias("tokens"),
+            F.sort_array(F.collect_list("rank")).alias("ranks"),
         )
     )
-    tokens = F.col("s.token")
-    return written(
-        ranked.select("set_key", "ord", "copies", F.size("s").alias("n"), tokens.alias("tokens")), "dedup-sets"
-    )
+    return written(ranked, "dedup-sets")
 
 
 def _keys(percent: int) -> Column:
@@ -137,10 +143,10 @@ def _keys(percent: int) -> Column:
     required = F.floor((n * percent + 99) / 100).cast("int")
     prefix = n - required
     singles = F.transform(
-        F.slice("tokens", F.lit(1), F.least(n, prefix + 1)),
-        lambda token, i: F.struct(F.xxhash64(F.lit(1), token).alias("key"), (n - i).alias("bound")),
+        F.slice("ranks", F.lit(1), F.least(n, prefix + 1)),
+        lambda rank, i: F.struct(F.xxhash64(F.lit(1), rank).alias("key"), (n - i).alias("bound")),
     )
-    head = F.slice("tokens", F.lit(1), F.least(n, prefix + 2))
+    head = F.slice("ranks", F.lit(1), F.least(n, prefix + 2))
     pairs = F.flatten(
         F.transform(
             head,
@@ -160,7 +166,8 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     """(key, ord, n, bound) of every set large enough to be close to a different one."""
     return (
         sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
-        .select("ord", "n", F.explode(_keys(percent)).alias("k"))
+        .select("ord", "n", F.explode_outer(_keys(percent)).alias("k"))
+        .where(F.col("k").isNotNull())
         .select("k.key", "ord", "n", "k.bound")
     )
 

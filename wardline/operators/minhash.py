@@ -70,6 +70,12 @@ def minhash_bands(
     return signed.withColumn("bands", F.array(*digests)).drop("_signature")
 
 
+def each_band() -> Column:
+    """Explodes `bands`. The outer form: for the inner one Catalyst adds a size filter below the signature
+    and so computes every signature twice."""
+    return F.explode_outer("bands")
+
+
 def minhash_dedup(
     df: DataFrame,
     text_col: str = "text",
@@ -82,14 +88,14 @@ def minhash_dedup(
     A band is an equality class, so at most one of its rows is kept and no pairs are formed: a round keeps
     the rows that come first in all their bands (a partial aggregation), then drops the others of those bands.
     """
-    tokens = F.array_sort(token_set(text_col))
+    tokens = F.sort_array(token_set(text_col))
     sets = (
         df.select(order_column(list(order_cols)).alias("ord"), tokens.alias("tokens"))
         .groupBy(F.sha2(F.concat_ws(" ", "tokens"), 256).alias("set_key"))
         .agg(F.min("ord").alias("ord"), F.first("tokens").alias("tokens"))
     )
     banded = minhash_bands(sets.select("ord", "tokens"), F.col("tokens"), bands, rows)
-    live = written(banded.select("ord", F.explode("bands").alias("band")), "minhash-bands")
+    live = written(banded.select("ord", each_band().alias("band")), "minhash-bands")
     kept_rounds = []
     while True:
         first = written(
