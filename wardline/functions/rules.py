@@ -59,19 +59,23 @@ BASE64_RUN = r"[A-Za-z0-9+/]{40,}={0,2}"
 DECODED_KEYWORDS = r"(ignore|disregard|override|bypass|jailbreak|DAN|system\s*prompt|new\s+instructions)"
 
 # The inline letters of the flags that may be named; any other flag text means no flag.
+_WORD = r"\p{L}\p{N}_"
 _FLAG_LETTERS = {"IGNORECASE": "i", "MULTILINE": "m", "DOTALL": "s"}
 # The only characters outside ASCII that a case-blind match takes for an ASCII letter (s, k, i, i).
 _FOLDING_EXTRAS = ("\u017f", "\u212a", "\u0131", "\u0130")
 
 
 def java_regex(regex: str, flags: str = "0") -> str:
-    """The same pattern in Java's dialect: Unicode classes, and Python's set of white space."""
+    """The same pattern in Java's dialect, with Python's notion of white space, word characters and edges."""
     out, in_class, i = [], False, 0
     while i < len(regex):
         step = 2 if regex[i] == "\\" else 1
         token = regex[i : i + step]
-        if token == r"\s":
-            token = WHITESPACE_CLASS if in_class else f"[{WHITESPACE_CLASS}]"
+        if token in (r"\s", r"\w"):
+            body = WHITESPACE_CLASS if token == r"\s" else _WORD
+            token = body if in_class else f"[{body}]"
+        elif token == r"\b" and not in_class:
+            token = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
         elif token == "[" and not in_class:
             in_class = True
         elif token == "]" and in_class:

@@ -240,13 +240,7 @@ def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -
     while True:
         live, ready = near, open_sets
         if any_hot:
-            earliest = Window.partitionBy("key").orderBy("ord")
-            pivots = written(
-                hot.join(open_sets, "ord", "left_semi")
-                .withColumn("place", F.row_number().over(earliest))
-                .where(F.col("place") <= hot_limit),
-                "dedup-pivots",
-            )
+            pivots = written(_earliest(hot.join(open_sets, "ord", "left_semi"), hot_limit), "dedup-pivots")
             seen = pivots.groupBy("ord").agg(F.count("*").alias("seen"))
             ready = open_sets.join(seen, "ord", "left").where(F.coalesce("seen", F.lit(0)) == F.col("hot_keys"))
             live = near.unionByName(_verify(_pairs_within_keys(pivots, percent), one_part, sets, percent))
@@ -286,6 +280,12 @@ def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -
     return kept, best.join(kept, "ord", "left_anti").select("ord", "m.kept", "m.shared", "m.total")
 
 
+def _earliest(postings: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` sets of every key. Spark applies the limit in each task before it shuffles."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("ord"))
+    return postings.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+
+
 def _match_hot(kept_now: DataFrame, hot: DataFrame, targets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Close pairs of a newly kept set and any later target under a hot key.
 

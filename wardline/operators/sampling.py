@@ -64,7 +64,8 @@ def sample_per_stratum(
 def sample_k(df: DataFrame, k: int, seed: int = settings.SEED, row_key: str = "row_key") -> DataFrame:
     """Exactly min(k, all) rows, without replacement; the same rows for the same seed."""
     quotas = df.sparkSession.range(1).select(F.lit(0).alias("stratum"), F.lit(k).cast("bigint").alias("quota"))
-    return sample_per_stratum(df, F.lit(0), quotas, "sample", seed, row_key).where("_drawn").drop("_drawn")
+    limit = draw_limits(df.withColumn("stratum", F.lit(0)), quotas, "sample", seed, row_key).first()
+    return df.where(sampling_key(row_key, seed, "sample") <= F.lit(limit.last_draw if limit else _NOTHING))
 
 
 def cap_training_rows(df: DataFrame, max_rows: int | None, seed: int = settings.SEED, row_key: str = "row_key") -> DataFrame:
