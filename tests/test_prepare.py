@@ -2,7 +2,7 @@ import pytest
 
 from wardline.operators.dedup import near_dedup
 from wardline.plans.prepare import PrepareOptions, deduplicated, prepare_corpus
-from wardline.workdir import shared_dir
+from wardline.workdir import discard_written, join_heavy_split, shared_dir, written
 
 
 def rows(spark):
@@ -38,3 +38,27 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_result_does_not_depend_on_partitioning(spark):
     keys = [sorted(r.row_key for r in near_dedup(rows(spark).repartition(n)).collect()) for n in (1, 7)]
     assert keys[0] == keys[1]
+
+
+def test_work_tables_can_be_discarded(spark):
+    import os
+
+    table = written(rows(spark), "something")
+    folder = os.path.dirname(table.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder)
+    discard_written(spark)
+    assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_heavy_keys_are_joined_apart(spark, monkeypatch, how):
+    from pyspark.sql import functions as F
+
+    import wardline.workdir as w
+
+    monkeypatch.setattr(w, "HEAVY_ROWS", 50)
+    big = spark.range(300).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    small = written(big.where("k != 5").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("v")), "small")
+    split = join_heavy_split(big, small, "k", "n", how)
+    plain = big.join(small.drop("n"), "k", how)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.select(split.columns).collect()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +65,14 @@ _FLAG_LETTERS = {"IGNORECASE": "i", "MULTILINE": "m", "DOTALL": "s"}
 _FOLDING_EXTRAS = ("\u017f", "\u212a", "\u0131", "\u0130")
 
 
+def rules_from_config(entries: Sequence[Mapping] | None) -> tuple[Rule, ...]:
+    """Rules from mappings with name, regex and optional flags and decode_check; the default list for none."""
+    return tuple(
+        Rule(e["name"], e["regex"], str(e.get("flags", "0")), bool(e.get("decode_check", False)))
+        for e in entries or ()
+    ) or DEFAULT_RULES
+
+
 def java_regex(regex: str, flags: str = "0") -> str:
     """The same pattern in Java's dialect, with Python's notion of white space, word characters and edges."""
     out, in_class, i = [], False, 0

@@ -65,19 +65,17 @@ def near_duplicate_pairs(
     rows = _ordered_rows(df, text_col, order_cols)
     sets = _distinct_sets(rows)
     kept, matches = _settle(sets, percent, hot_limit, with_matches=True)
-    own = kept.join(sets.select("ord", F.col("n").alias("shared"), F.col("n").alias("total")), "ord")
-    targets = written(
-        sets.select("ord", "set_key", "copies").join(
-            matches.unionByName(own.select("ord", F.col("ord").alias("kept"), "shared", "total")), "ord"
-        ).select("set_key", "copies", "kept", "shared", "total"),
-        "dedup-targets",
+    # A set held by one row is that row; only the rows of sets with copies have to be found again.
+    own = kept.join(sets.where("copies > 1"), "ord").select(
+        "set_key", "copies", F.col("ord").alias("kept"), F.col("n").alias("shared"), F.col("n").alias("total")
     )
-    slim = rows.select("ord", "set_key")
-    return (
-        join_heavy_split(slim, targets, "set_key", "copies")
-        .where(F.col("ord") != F.col("kept"))
-        .select(F.col("ord").alias("duplicate"), "kept", "shared", "total")
+    of_sets = written(sets.select("ord", "set_key", "copies").join(matches, "ord"), "dedup-matched-sets")
+    single = of_sets.where("copies = 1").select(F.col("ord").alias("duplicate"), "kept", "shared", "total")
+    targets = written(of_sets.where("copies > 1").drop("ord").unionByName(own), "dedup-targets")
+    copied = join_heavy_split(rows.select("ord", "set_key"), targets, "set_key", "copies").where(
+        F.col("ord") != F.col("kept")
     )
+    return single.unionByName(copied.select(F.col("ord").alias("duplicate"), "kept", "shared", "total"))
 
 
 def _ordered_rows(df: DataFrame, text_col: str, order_cols: Sequence[str]) -> DataFrame:
@@ -189,24 +187,29 @@ def _pairs_within_keys(postings: DataFrame, percent: int) -> DataFrame:
     return (
         left.join(right, "key")
         .where((F.col("a_ord") < F.col("b_ord")) & _can_be_close(percent))
-        .select("a_ord", "b_ord", F.lit(0).alias("part"))
+        .select("a_ord", "b_ord")
     )
 
 
-def _verify(candidates: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(candidates: DataFrame, sets: DataFrame, percent: int, fan_out: DataFrame | None = None) -> DataFrame:
     """The candidates that are close, by exact integer arithmetic on the whole token sets.
 
-    `leaders` holds (a_ord, part): a leader with very many candidates appears once per part.
+    Both sides read the same projection of `sets`, so Spark shuffles it once for both joins. With `fan_out`
+    (a_ord, part) a leader of very many candidates is repeated once per part, and candidates carry a part.
     """
-    left = leaders.join(
-        sets.select(F.col("ord").alias("a_ord"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens")), "a_ord"
-    )
-    right = sets.select(F.col("ord").alias("b_ord"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("ord").alias(f"{name}_ord"), F.col("n").alias(f"{name}_n"), F.col("tokens").alias(f"{name}_tokens"))
+
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    by_later = candidates.repartition("b_ord")  # one shuffle for the grouping and the next join
+    if fan_out is None:
+        pairs, leaders, on = by_later.select("b_ord", "a_ord").distinct(), side("a"), ["a_ord"]
+    else:
+        pairs = by_later.groupBy("b_ord", "a_ord").agg(F.min("part").alias("part"))
+        leaders, on = fan_out.join(side("a"), "a_ord"), ["a_ord", "part"]
     return (
-        candidates.groupBy("b_ord", "a_ord").agg(F.min("part").alias("part"))
-        .join(right, "b_ord")
-        .join(left, ["a_ord", "part"])
+        pairs.join(side("b"), "b_ord")
+        .join(leaders, on)
         .select("a_ord", "b_ord", shared.alias("shared"), (F.col("a_n") + F.col("b_n") - shared).alias("total"))
         .where(F.col("shared") * 100 >= F.col("total") * percent)
     )
@@ -226,8 +229,7 @@ def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -
         parts = F.ceil(F.col("sets") / HEAVY_ROWS).cast("int")
         hot = written(postings.join(flagged, "key").withColumn("parts", parts).drop("sets"), "dedup-hot-postings")
 
-    one_part = sets.select(F.col("ord").alias("a_ord"), F.lit(0).alias("part"))
-    near = written(_verify(_pairs_within_keys(cold, percent), one_part, sets, percent), "dedup-near-pairs")
+    near = written(_verify(_pairs_within_keys(cold, percent), sets, percent), "dedup-near-pairs")
 
     open_sets = sets.select("ord", F.lit(0).cast("bigint").alias("hot_keys"))
     if any_hot:
@@ -243,7 +245,7 @@ def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -
             pivots = written(_earliest(hot.join(open_sets, "ord", "left_semi"), hot_limit), "dedup-pivots")
             seen = pivots.groupBy("ord").agg(F.count("*").alias("seen"))
             ready = open_sets.join(seen, "ord", "left").where(F.coalesce("seen", F.lit(0)) == F.col("hot_keys"))
-            live = near.unionByName(_verify(_pairs_within_keys(pivots, percent), one_part, sets, percent))
+            live = near.unionByName(_verify(_pairs_within_keys(pivots, percent), sets, percent))
         live = written(
             live.join(open_sets.select(F.col("ord").alias("a_ord")), "a_ord", "left_semi").join(
                 open_sets.select(F.col("ord").alias("b_ord")), "b_ord", "left_semi"
@@ -302,7 +304,7 @@ def _match_hot(kept_now: DataFrame, hot: DataFrame, targets: DataFrame, sets: Da
         .where((F.col("a_ord") < F.col("b_ord")) & _can_be_close(percent))
         .select("a_ord", "b_ord", "part")
     )
-    return _verify(candidates, fan_out.select("a_ord", each_part), sets, percent)
+    return _verify(candidates, sets, percent, fan_out.select("a_ord", each_part))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

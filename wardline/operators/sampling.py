@@ -7,6 +7,8 @@ or ranked as a whole and the draw itself is a filter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +19,20 @@ from wardline.workdir import broadcast_if_small, written
 _NOTHING, _EVERYTHING = "", "~"  # below and above every hex key
 
 
-def draw_limits(rows: DataFrame, quotas: DataFrame, purpose: str, seed: int, row_key: str) -> DataFrame:
+def _draws(df: DataFrame, stratum: Column, purpose: str, seed: int, row_key: str) -> DataFrame:
+    """(stratum, draw) of every row, written: the input itself is read once here and once by the draw."""
+    return written(
+        df.select(stratum.alias("stratum"), sampling_key(row_key, seed, purpose).alias("draw")), "sampling-draws"
+    )
+
+
+def draw_limits(draws: DataFrame, quotas: DataFrame) -> DataFrame:
     """Per stratum the largest sampling key still drawn.
 
-    `rows` has columns `stratum` and `row_key`; `quotas` is (stratum, quota) with null for "all".
+    `draws` is written; `quotas` is (stratum, quota) with null for "all". A stratum without quota draws nothing.
     """
-    keyed = rows.select("stratum", sampling_key(row_key, seed, purpose).alias("draw"))
     cell = F.conv(F.substring("draw", 1, 4), 16, 10).cast("int").alias("cell")
-    cells = keyed.groupBy("stratum", cell).agg(F.count("*").alias("n"))
+    cells = draws.groupBy("stratum", cell).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("cell"))
     reached = F.struct("cell", (F.col("quota") - F.col("upto") + F.col("n")).alias("take"))
     cuts = written(
@@ -36,7 +44,7 @@ def draw_limits(rows: DataFrame, quotas: DataFrame, purpose: str, seed: int, row
         "sampling-cuts",
     )
     in_cell = (
-        keyed.withColumn("cell", cell)
+        draws.withColumn("cell", cell)
         .join(broadcast_if_small(cuts), ["stratum", "cell"])
         .withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("draw")))
         .where(F.col("place") == F.col("take"))
@@ -49,13 +57,23 @@ def draw_limits(rows: DataFrame, quotas: DataFrame, purpose: str, seed: int, row
 
 
 def sample_per_stratum(
-    df: DataFrame, stratum: Column, quotas: DataFrame, purpose: str, seed: int = settings.SEED, row_key: str = "row_key"
+    df: DataFrame,
+    stratum: Column,
+    quotas: Callable[[DataFrame], DataFrame],
+    purpose: str,
+    seed: int = settings.SEED,
+    row_key: str = "row_key",
 ) -> DataFrame:
-    """Add `_drawn`: whether the row is among the `quota` rows drawn from its stratum."""
-    rows = df.withColumn("stratum", stratum)
-    limits = broadcast_if_small(draw_limits(rows, quotas, purpose, seed, row_key))
+    """Add `_drawn`: whether the row is among the rows drawn from its stratum.
+
+    `quotas` turns the sizes (stratum, n) into (stratum, quota).
+    """
+    draws = _draws(df, stratum, purpose, seed, row_key)
+    sizes = draws.groupBy("stratum").agg(F.count("*").alias("n"))
+    limits = broadcast_if_small(draw_limits(draws, quotas(sizes)))
     return (
-        rows.join(limits, "stratum", "left")
+        df.withColumn("stratum", stratum)
+        .join(limits, "stratum", "left")
         .withColumn("_drawn", sampling_key(row_key, seed, purpose) <= F.coalesce("last_draw", F.lit(_NOTHING)))
         .drop("stratum", "last_draw")
     )
@@ -64,7 +82,7 @@ def sample_per_stratum(
 def sample_k(df: DataFrame, k: int, seed: int = settings.SEED, row_key: str = "row_key") -> DataFrame:
     """Exactly min(k, all) rows, without replacement; the same rows for the same seed."""
     quotas = df.sparkSession.range(1).select(F.lit(0).alias("stratum"), F.lit(k).cast("bigint").alias("quota"))
-    limit = draw_limits(df.withColumn("stratum", F.lit(0)), quotas, "sample", seed, row_key).first()
+    limit = draw_limits(_draws(df, F.lit(0), "sample", seed, row_key), quotas).first()
     return df.where(sampling_key(row_key, seed, "sample") <= F.lit(limit.last_draw if limit else _NOTHING))
 
 
@@ -80,20 +98,18 @@ def balance_classes(
 
     Without positives the input is returned whole; otherwise labels other than 0 and 1 are left out.
     """
-    everywhere = Window.partitionBy(F.lit(1))  # one row per label
-    positives = F.sum(F.when(F.col("stratum") == 1, F.col("n")).otherwise(0)).over(everywhere)
     target = (F.col("positives") * F.lit(benign_share) / (F.lit(1.0) - F.lit(benign_share))).cast("bigint")
-    quota = (
-        F.when(F.col("positives") == 0, F.col("n"))
-        .when(F.col("stratum") == 1, F.col("n"))
-        .when(F.col("stratum") == 0, F.least("n", target))
-        .otherwise(F.lit(0).cast("bigint"))
-    )
-    quotas = (
-        df.groupBy(F.col("label").alias("stratum")).agg(F.count("*").alias("n"))
-        .withColumn("positives", positives)
-        .select("stratum", quota.alias("quota"))
-    )
+
+    def quotas(sizes: DataFrame) -> DataFrame:
+        everywhere = Window.partitionBy(F.lit(1))  # one row per label
+        positives = F.sum(F.when(F.col("stratum") == 1, F.col("n")).otherwise(0)).over(everywhere)
+        quota = (
+            F.when((F.col("positives") == 0) | (F.col("stratum") == 1), F.col("n"))
+            .when(F.col("stratum") == 0, F.least("n", target))
+            .otherwise(F.lit(0).cast("bigint"))
+        )
+        return sizes.withColumn("positives", positives).select("stratum", quota.alias("quota"))
+
     return sample_per_stratum(df, F.col("label"), quotas, "balance", seed, row_key).where("_drawn").drop("_drawn")
 
 
@@ -124,8 +140,9 @@ def stratified_split(
     df: DataFrame, train_share: float = settings.TRAIN_SHARE, seed: int = settings.SEED, row_key: str = "row_key"
 ) -> DataFrame:
     """Add `part`, `train` or `eval`, with every label in both in proportion."""
-    counts = df.groupBy(F.col("label").alias("stratum")).agg(F.count("*").alias("n"))
-    marked = sample_per_stratum(df, F.col("label"), split_quotas(counts, train_share), "split", seed, row_key)
+    marked = sample_per_stratum(
+        df, F.col("label"), lambda sizes: split_quotas(sizes, train_share), "split", seed, row_key
+    )
     return marked.withColumn("part", F.when(F.col("_drawn"), "eval").otherwise("train")).drop("_drawn")
 
 

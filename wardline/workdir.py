@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # A table of at most this many narrow rows (some tens of bytes each) may be broadcast.
 BROADCAST_ROWS = 500_000
+_RUN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,9 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/wardline-{_RUN}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_written(spark: SparkSession) -> None:
+    """Delete all tables this process has put in the shared folder, once results built on them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a written table is counted to be small; else leave the join to Spark.
 
