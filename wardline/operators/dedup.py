@@ -6,8 +6,7 @@ rounds of joins over the rows still open:
 
 1. Rows with equal token sets collapse to the earliest one (partial aggregation: a group of exact copies of
    any size becomes one row before anything is compared).
-2. Every distinct set publishes *keys* such that two close sets share at least one. Tokens are put in one
-   global order, rare first, and keys are taken from a short prefix of it (prefix filtering).
+2. Every distinct set publishes *keys* such that two close sets share at least one; see `wardline.operators.setkeys`.
 3. A key held by few sets is *cold*: its pairs are compared once, up front. A key held by more than
    `hot_limit` sets is *hot* and never expanded into pairs. Each round takes the earliest `hot_limit` open
    sets of every hot key, settles them among themselves, and compares only those that are kept with the
@@ -26,14 +25,12 @@ from pyspark.sql import functions as F
 
 from wardline import settings
 from wardline.functions.text import token_set
+from wardline.operators.setkeys import FREQUENCY_BITS, HASH_BITS, set_keys
 from wardline.workdir import HEAVY_ROWS, broadcast_if_small, join_heavy_split, order_column, written
 
 HOT_LIMIT = 256
-# Sets of at most this many tokens publish pairs of tokens, larger ones single tokens.
-PAIR_KEY_TOKENS = 32
 # Buckets of the token frequency sketch: bounds what is broadcast, whatever the vocabulary.
 SKETCH_BUCKETS = 1 << 18
-_HASH_BITS = 42
 
 
 def near_dedup(
@@ -94,13 +91,12 @@ def _keep_only(df: DataFrame, kept: DataFrame, order_cols: Sequence[str]) -> Dat
 
 
 def _distinct_sets(rows: DataFrame) -> DataFrame:
-    """One written row per distinct token set: earliest row, number of copies, tokens, ranks rare first.
+    """One written row per distinct token set: earliest row, number of copies, tokens, marks.
 
-    A rank holds the token's frequency above bits of its hash, so that sorting ranks puts rare tokens first in
-    an order that is the same everywhere. Frequencies come from a sketch that counts hashed tokens in a fixed
-    number of buckets; they only make prefixes selective. Tokens that share a rank count as one there, which
-    can add candidates but lose none. The table stays grouped by set key, so ranking needs no second shuffle.
-    Outer explodes throughout: for inner ones Catalyst adds a size filter below, computing the array twice.
+    A mark holds the token's frequency above bits of its hash. Frequencies come from a sketch that counts
+    hashed tokens in a fixed number of buckets; they make keys selective but are not needed for correctness.
+    The table stays grouped by set key, so looking frequencies up needs no second shuffle. Outer explodes
+    throughout: for inner ones Catalyst adds a size filter below, computing the array twice.
     """
     bucket = F.pmod(F.xxhash64("token"), F.lit(SKETCH_BUCKETS)).cast("int").alias("bucket")
     sketch = (
@@ -109,76 +105,44 @@ def _distinct_sets(rows: DataFrame) -> DataFrame:
     sets = rows.groupBy("set_key").agg(
         F.min("ord").alias("ord"), F.count("*").alias("copies"), F.first("tokens").alias("tokens")
     )
-    low_bits = (1 << _HASH_BITS) - 1
-    frequency = F.least("frequency", F.lit((1 << (62 - _HASH_BITS)) - 1))
-    rank = F.shiftleft(frequency, _HASH_BITS).bitwiseOR(F.xxhash64("token").bitwiseAND(F.lit(low_bits)))
-    ranked = (
+    frequency = F.least("frequency", F.lit((1 << FREQUENCY_BITS) - 1))
+    low_bits = F.lit((1 << HASH_BITS) - 1)
+    mark = F.shiftleft(frequency, HASH_BITS).bitwiseOR(F.xxhash64("token").bitwiseAND(low_bits))
+    marked = (
         sets.select("set_key", "ord", "copies", F.explode_outer("tokens").alias("token"))
         .withColumn("bucket", bucket)
         .join(F.broadcast(sketch), "bucket", "left")
-        .select("set_key", "ord", "copies", "token", F.when(F.col("token").isNotNull(), rank).alias("rank"))
+        .select("set_key", "ord", "copies", "token", F.when(F.col("token").isNotNull(), mark).alias("mark"))
         .groupBy("set_key")
         .agg(
             F.first("ord").alias("ord"),
             F.first("copies").alias("copies"),
             F.count("token").cast("int").alias("n"),
             F.collect_list("token").alias("tokens"),
-            F.sort_array(F.collect_list("rank")).alias("ranks"),
+            F.collect_list("mark").alias("marks"),
         )
     )
-    return written(ranked, "dedup-sets")
-
-
-def _keys(percent: int) -> Column:
-    """The keys of a set as structs (key, bound): `bound` limits the overlap with a set first met under the key.
-
-    Close sets have at least `ceil(t * n)` tokens in common, n being the larger size, hence share one token
-    of the first n - ceil(t * n) + 1 and two of the first n - ceil(t * n) + 2. Pairs of tokens are far more
-    selective but grow with the square of the prefix, so only short texts use them. Texts near the border
-    publish both kinds, as do texts too short to have two tokens in common.
-    """
-    n, limit = F.col("n"), PAIR_KEY_TOKENS
-    required = F.floor((n * percent + 99) / 100).cast("int")
-    prefix = n - required
-    singles = F.transform(
-        F.slice("ranks", F.lit(1), F.least(n, prefix + 1)),
-        lambda rank, i: F.struct(F.xxhash64(F.lit(1), rank).alias("key"), (n - i).alias("bound")),
-    )
-    head = F.slice("ranks", F.lit(1), F.least(n, prefix + 2))
-    pairs = F.flatten(
-        F.transform(
-            head,
-            lambda second, j: F.transform(
-                F.slice(head, F.lit(1), j),
-                lambda first: F.struct(F.xxhash64(F.lit(2), first, second).alias("key"), (n - j + 1).alias("bound")),
-            ),
-        )
-    )
-    none = F.array().cast("array<struct<key:bigint,bound:int>>")
-    as_pairs = (n >= 2) & (n <= limit)
-    as_singles = (n > limit) | (n * 100 >= percent * (limit + 1)) | (required < 2)
-    return F.concat(F.when(as_singles, singles).otherwise(none), F.when(as_pairs, pairs).otherwise(none))
+    return written(marked, "dedup-sets")
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, ord, n, bound) of every set large enough to be close to a different one."""
+    """(key, ord, n) of every set large enough to be close to a different one."""
+    keys = set_keys(F.col("marks"), percent, sets.count())
     return (
         sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
-        .select("ord", "n", F.explode_outer(_keys(percent)).alias("k"))
-        .where(F.col("k").isNotNull())
-        .select("k.key", "ord", "n", "k.bound")
+        .select("ord", "n", F.explode_outer(keys).alias("key"))
+        .where(F.col("key").isNotNull())
+        .select("key", "ord", "n")
     )
 
 
 def _can_be_close(percent: int) -> Column:
-    """Size and position bound on the overlap of `a` and `b`, from the first key they share."""
-    return F.least("a_bound", "b_bound") * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+    """Sizes of `a` and `b` that leave room for the threshold."""
+    return F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
 
 
 def _side(postings: DataFrame, side: str, *more: str) -> DataFrame:
-    return postings.select(
-        "key", *more, *[F.col(c).alias(f"{side}_{c}") for c in ("ord", "n", "bound")]
-    )
+    return postings.select("key", *more, F.col("ord").alias(f"{side}_ord"), F.col("n").alias(f"{side}_n"))
 
 
 def _pairs_within_keys(postings: DataFrame, percent: int) -> DataFrame:
@@ -296,7 +260,7 @@ def _match_hot(kept_now: DataFrame, hot: DataFrame, targets: DataFrame, sets: Da
     leading = _side(hot.join(kept_now, "ord", "left_semi"), "a", "parts")
     fan_out = leading.groupBy("a_ord").agg(F.max("parts").alias("parts"))
     each_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    leading = leading.select("key", each_part, "a_ord", "a_n", "a_bound")
+    leading = leading.select("key", each_part, "a_ord", "a_n")
     part = F.pmod(F.xxhash64("b_ord"), F.col("parts")).cast("int")
     following = _side(targets, "b", "parts").withColumn("part", part).drop("parts")
     candidates = (
