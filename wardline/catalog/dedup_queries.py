@@ -66,7 +66,7 @@ def near_deduplicated_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("near_duplicate_pairs", f"""
 WITH {_NEAR_SQL}, {greedy_sql('near', 'nodes')}
-SELECT b AS duplicate, min(a) AS kept, arg_min(shared, a) AS shared, arg_min(total, a) AS total
+SELECT b AS duplicate, min(a) AS kept, arg_min(shared, a)::INTEGER AS shared, arg_min(total, a)::INTEGER AS total
 FROM near WHERE a IN (SELECT id FROM kept_4) GROUP BY b""")
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "documents"), order_cols=["doc_id"])

@@ -15,15 +15,17 @@ from wardline.plans.evaluate import evaluate_scorer
 from wardline.sources.writers import write_report
 from wardline.workdir import new_path
 
+# The matrix as JSON text, which compares the same whatever the client makes of nested arrays.
+_MATRIX_SQL = "'[[' || tn || ',' || fp || '],[' || fn || ',' || tp || ']]'"
 _ALL = metrics_sql("precision", "recall", "f1", "accuracy")
 _SWEEP_SQL = f"{counts_sql()}, sweep AS (SELECT *, {_ALL} FROM counts)"
 _BEST_SQL = "best AS (SELECT dataset, arg_max(threshold, (f1, -position)) AS threshold, max(f1) AS f1 FROM sweep GROUP BY dataset)"
 
 
-@query("confusion_matrix", f"WITH {counts_sql()} SELECT dataset, threshold, [[tn, fp], [fn, tp]] AS confusion_matrix FROM counts")
+@query("confusion_matrix", f"WITH {counts_sql()} SELECT dataset, threshold, {_MATRIX_SQL} AS confusion_matrix FROM counts")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.confusion_counts(scored(spark, sf_dir)).select(
-        "dataset", "threshold", e.confusion_matrix().alias("confusion_matrix")
+        "dataset", "threshold", F.to_json(e.confusion_matrix()).alias("confusion_matrix")
     )
 
 
@@ -101,11 +103,12 @@ scored AS (SELECT doc_id, lang AS dataset, toxic AS label, (length(text) % 1000)
 )
 _REPORT_SQL = f"""
 WITH {_LENGTH_SCORED_SQL}, sweep AS (SELECT *, {_ALL} FROM counts)
-SELECT dataset, n AS n_samples, threshold, "precision", recall, f1, accuracy, [[tn, fp], [fn, tp]] AS confusion_matrix FROM sweep"""
+SELECT dataset, n AS n_samples, threshold, "precision", recall, f1, accuracy, {_MATRIX_SQL} AS confusion_matrix FROM sweep"""
 
 
 def _flat_report(report: DataFrame) -> DataFrame:
-    return report.select("dataset", "n_samples", F.explode("thresholds").alias("m")).select("dataset", "n_samples", "m.*")
+    flat = report.select("dataset", "n_samples", F.explode("thresholds").alias("m")).select("dataset", "n_samples", "m.*")
+    return flat.withColumn("confusion_matrix", F.to_json("confusion_matrix"))
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
