@@ -127,3 +127,45 @@ def test_minhash_dedup_same_as_sequential_rule(spark):
 def test_minhash_of_empty_text(spark):
     bands = [r.bands for r in minhash_bands(frame(spark, ["", "  "]), token_set("text")).collect()]
     assert bands[0] == bands[1] and PRIME == 2**31 - 1
+
+
+def test_hot_keys_of_unrelated_sets_are_replaced_by_pairs(spark, monkeypatch):
+    """Sets that share frequent words only would take a round per `hot_limit` of them."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(12)]
+    texts = [" ".join(rng.sample(common, 10) + [f"r{rng.randrange(40)}"]) for _ in range(120)]
+    refined = []
+    set_keys = d.set_keys
+    monkeypatch.setattr(d, "set_keys", lambda *args: refined.append(len(args) == 4) or set_keys(*args))
+    assert ids(d.near_dedup(frame(spark, texts), order_cols=["id"], hot_limit=4)) == greedy(list(enumerate(texts)), 85)[0]
+    assert refined == [False, True]
+
+
+@pytest.mark.parametrize("percent", [70, 85, 95])
+def test_close_sets_share_a_key(percent):
+    import numpy as np
+
+    from wardline.operators import setkeys as k
+
+    rng = random.Random(percent)
+    vocabulary = [(rng.choice([1, 5, 400, 900]) << k.HASH_BITS) | rng.getrandbits(k.HASH_BITS) for _ in range(3000)]
+    bounds = k.class_bounds(percent, 400)
+    checked = 0
+    for _ in range(3000):
+        a = rng.sample(vocabulary, rng.randrange(6, 300))
+        b = list(a)
+        for _ in range(rng.randrange(0, len(a) // 6 + 2)):
+            b[rng.randrange(len(b))] = rng.choice(vocabulary)
+        b = b[: len(b) - rng.randrange(0, len(b) // 10 + 1)]
+        a, b = set(a), set(b)
+        if a == b or 100 * len(a & b) < percent * len(a | b):
+            continue
+        checked += 1
+        marks = [np.array(sorted(s), dtype=np.int64) for s in (a, b)]
+        keys = [k._segment_keys(m, percent, 1000, bounds) for m in marks]
+        shared = np.intersect1d(*keys)
+        assert len(shared)
+        # With all shared keys hot, the refined keys still meet.
+        again = [k._segment_keys(m, percent, 1000, bounds, shared) for m in marks]
+        assert len(np.intersect1d(*again))
+    assert checked > 100

@@ -11,6 +11,8 @@ rounds of joins over the rows still open:
    `hot_limit` sets is *hot* and never expanded into pairs. Each round takes the earliest `hot_limit` open
    sets of every hot key, settles them among themselves, and compares only those that are kept with the
    rest of the key. A block of near copies so costs about one comparison per copy.
+4. Sets that still share hot keys after two rounds are unrelated to each other, and would take a round per
+   `hot_limit` of them. Their hot keys are replaced by pairs of hot keys, which few of them share.
 
 The earliest open row is settled in every round, so the rounds end; usually after one to three.
 """
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 
 from wardline import settings
 from wardline.functions.text import token_set
-from wardline.operators.setkeys import FREQUENCY_BITS, HASH_BITS, set_keys
+from wardline.operators.setkeys import FREQUENCY_BITS, HASH_BITS, SEGMENT_PERCENT, set_keys
 from wardline.workdir import HEAVY_ROWS, broadcast_if_small, join_heavy_split, order_column, written
 
 HOT_LIMIT = 256
+# After this many rounds blocks of near copies are gone; keys still hot are shared by unrelated sets.
+REFINE_AFTER = 2
 # Buckets of the token frequency sketch: bounds what is broadcast, whatever the vocabulary.
 SKETCH_BUCKETS = 1 << 18
 
@@ -125,9 +129,8 @@ def _distinct_sets(rows: DataFrame) -> DataFrame:
     return written(marked, "dedup-sets")
 
 
-def _postings(sets: DataFrame, percent: int) -> DataFrame:
+def _postings(sets: DataFrame, keys: Column, percent: int) -> DataFrame:
     """(key, ord, n) of every set large enough to be close to a different one."""
-    keys = set_keys(F.col("marks"), percent, sets.count())
     return (
         sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
         .select("ord", "n", F.explode_outer(keys).alias("key"))
@@ -136,6 +139,27 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _by_heat(postings: DataFrame, hot_limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Postings of cold keys, and those of hot keys (None if there are none) with the `parts` each is cut into."""
+    hot_keys = written(
+        postings.groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > hot_limit), "dedup-hot-keys"
+    )
+    if hot_keys.isEmpty():
+        return postings, None
+    flagged = broadcast_if_small(hot_keys)
+    cold = postings.join(flagged.select("key"), "key", "left_anti")
+    parts = F.ceil(F.col("sets") / HEAVY_ROWS).cast("int")
+    return cold, written(postings.join(flagged, "key").withColumn("parts", parts).drop("sets"), "dedup-hot-postings")
+
+
+def _hot_counts(ords: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(ord, hot_keys): how many hot keys each set has."""
+    if hot is None:
+        return ords.withColumn("hot_keys", F.lit(0).cast("bigint"))
+    per_set = hot.groupBy("ord").agg(F.count("*").alias("hot_keys"))
+    return written(ords.join(per_set, "ord", "left").na.fill(0, ["hot_keys"]), "dedup-open")
+
+
 def _can_be_close(percent: int) -> Column:
     """Sizes of `a` and `b` that leave room for the threshold."""
     return F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
@@ -181,31 +205,16 @@ def _verify(candidates: DataFrame, sets: DataFrame, percent: int, fan_out: DataF
 
 def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -> tuple[DataFrame, DataFrame | None]:
     """Kept sets (`ord`), and for every dropped set its earliest kept match."""
-    postings = written(_postings(sets, percent), "dedup-postings")
-    hot_keys = written(
-        postings.groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > hot_limit), "dedup-hot-keys"
-    )
-    any_hot = not hot_keys.isEmpty()
-    cold, hot = postings, None
-    if any_hot:
-        flagged = broadcast_if_small(hot_keys)
-        cold = postings.join(flagged.select("key"), "key", "left_anti")
-        parts = F.ceil(F.col("sets") / HEAVY_ROWS).cast("int")
-        hot = written(postings.join(flagged, "key").withColumn("parts", parts).drop("sets"), "dedup-hot-postings")
-
+    total = sets.count()
+    postings = written(_postings(sets, set_keys(F.col("marks"), percent, total), percent), "dedup-postings")
+    cold, hot = _by_heat(postings, hot_limit)
     near = written(_verify(_pairs_within_keys(cold, percent), sets, percent), "dedup-near-pairs")
-
-    open_sets = sets.select("ord", F.lit(0).cast("bigint").alias("hot_keys"))
-    if any_hot:
-        per_set = hot.groupBy("ord").agg(F.count("*").alias("hot_keys"))
-        open_sets = written(
-            sets.select("ord").join(per_set, "ord", "left").na.fill(0, ["hot_keys"]), "dedup-open"
-        )
+    open_sets = _hot_counts(sets.select("ord"), hot)
     kept_rounds: list[DataFrame] = []
     hot_matches: list[DataFrame] = []
     while True:
         live, ready = near, open_sets
-        if any_hot:
+        if hot is not None:
             pivots = written(_earliest(hot.join(open_sets, "ord", "left_semi"), hot_limit), "dedup-pivots")
             seen = pivots.groupBy("ord").agg(F.count("*").alias("seen"))
             ready = open_sets.join(seen, "ord", "left").where(F.coalesce("seen", F.lit(0)) == F.col("hot_keys"))
@@ -223,7 +232,7 @@ def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -
 
         leaders = kept_now.select(F.col("ord").alias("a_ord"))
         dropped = live.join(leaders, "a_ord", "left_semi").select(F.col("b_ord").alias("ord"))
-        if any_hot:
+        if hot is not None:
             targets = hot.join(_union(kept_rounds), "ord", "left_anti") if with_matches else hot.join(
                 open_sets, "ord", "left_semi"
             ).join(kept_now, "ord", "left_anti")
@@ -235,6 +244,15 @@ def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -
         )
         if open_sets.isEmpty():
             break
+        refinable = percent >= SEGMENT_PERCENT and not with_matches
+        if hot is not None and refinable and len(kept_rounds) == REFINE_AFTER:
+            still_hot = hot.join(open_sets, "ord", "left_semi").groupBy("ord").agg(F.collect_list("key").alias("hot"))
+            keys = set_keys(F.col("marks"), percent, total, F.col("hot"))
+            postings = written(_postings(sets.join(still_hot, "ord"), keys, percent), "dedup-postings")
+            cold, hot = _by_heat(postings, hot_limit)
+            more = _verify(_pairs_within_keys(cold, percent), sets, percent)
+            near = written(near.unionByName(more), "dedup-near-pairs")
+            open_sets = _hot_counts(open_sets.select("ord"), hot)
 
     kept = _union(kept_rounds)
     if not with_matches:

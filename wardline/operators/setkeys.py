@@ -5,7 +5,8 @@ at most D = 2h (1 - t) / (1 + t) tokens, so with m = D + 2 segments at least two
 A segment of a typical text holds about six tokens, which is far more telling than any single token, and needs
 no global token order. Segments that tell little (empty, or of frequent tokens only) would be shared by many
 unrelated texts; they are *weak* and used in pairs: of two equal segments either one is not weak, or both
-together form a weak pair. Since m depends on the size, sizes are cut into classes of ratio t, and a set uses
+together form a weak pair. The same can be done later with segments that turn out to be shared by many sets:
+`set_keys` with `hot` gives the pairs of segments that are weak or hot. Since m depends on the size, sizes are cut into classes of ratio t, and a set uses
 the keys of its own class and those of the next, where its larger partners are.
 
 Low thresholds would need more segments than there are tokens and use the plain *prefix*: close sets share one
@@ -28,16 +29,19 @@ from pyspark.sql import types as T
 HASH_BITS, FREQUENCY_BITS = 40, 22
 # From this threshold (percent) segments hold enough tokens to be used.
 SEGMENT_PERCENT = 70
-# A segment is weak when chance alone would give it to more sets than this.
-WEAK_SETS = 16
+# A segment is weak when chance alone would give it to more sets than this, unless it has this many tokens:
+# in a block of near copies every token is frequent, and segments must not all be weak there.
+WEAK_SETS, STRONG_TOKENS = 16, 4
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 divided by the golden ratio, odd
 
 
-def set_keys(marks: Column, percent: int, total: int) -> Column:
+def set_keys(marks: Column, percent: int, total: int, hot: Column | None = None) -> Column:
     """The keys (array of bigint) of a set given its marks: frequency above HASH_BITS bits of token hash.
 
-    Runs on Arrow batches; `total` is the number of sets, by which frequencies become probabilities.
+    `total` is the number of sets, by which frequencies become probabilities. With `hot`, the set's keys that
+    too many sets share: only pairs of weak or hot segments, which every pair of close sets without another
+    key in common shares. Runs on Arrow batches.
     """
 
     def keys(batch: pd.Series) -> pd.Series:
@@ -45,7 +49,12 @@ def set_keys(marks: Column, percent: int, total: int) -> Column:
         bounds = class_bounds(percent, int(batch.map(len).max()))
         return batch.map(lambda m: of(m, percent, total, bounds))
 
-    return F.pandas_udf(keys, T.ArrayType(T.LongType()))(marks)
+    def refined(batch: pd.Series, hot_batch: pd.Series) -> pd.Series:
+        bounds = class_bounds(percent, int(batch.map(len).max()))
+        return pd.Series([_segment_keys(m, percent, total, bounds, h) for m, h in zip(batch, hot_batch)])
+
+    kind = T.ArrayType(T.LongType())
+    return F.pandas_udf(keys, kind)(marks) if hot is None else F.pandas_udf(refined, kind)(marks, hot)
 
 
 def class_bounds(percent: int, largest: int) -> list[int]:
@@ -57,7 +66,9 @@ def class_bounds(percent: int, largest: int) -> list[int]:
     return bounds
 
 
-def _segment_keys(marks: np.ndarray, percent: int, total: int, bounds: list[int]) -> np.ndarray:
+def _segment_keys(
+    marks: np.ndarray, percent: int, total: int, bounds: list[int], hot: np.ndarray | None = None
+) -> np.ndarray:
     size = len(marks)
     own = bisect_right(bounds, size) - 1
     classes = [own, own + 1] if size * 100 >= bounds[own + 1] * percent else [own]
@@ -65,8 +76,8 @@ def _segment_keys(marks: np.ndarray, percent: int, total: int, bounds: list[int]
     mixed = _mix(hashes)
     # Information in 1/1024 bits, in integers so that sums do not depend on the order.
     surprise = np.log2(np.maximum(total / np.maximum(marks >> HASH_BITS, 1), 1.0))
-    surprise = np.rint(surprise * 1024).astype(np.int64)
-    enough = np.log2(max(total / WEAK_SETS, 1.0)) * 1024
+    enough = int(np.log2(max(total / WEAK_SETS, 1.0)) * 1024)
+    surprise = np.maximum(np.rint(surprise * 1024).astype(np.int64), -(-enough // STRONG_TOKENS))
     found = []
     for number in classes:
         most_different = 2 * (bounds[number + 1] - 1) * (100 - percent) // (100 + percent)
@@ -77,8 +88,12 @@ def _segment_keys(marks: np.ndarray, percent: int, total: int, bounds: list[int]
         np.add.at(told, segment, surprise)
         place = np.arange(segments, dtype=np.uint64) + np.uint64(number << 32)
         key = _mix(content + _mix(place))
-        found.append(key[told >= enough])
-        weak = key[told < enough]
+        strong = told >= enough
+        if hot is None:
+            found.append(key[strong])
+        else:
+            strong &= ~np.isin(key.view(np.int64), hot)
+        weak = key[~strong]
         first, second = np.triu_indices(len(weak), 1)
         found.append(_mix(weak[first] + _mix(weak[second])))
     return np.unique(np.concatenate(found)).view(np.int64)
