@@ -6,7 +6,8 @@ from wardline.workdir import discard_written, join_heavy_split, shared_dir, writ
 
 
 def rows(spark):
-    data = [(f"{i:04d}", f"the benign text about topic{i // 2} and thing{i // 2} or other{i // 2} stuff{i // 2}", 0, "a", "benign") for i in range(80)]
+    text = "the benign text about topic{0} and thing{0} or other{0} stuff{0}"
+    data = [(f"{i:04d}", text.format(i // 2), 0, "a", "benign") for i in range(80)]
     data += [(f"{100 + i:04d}", f"attack number{i} with word{i} and more{i} plus again{i}", 1, "b", "jailbreak") for i in range(5)]
     return spark.createDataFrame(data, "row_key string, text string, label int, source string, attack_type string")
 

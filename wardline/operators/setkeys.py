@@ -3,11 +3,12 @@
 High thresholds use *segments*. Tokens are dealt to m segments by hash. Close sets of sizes up to h differ in
 at most D = 2h (1 - t) / (1 + t) tokens, so with m = D + 2 segments at least two segments are equal in both.
 A segment of a typical text holds about six tokens, which is far more telling than any single token, and needs
-no global token order. Segments that tell little (empty, or of frequent tokens only) would be shared by many
+no global token order. Segments that tell little (empty, or of few and frequent tokens) would be shared by many
 unrelated texts; they are *weak* and used in pairs: of two equal segments either one is not weak, or both
 together form a weak pair. The same can be done later with segments that turn out to be shared by many sets:
-`set_keys` with `hot` gives the pairs of segments that are weak or hot. Since m depends on the size, sizes are cut into classes of ratio t, and a set uses
-the keys of its own class and those of the next, where its larger partners are.
+`set_keys` with `hot` gives the pairs of segments that are weak or hot. Since m depends on the size, sizes are
+cut into classes of ratio t, and a set uses the keys of its own class and those of the next, where its larger
+partners are.
 
 Low thresholds would need more segments than there are tokens and use the plain *prefix*: close sets share one
 of the first n - ceil(t n) + 1 tokens in a global order, here rare first.
