@@ -33,7 +33,10 @@ def running_counts(decided: DataFrame) -> DataFrame:
 
 
 def running_stats_stream(decided: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the current counters as a small table at `path`, rewritten after each batch."""
+    """Keep the current counters as a small table at `path`, rewritten after each batch.
+
+    Should the job die while rewriting, the batch is replayed from the checkpoint and the table written again.
+    """
 
     def replace(batch: DataFrame, _: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(path)  # at most nine rows
