@@ -12,6 +12,7 @@ table gives no rows. Very long texts are a block of their own.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -19,11 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
-from wardline.llm.common import block_count, compressed_blocks, id_and_text, unpacked
+from wardline.llm.common import block_count, compressed_blocks, id_and_text, mix, unpacked
 
-_SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
+_SPACE, _LETTER, _NUMBER, _OTHER, _BREAK = range(5)
+# The endings that the pattern's contractions allow.
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+_END = 0x110000  # stands between texts; no character has this code
+_CHUNK = 1 << 19
+_LONG = 256
 _classes = None
+_weights = None
 
 
 def character_classes() -> np.ndarray:
@@ -32,46 +38,96 @@ def character_classes() -> np.ndarray:
     if _classes is None:
         import regex
 
-        every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-        table = np.full(0x110000, _OTHER, np.uint8)
-        for kind, pattern in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
-            found = np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)
-            table[found] = kind
+        every = "".join(map(chr, (c for c in range(_END) if not 0xD800 <= c < 0xE000)))
+        table = np.full(_END + 1, _OTHER, np.uint8)
+        table[_END] = _BREAK
+        for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+            table[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
         _classes = table
     return _classes
 
 
-def pre_tokens(text: str) -> list[str]:
-    """The matches of the pre-tokenizer's pattern, found from runs of character classes.
+def token_starts(codes: np.ndarray) -> np.ndarray:
+    """Where the matches of the pre-tokenizer's pattern start, found from runs of character classes.
 
-    A run of letters, numbers or other characters is one match, with the single space before it. Of a longer run of
-    white space all but the last character is a match. A contraction ends at its last letter.
+    A run of letters, numbers or other characters is one match, with the plain space before it. Of a longer run of
+    white space before something else, all but the last character is a match. A contraction ends at its last letter.
     """
-    if not text:
-        return []
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     kind = character_classes()[codes]
-    space = kind == _SPACE
+    space, stop = kind == _SPACE, kind == _BREAK
     starts = np.ones(len(codes), bool)
-    # A run starts, unless a plain space stands before it and belongs to it.
-    starts[1:] = (kind[1:] != kind[:-1]) & (codes[:-1] != 32)
-    # The first of a run of spaces; the last one before something else.
-    starts[1:] |= space[1:] & ~space[:-1]
-    starts[:-1] |= space[:-1] & ~space[1:]
+    starts[1:] = (kind[1:] != kind[:-1]) & ((codes[:-1] != 32) | stop[1:])
+    starts[:-1] |= space[:-1] & ~space[1:] & ~stop[1:]
     end = 0
-    for at in np.flatnonzero((codes == 39) & starts):
-        at = int(at)
+    for at in np.flatnonzero((codes == 39) & starts).tolist():
         if at < end:
             continue
+        following = "".join(chr(c) if c < _END else "\n" for c in codes[at + 1 : at + 3].tolist())
         for tail in _CONTRACTIONS:
-            if text.startswith(tail, at + 1):
+            if following.startswith(tail):
                 end = at + 1 + len(tail)
                 starts[at + 1 : end] = False
-                if end < len(codes):
-                    starts[end] = True
+                starts[end : end + 1] = True
                 break
-    places = np.flatnonzero(starts).tolist()
-    return [text[a:b] for a, b in zip(places, [*places[1:], len(text)])]
+    return starts
+
+
+def _token_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each token (rows)."""
+    global _weights
+    if _weights is None:
+        _weights = np.random.default_rng(1).integers(0, 1 << 64, (2, _LONG), np.uint64) | np.uint64(1)
+    offset = np.arange(len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), ends - starts)
+    np.minimum(offset, _LONG - 1, out=offset)
+    with np.errstate(over="ignore"):
+        symbols = codes.astype(np.uint64) + np.uint64(1)
+        both = np.stack([mix(np.add.reduceat(symbols * w[offset], starts)) for w in _weights])
+    for at in np.flatnonzero(ends - starts > _LONG):
+        import xxhash
+
+        whole = codes[starts[at] : ends[at]].tobytes()
+        both[:, at] = xxhash.xxh64_intdigest(whole, 1), xxhash.xxh64_intdigest(whole, 2)
+    return both
+
+
+def distinct_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[], list[str]]]:
+    """Of the texts' pre-tokens: how many each text has, the place of each in the list of distinct ones, and that list.
+
+    The list is in the order of a hash of its words, so it depends on the set of words alone.
+    """
+    chunks, sizes, hashes, per_text = [], [], [], []
+    begin = 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end]) < _CHUNK):
+            size, end = size + len(texts[end]), end + 1
+        strings = [t.decode() for t in texts[begin:end]]
+        codes = np.frombuffer(b"".join(t.encode("utf-32-le") + b"\0\0\x11\0" for t in strings), np.uint32)
+        starts = np.flatnonzero(token_starts(codes))
+        both = _token_hashes(codes, starts, np.append(starts[1:], len(codes)))
+        real = codes[starts] != _END
+        # The breaks of texts without tokens follow each other; each ends the text it stands for.
+        breaks = np.flatnonzero(codes == _END)
+        per_text.append(np.diff(np.searchsorted(starts[real], breaks), prepend=0))
+        chunks.append(("\n".join([*strings, ""]), starts[real], np.append(starts[1:], len(codes))[real]))
+        hashes.append(both[:, real])
+        sizes.append(int(real.sum()))
+        begin = end
+    counts = np.concatenate(per_text) if per_text else np.zeros(0, np.int64)
+    first, second = np.concatenate(hashes, axis=1) if hashes else np.zeros((2, 0), np.uint64)
+    _, sample, place = np.unique(first, return_index=True, return_inverse=True)
+    bounds = [0, *np.cumsum(sizes).tolist()]
+
+    def word(at: int) -> str:
+        k = bisect_right(bounds, at) - 1
+        chunk, starts, ends = chunks[k]
+        at -= bounds[k]
+        return chunk[starts[at] : ends[at]]
+
+    if not np.array_equal(second[sample][place], second):  # two words share a hash: compare the words themselves
+        words, place = np.unique([word(i) for i in range(len(first))], return_inverse=True)
+        return counts, place, words.tolist
+    return counts, place, lambda: [word(i) for i in sample.tolist()]
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -101,12 +157,8 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     def list_words(key, group):
         import pandas as pd
 
-        places: dict[str, int] = {}
-        for packed in group["packed"]:
-            for word in pre_tokens(unpacked([packed])[0].decode()):
-                places.setdefault(word, len(places))
-        return pd.DataFrame({"block": np.int32(key[0]), "place": np.arange(len(places), dtype=np.int32),
-                             "word": list(places)})
+        words = distinct_tokens(unpacked(group["packed"]))[2]()
+        return pd.DataFrame({"block": np.int32(key[0]), "place": np.arange(len(words), dtype=np.int32), "word": words})
 
     def encode_sorted(batches):
         import pyarrow as pa
@@ -128,11 +180,9 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         flat = np.frombuffer(b"".join(words["ids"]), "<u4").astype(np.int32)
         first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         first[words["place"]], size[words["place"]] = np.cumsum(counts) - counts, counts
-        places: dict[str, int] = {}
+        n_tokens, place, _ = distinct_tokens(unpacked(texts["packed"]))
         out = []
-        for packed in texts["packed"]:
-            tokens = pre_tokens(unpacked([packed])[0].decode())
-            at = np.array([places.setdefault(w, len(places)) for w in tokens], np.int64)
+        for at in np.split(place, np.cumsum(n_tokens)[:-1]):
             n = size[at]
             where = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             out.append(flat[where])
@@ -157,13 +207,13 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     def look_up(batches):
         import pyarrow as pa
 
-        get = table.value.__getitem__
+        tokens = table.value
+        by_rank = np.full(max(tokens, default=-1) + 1, None, object)
+        by_rank[list(tokens)] = list(tokens.values())
         for batch in batches:
+            # One row at a time: the bytes of a batch of long texts would be millions of objects.
             lists = batch.column(batch.schema.get_field_index(ids_col))
-            flat = [get(i) for i in lists.flatten().to_pylist()]
-            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            decoded = [b"".join(flat[a:b]) if ok else None
-                       for a, b, ok in zip([0, *ends], ends, lists.is_valid().to_pylist())]
+            decoded = [b"".join(by_rank[ids.values.to_numpy()].tolist()) if ids.is_valid else None for ids in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())],
                                              [*batch.schema.names, "decoded"])
 
