@@ -1,3 +1,3 @@
 """Registers the queries of all operators of this subpackage."""
 
-from wardline.llm import bpe, quality, simhash  # noqa: F401
+from wardline.llm import bpe, quality, simhash, suffixes  # noqa: F401
