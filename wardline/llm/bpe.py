@@ -1,9 +1,11 @@
 """Byte-level BPE (operator 2): every distinct pre-token of the corpus is encoded once, after a shuffle of words.
 
-Blocks of documents list their distinct pre-tokens (word, block, place in the block's list). The words meet by a shuffle
-and are encoded once each; the ids go back to the blocks, where the texts are put together again by position. Texts
-cross the network once, compressed; what the word shuffle carries is bounded by the distinct words of each block,
-so a word that fills a third of the corpus is one row per block. Decoding looks every id up in the token-byte table.
+Blocks of documents list their distinct pre-tokens in the order of a hash, so a word's position is its place in its block's list.
+The lists are cut into shards of hash ranges; a shuffle brings the equal shards of all blocks together, where every distinct
+word is encoded once; the ids go back to the blocks, and the texts are put together again by position. Texts cross the
+network once, compressed. What the word shuffle carries is bounded by the distinct words of each block, so a word that
+fills a third of the corpus is one entry per block; shards grow in number with the blocks. Decoding looks every id up in the
+token-byte table.
 
 Null text is encoded as the empty text (no ids). Repeated rows give one result each; null ids stay null. An empty
 table gives no rows. Very long texts are a block of their own.
@@ -14,8 +16,10 @@ from __future__ import annotations
 import base64
 from bisect import bisect_right
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,8 +94,8 @@ def _token_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return both
 
 
-def distinct_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callable[[], list[str]]]:
-    """Of the texts' pre-tokens: how many each text has, the place of each in the list of distinct ones, and that list.
+def distinct_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[], list[str]]]:
+    """Of the texts' pre-tokens: how many each text has, the place of each in the list of distinct ones, these ones' hashes, and the list.
 
     The list is in the order of a hash of its words, so it depends on the set of words alone.
     """
@@ -109,13 +113,13 @@ def distinct_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callabl
         # The breaks of texts without tokens follow each other; each ends the text it stands for.
         breaks = np.flatnonzero(codes == _END)
         per_text.append(np.diff(np.searchsorted(starts[real], breaks), prepend=0))
-        chunks.append(("\n".join([*strings, ""]), starts[real], np.append(starts[1:], len(codes))[real]))
+        chunks.append(("\n".join([*strings, ""]), *(x[real].astype(np.int32) for x in (starts, np.append(starts[1:], len(codes))))))
         hashes.append(both[:, real])
         sizes.append(int(real.sum()))
         begin = end
     counts = np.concatenate(per_text) if per_text else np.zeros(0, np.int64)
     first, second = np.concatenate(hashes, axis=1) if hashes else np.zeros((2, 0), np.uint64)
-    _, sample, place = np.unique(first, return_index=True, return_inverse=True)
+    known, sample, place = np.unique(first, return_index=True, return_inverse=True)
     bounds = [0, *np.cumsum(sizes).tolist()]
 
     def word(at: int) -> str:
@@ -126,8 +130,8 @@ def distinct_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Callabl
 
     if not np.array_equal(second[sample][place], second):  # two words share a hash: compare the words themselves
         words, place = np.unique([word(i) for i in range(len(first))], return_inverse=True)
-        return counts, place, words.tolist
-    return counts, place, lambda: [word(i) for i in sample.tolist()]
+        return counts, place, np.linspace(0, 1 << 63, len(words)).astype(np.uint64), words.tolist
+    return counts, place, known, lambda: [word(i) for i in sample.tolist()]
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -152,35 +156,47 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
     ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))
-    dealt = compressed_blocks(rows, block_count(rows)).repartition(F.col("block"))
+    blocks = block_count(rows)
+    dealt = compressed_blocks(rows, blocks).repartition(F.col("block"))
+
+    shards = max(64, blocks // 16)
 
     def list_words(key, group):
         import pandas as pd
 
-        words = distinct_tokens(unpacked(group["packed"]))[2]()
-        return pd.DataFrame({"block": np.int32(key[0]), "place": np.arange(len(words), dtype=np.int32), "word": words})
+        *_, hashes, words = distinct_tokens(unpacked(group["packed"]))
+        words = [w.encode() for w in words()]
+        # Equal words of all blocks fall into equal shards; the shards of a block follow the order of its list.
+        edges = np.searchsorted(hashes.astype(np.float64) * (shards / 2.0**64), np.arange(shards + 1)).tolist()
+        press = zstandard.ZstdCompressor(level=5)
+        parts = [(k, press.compress(b"\xff".join(words[a:b]))) for k, (a, b) in enumerate(zip(edges, [*edges[1:-1], len(words)])) if a < b]
+        return pd.DataFrame({"block": np.int32(key[0]), "shard": [k for k, _ in parts], "words": [w for _, w in parts]})
 
-    def encode_sorted(batches):
-        import pyarrow as pa
+    def encode_shard(key, group):
+        import pandas as pd
 
-        encode_word, last, ids = word_encoder(ranks.value), None, b""
-        for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:  # rows of one word follow each other, so each is encoded once
-                    last, ids = word, np.array(encode_word(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())],
-                                             ["block", "place", "ids"])
+        encode_word, known = word_encoder(ranks.value), {}
+        press, out = zstandard.ZstdCompressor(level=5), []
+        for words in unpacked(group["words"]):
+            words = words.split(b"\xff")
+            for word in words:
+                if word not in known:
+                    known[word] = encode_word(word.decode())
+            ids = [known[word] for word in words]
+            sizes = np.fromiter(map(len, ids), "<u4", len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum()))
+            out.append(press.compress(np.concatenate((np.array([len(ids)], "<u4"), sizes, flat)).tobytes()))
+        return pd.DataFrame({"block": group["block"], "shard": np.int32(key[0]), "ids": out})
 
     def put_together(key, texts, words):
         import pandas as pd
 
-        counts = words["ids"].map(len).to_numpy(np.int64) // 4
-        flat = np.frombuffer(b"".join(words["ids"]), "<u4").astype(np.int32)
-        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        first[words["place"]], size[words["place"]] = np.cumsum(counts) - counts, counts
-        n_tokens, place, _ = distinct_tokens(unpacked(texts["packed"]))
+        parts = [np.frombuffer(part, "<u4") for part in unpacked(words.sort_values("shard")["ids"])]
+        none = [np.zeros(0, "<u4")]
+        size = np.concatenate([part[1 : 1 + part[0]] for part in parts] or none).astype(np.int64)
+        flat = np.concatenate([part[1 + part[0] :] for part in parts] or none).astype(np.int32)
+        first = np.cumsum(size) - size
+        n_tokens, place, *_ = distinct_tokens(unpacked(texts["packed"]))
         out = []
         for at in np.split(place, np.cumsum(n_tokens)[:-1]):
             n = size[at]
@@ -189,9 +205,8 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "ids": out})
 
     words = (
-        dealt.groupBy("block").applyInPandas(list_words, "block int, place int, word string")
-        .repartition(F.col("word")).sortWithinPartitions("word")
-        .mapInArrow(encode_sorted, "block int, place int, ids binary")
+        dealt.groupBy("block").applyInPandas(list_words, "block int, shard int, words binary")
+        .groupBy("shard").applyInPandas(encode_shard, "block int, shard int, ids binary")
     )
     return (
         dealt.select("block", "doc_id", "packed").groupBy("block").cogroup(words.groupBy("block"))

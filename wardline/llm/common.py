@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Text per block of documents: bounds what one Python worker holds, whatever the size of the corpus.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
@@ -35,7 +35,7 @@ def compressed_blocks(rows: DataFrame, blocks: int) -> DataFrame:
     def pack(batches):
         import pyarrow as pa
 
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=5)
         for batch in batches:
             texts = batch.column(1)
             packed = pa.array([press.compress(t.as_buffer()) for t in texts.cast(pa.binary())], pa.binary())
