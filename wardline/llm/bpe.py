@@ -225,7 +225,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
         tokens = table.value
         by_rank = np.full(max(tokens, default=-1) + 1, None, object)
         by_rank[list(tokens)] = list(tokens.values())
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, max(1, whole.num_rows), 500)):
             # One row at a time: the bytes of a batch of long texts would be millions of objects.
             lists = batch.column(batch.schema.get_field_index(ids_col))
             decoded = [b"".join(by_rank[ids.values.to_numpy()].tolist()) if ids.is_valid else None for ids in lists]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Text per block of documents: bounds what one Python worker holds, whatever the size of the corpus.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
