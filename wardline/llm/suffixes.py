@@ -331,10 +331,25 @@ def compressed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "text_hash").mapInArrow(pack, "doc_id long, text_hash long, packed binary")
 
 
+def _without_spans(text: bytes, spans) -> tuple[np.ndarray, int]:
+    """Which bytes stay, and how many maximal runs go; `spans` is an Arrow scalar, null without repeats."""
+    if not spans.is_valid:
+        return np.ones(len(text), bool), 0
+    change = np.zeros(len(text) + 1, np.int32)
+    np.add.at(change, spans.values.field("begin").to_numpy(), 1)
+    np.add.at(change, spans.values.field("end").to_numpy(), -1)
+    gone = np.cumsum(change[:-1]) > 0
+    return ~gone, len(_runs(gone)[0])
+
+
+def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    spans = spans.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans")
+    return rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").drop("d", "h")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, kept binary, n_bytes, n_removed, n_spans) of every row."""
-    spans = repeated_spans(docs, length, id_col, text_col).select(
-        F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans")
+    """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row."""
+    spans = repeated_spans(docs, length, id_col, text_col)
     rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
 
     def cut(batches):
@@ -342,31 +357,51 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         import zstandard
 
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, max(1, whole.num_rows), 1000)):
             kept, sizes, removed, runs = [], [], [], []
-            for packed, spans in zip(batch.column(2), batch.column(3)):
+            for packed, spans in zip(batch.column(1), batch.column(2)):
                 text = press.decompress(packed.as_buffer())
+                stays, n = _without_spans(text, spans)
+                kept.append(np.frombuffer(text, np.uint8)[stays].tobytes() if n else text)
                 sizes.append(len(text))
-                if not spans.is_valid:
-                    kept.append(text)
-                    removed.append(0)
-                    runs.append(0)
-                    continue
-                change = np.zeros(len(text) + 1, np.int32)
-                np.add.at(change, spans.values.field("begin").to_numpy(), 1)
-                np.add.at(change, spans.values.field("end").to_numpy(), -1)
-                gone = np.cumsum(change[:-1]) > 0
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-                removed.append(int(gone.sum()))
-                runs.append(len(_runs(gone)[0]))
+                removed.append(len(text) - int(stays.sum()))
+                runs.append(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-                ["doc_id", "text_hash", "kept", "n_bytes", "n_removed", "n_spans"])
+                [batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs))],
+                ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+
+    return _with_spans(compressed(rows), spans).select("doc_id", "packed", "spans").mapInArrow(
+        cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
-    joined = compressed(rows).join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    return joined.select("doc_id", "text_hash", "packed", "spans").mapInArrow(
-        cut, "doc_id long, text_hash long, kept binary, n_bytes long, n_removed long, n_spans long")
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of `docs`; of the text, the characters of which no byte repeats. Null texts stay null."""
+    spans = repeated_spans(docs, length, id_col, text_col)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(own, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"),
+                       F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"))
+    found = _with_spans(rows.select("row", "doc_id", "text_hash"), spans)
+    place = docs.columns.index(text_col)
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(place).cast(pa.binary()), batch.column(batch.num_columns - 1)):
+                text = text.as_py()
+                if text is not None and spans.is_valid:
+                    stays, _ = _without_spans(text, spans)
+                    data = np.frombuffer(text, np.uint8)
+                    lead = (data & 0xC0) != 0x80
+                    whole = np.logical_and.reduceat(stays, np.flatnonzero(lead))
+                    text = data[np.repeat(whole, np.diff(np.append(np.flatnonzero(lead), len(data))))].tobytes()
+                texts.append(text)
+            columns = batch.columns[:-1]
+            columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return found.select("row.*", F.col("spans").alias("__spans")).mapInArrow(cut, docs.schema)
 
 
 @query("op5_suffix_dedup")
