@@ -178,9 +178,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     anchored = written(rows.mapInArrow(
         find, "doc_id long, text_hash long, start int, windows int, offset int, anchor long, context long"), "suffix-anchors")
-    repeated = anchored.groupBy("anchor").agg(
+    # Written, so that the join has a shuffle of its own, whose large partitions Spark can split.
+    repeated = written(anchored.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")
-    ).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    ).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "suffix-repeated")
     candidates = written(anchored.join(repeated, "anchor"), "suffix-candidates")
 
     same = candidates.where(~F.col("mixed")).select(
