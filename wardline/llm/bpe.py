@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from wardline.catalog.registry import query
 from wardline.llm.common import block_count, compressed_blocks, id_and_text, mix, unpacked
 
-_SPACE, _LETTER, _NUMBER, _OTHER, _BREAK = range(5)
+_SPACE, LETTER, _NUMBER, _OTHER, _BREAK = range(5)
 # The endings that the pattern's contractions allow.
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _END = 0x110000  # stands between texts; no character has this code
@@ -45,7 +45,7 @@ def character_classes() -> np.ndarray:
         every = "".join(map(chr, (c for c in range(_END) if not 0xD800 <= c < 0xE000)))
         table = np.full(_END + 1, _OTHER, np.uint8)
         table[_END] = _BREAK
-        for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for kind, pattern in ((_SPACE, r"\s+"), (LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
             table[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
         _classes = table
     return _classes
