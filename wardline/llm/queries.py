@@ -1,3 +1,3 @@
 """Registers the queries of all operators of this subpackage."""
 
-from wardline.llm import bpe, decontaminate, langid, quality, simhash, suffixes  # noqa: F401
+from wardline.llm import bpe, decontaminate, langid, quality, rules, simhash, suffixes  # noqa: F401
