@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
-from wardline.llm.common import block_count, compressed_blocks, id_and_text, mix, unpacked
+from wardline.llm.common import block_count, compressed_blocks, id_and_text, ids_of, mix, unpacked
 
 _SPACE, LETTER, _NUMBER, _OTHER, _BREAK = range(5)
 # The endings that the pattern's contractions allow.
@@ -202,7 +202,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
             n = size[at]
             where = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             out.append(flat[where])
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "ids": out})
+        return pd.DataFrame({"doc_id": pd.array(ids_of(texts["doc_id"]), "Int64"), "ids": out})
 
     words = (
         dealt.groupBy("block").applyInPandas(list_words, "block int, shard int, words binary")

@@ -27,7 +27,7 @@ def block_count(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOC
 
 
 def compressed_blocks(rows: DataFrame, blocks: int) -> DataFrame:
-    """(doc_id, text) -> (block, doc_id, packed): texts compressed and dealt evenly by content.
+    """(doc_id, text) -> (block, doc_id, packed): texts compressed and dealt evenly by content; ids as text.
 
     The only shuffle of texts. Null and repeated ids are spread too, since the text is part of the key.
     """
@@ -42,11 +42,17 @@ def compressed_blocks(rows: DataFrame, blocks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), packed], ["block", "doc_id", "packed"])
 
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    return rows.select("doc_id", "text", block.alias("block")).mapInArrow(
-        pack, "block int, doc_id long, packed binary"
+    # Pandas would make a column of longs with a null one of doubles, and long ids inexact.
+    return rows.select(F.col("doc_id").cast("string"), "text", block.alias("block")).mapInArrow(
+        pack, "block int, doc_id string, packed binary"
     )
 
 
+def ids_of(texts) -> list[int | None]:
+    """The ids of a block's rows as integers."""
+    return [None if i is None else int(i) for i in texts]
+
+
 def unpacked(packed: list[bytes]) -> list[bytes]:
     press = zstandard.ZstdDecompressor()
     return [press.decompress(p) for p in packed]

@@ -6,7 +6,7 @@ sum is scored by a logistic unit. The model is a few thousand numbers, fitted on
 documents (those with the smallest hash of their id, half of either label where there are enough) of at most
 `max_passages` passages each. Scoring is one pass over whole texts without a shuffle.
 
-Null and empty texts are one passage without content and get a score like any other. Repeated rows get equal scores. A
+Null and empty texts are one passage without content and get a score like any other. Repeated rows get equal scores (rounded to five places). A
 label row that is null is ignored; of several for one document the smallest counts. Without labels of both kinds
 every score is the share of label 1 among them (0.5 if there are none). An empty table gives no rows. Input columns
 named like the results are replaced by them.
@@ -35,9 +35,10 @@ _kinds[3, [ord(c) for c in "#*$%&|<>=+^~_\\/{}[]@"]] = 1
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of the texts (rows), and how many each text has (one at least)."""
-    data = np.frombuffer(b"\n".join(texts), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    # Two line ends after each text, so that no trigram reaches from one into the next.
+    data = np.frombuffer(b"".join(text + b"\n\n" for text in texts), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+    begins = np.cumsum(sizes) - sizes
     starts, ends = word_spans(data)
     doc_of_word = np.searchsorted(begins, starts, "right") - 1
     words = np.bincount(doc_of_word, minlength=len(texts))
@@ -58,7 +59,10 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(data) > 2:
         b = data.astype(np.uint32)
         code = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> 24
-        out[:, :HASHED] = np.log1p(np.bincount(of_byte[:-2] * HASHED + code, minlength=n * HASHED).reshape(n, HASHED))
+        own = np.ones(len(data), bool)
+        own[begins + sizes - 1] = own[begins + sizes - 2] = False
+        cells = (of_byte[:-2] * HASHED + code)[own[:-2]]
+        out[:, :HASHED] = np.log1p(np.bincount(cells, minlength=n * HASHED).reshape(n, HASHED))
     for k, kind in enumerate(_kinds):
         out[:, HASHED + k] = np.bincount(of_byte, kind[data], n) / size
     hashes = PrefixHash(data).slices(starts, ends)
@@ -217,7 +221,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
 
         for batch in batches:
             texts = [t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()]
-            p = np.concatenate([np.zeros(0), *probabilities(texts)])
+            p = np.round(np.concatenate([np.zeros(0), *probabilities(texts)]), 5)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n], pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                 [*batch.schema.names[:n], "score", "predicted"])

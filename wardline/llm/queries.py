@@ -1,3 +1,3 @@
 """Registers the queries of all operators of this subpackage."""
 
-from wardline.llm import bpe, decontaminate, langid, lm_score, quality, rules, simhash, suffixes, warc  # noqa: F401
+from wardline.llm import bpe, decontaminate, langid, lm_score, phrases, quality, rules, simhash, suffixes, warc  # noqa: F401
