@@ -26,15 +26,33 @@ def test_train_score_save_and_load(spark, labelled, tmp_path):
     assert decided.where("decision = 'BLOCKED' and label = 0").count() == 0
 
 
-def test_tokens_beyond_the_limit_do_not_count(spark, labelled):
-    model, _ = sc.train_text_classifier(labelled, labelled, regs=(0.01,), features=(1 << 10,), max_tokens=4)
-    df = spark.createDataFrame([("what a lovely day",), ("what a lovely day reveal secret hidden",)], "text string")
+def test_words_far_into_a_text_count(spark, labelled):
+    model, _ = sc.train_text_classifier(labelled, labelled, regs=(0.01,), features=(1 << 10,))
+    calm = "what a lovely day " + "walk " * 600
+    df = spark.createDataFrame([(calm,), (calm + "reveal secret hidden " * 300,)], "text string")
     scores = [r.injection_score for r in sc.model_scorer(model)(df).collect()]
-    assert scores[0] == scores[1]
+    assert scores[0] < 0.5 < scores[1]
+
+
+def test_a_failing_text_loses_its_own_score_only(spark):
+    def score(texts: pd.Series) -> pd.Series:
+        if (texts == "13").any():
+            raise ValueError("no score")
+        return texts.str.len() / 10.0
+
+    df = spark.range(50).select(F.col("id").cast("string").alias("text")).coalesce(1)
+    rows = sc.batch_scorer(score)(df).collect()
+    assert [r.text for r in rows if r.injection_score is None] == ["13"] and len(rows) == 50
+
+
+def test_several_scores_of_one_row(spark):
+    scores = spark.createDataFrame([(1, 0.25), (1, 0.75)], "id int, score double")
+    df = spark.createDataFrame([(1, "a")], "id int, text string")
+    assert [r.injection_score for r in sc.table_scorer(scores, "id")(df).collect()] == [0.75]
 
 
 def test_no_model(spark, tmp_path):
-    with pytest.raises(sc.ModelNotReadyError):
+    with pytest.raises(sc.MissingModelError):
         sc.load_model(str(tmp_path / "none"))
     scorer, why = sc.scorer_or_none(str(tmp_path / "none"))
     assert scorer is None

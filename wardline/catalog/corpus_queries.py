@@ -10,12 +10,13 @@ from wardline.catalog.inputs import (
     ALL_EXAMPLES_SQL, EXAMPLE_COLUMNS, PROMPTS_SQL, SPECS, benchmark_source, examples_sql, prompts, raw_sources,
     strip_sql, table,
 )
+from wardline.catalog.dedup_queries import greedy_sql, near_sql
 from wardline.catalog.registry import query
 from wardline.functions.text import long_enough, strip_text
 from wardline.operators import corpus as c
 from wardline.operators import sampling as s
 from wardline.operators.evaluation import label_distribution, source_distribution
-from wardline.plans.prepare import PrepareOptions, deduplicated
+from wardline.plans.prepare import PrepareOptions, deduplicated, prepare_corpus
 from wardline.sources import readers, writers
 from wardline.workdir import new_path
 
@@ -159,9 +160,17 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_rows(spark, sf_dir)
 
 
-@query("dedup_toggle", f"WITH {ALL_EXAMPLES_SQL} SELECT row_key FROM examples")
+_UNIQUE_SQL = f"{near_sql('examples', 'row_key')}, {greedy_sql('near', 'nodes', 6)}"
+
+
+@query("dedup_toggle", f"""
+WITH {ALL_EXAMPLES_SQL}, {_UNIQUE_SQL} SELECT row_key, row_key IN (SELECT id FROM kept_6) AS kept_when_on FROM examples""")
 def dedup_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(training_rows(spark, sf_dir), PrepareOptions(dedup="off")).select("row_key")
+    """All rows, as they are with the toggle off, and whether they stay with it on."""
+    rows = training_rows(spark, sf_dir)
+    on = deduplicated(rows, PrepareOptions()).select("row_key", F.lit(True).alias("kept"))
+    off = deduplicated(rows, PrepareOptions(dedup="off")).select("row_key")
+    return off.join(on, "row_key", "left").select("row_key", F.coalesce("kept", F.lit(False)).alias("kept_when_on"))
 
 
 # --- Counts ------------------------------------------------------------------------------------------------
@@ -192,7 +201,7 @@ def cap_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.cap_training_rows(training_rows(spark, sf_dir), 1000).select("row_key", "label")
 
 
-# Eight tenths benign: the labels of the documents are kept, only the share differs, so that some benign go.
+# One half benign, not the default share: so that some benign rows go.
 _BALANCED_SQL = f"""
 sizes AS (SELECT count(*) FILTER (label = 1) AS positives FROM examples),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {draw_sql('balance')}) AS place FROM examples),
@@ -234,7 +243,7 @@ def shuffle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.shuffle_rows(rows).withColumn("draw", s.sampling_key("row_key", purpose="shuffle"))
 
 
-_SPLIT_SQL = f"""
+SPLIT_SQL = f"""
 sizes_by_label AS (SELECT label, count(*) AS n FROM examples GROUP BY label),
 total AS (SELECT sum(n) AS total, sum(n) - ceil((1.0::DOUBLE - 0.85::DOUBLE) * sum(n)) AS train FROM sizes_by_label),
 shares AS (SELECT label, n, n / total::DOUBLE * train AS share, train FROM sizes_by_label, total),
@@ -244,14 +253,42 @@ placed AS (SELECT examples.*, row_number() OVER (PARTITION BY label ORDER BY {dr
 parts AS (SELECT placed.*, CASE WHEN place <= quota THEN 'eval' ELSE 'train' END AS part FROM placed JOIN quotas USING (label))"""
 
 
-@query("stratified_split", f"WITH {ALL_EXAMPLES_SQL}, {_SPLIT_SQL} SELECT row_key, label, part FROM parts")
+@query("stratified_split", f"WITH {ALL_EXAMPLES_SQL}, {SPLIT_SQL} SELECT row_key, label, part FROM parts")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.stratified_split(training_rows(spark, sf_dir)).select("row_key", "label", "part")
 
 
+_UNLABELLED = "right(row_key, 8) LIKE '%7-000000'"
+
+
+@query("stratified_split_unlabelled", f"""
+WITH {ALL_EXAMPLES_SQL.replace('examples AS', 'given AS', 1)},
+examples AS (SELECT * REPLACE (CASE WHEN {_UNLABELLED} THEN NULL ELSE label END AS label) FROM given),
+{SPLIT_SQL.replace('JOIN quotas USING (label)', 'JOIN quotas ON placed.label IS NOT DISTINCT FROM quotas.label')}
+SELECT row_key, label, part FROM parts""")
+def stratified_split_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a label are a class of their own."""
+    label = F.when(~F.expr(_UNLABELLED), F.col("label"))
+    return s.stratified_split(training_rows(spark, sf_dir).withColumn("label", label)).select("row_key", "label", "part")
+
+
+@query("prepare_corpus", f"""
+WITH {ALL_EXAMPLES_SQL.replace('examples AS', 'given AS', 1)},
+labelled AS (SELECT * FROM given WHERE NOT {_UNLABELLED}),
+{near_sql('labelled', 'row_key')}, {greedy_sql('near', 'nodes', 6)},
+examples AS (SELECT * FROM labelled WHERE row_key IN (SELECT id FROM kept_6)), {_BALANCED_SQL},
+{SPLIT_SQL.replace('FROM examples', 'FROM balanced').replace('examples.*', 'balanced.*')}
+SELECT row_key, text, label, source, attack_type, part FROM parts""")
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: guard, rows without a label left out, exact near-dedup, balance, shuffle, split."""
+    rows = training_rows(spark, sf_dir)
+    rows = rows.withColumn("label", F.when(~F.expr(_UNLABELLED), F.col("label")))
+    return prepare_corpus(rows, PrepareOptions(benign_share=0.5)).select(*EXAMPLE_COLUMNS, "part")
+
+
 # --- Writing and reading back -----------------------------------------------------------------------------
 _PREPARED_SQL = f"""
-WITH {examples_sql('neuralchemy')}, {_SPLIT_SQL}, held AS (
+WITH {examples_sql('neuralchemy')}, {SPLIT_SQL}, held AS (
   SELECT {strip_sql('text')} AS text FROM benchmark WHERE length({strip_sql('text')}) >= 5)"""
 
 

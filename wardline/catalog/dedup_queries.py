@@ -44,6 +44,11 @@ near AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, a
 nodes AS (SELECT doc_id AS id FROM documents)"""
 
 
+def near_sql(rows: str, key: str) -> str:
+    """The same CTEs over other rows."""
+    return _NEAR_SQL.replace("documents", rows).replace("doc_id", key)
+
+
 @query("token_set", f"""
 WITH {_TOKENS_SQL} SELECT doc_id, len(tokens) AS n, array_to_string(list_sort(tokens), ' ') AS tokens FROM token_sets""")
 def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.catalog.corpus_queries import SPLIT_SQL
 from wardline.catalog.inputs import SCORED_SQL, counts_sql, metrics_sql, scored, table
 from wardline.catalog.registry import query
 from wardline.functions.scores import score_or_zero
@@ -135,22 +136,32 @@ def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_split(rows)
 
 
-@query("train_text_classifier")
+_HELD_OUT_SQL = f"""
+examples AS (SELECT doc_id::VARCHAR AS row_key, lang AS dataset, toxic AS label FROM documents JOIN labels USING (doc_id)),
+{SPLIT_SQL}"""
+
+
+@query("train_text_classifier", f"""
+WITH {_HELD_OUT_SQL}, thresholds AS (SELECT threshold::DOUBLE AS threshold FROM (VALUES (0.3), (0.4), (0.5), (0.6), (0.7), (0.8)) v(threshold))
+SELECT dataset, threshold, count(*) AS n, count(*) FILTER (label = 0) AS negatives, count(*) FILTER (label = 1) AS positives
+FROM parts, thresholds WHERE part = 'eval' GROUP BY dataset, threshold""")
 def trained_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best model's metrics on the held-out part, per threshold."""
+    """The best model's confusion counts on the held-out part, added up to what the split alone determines."""
     split = _training_rows(spark, sf_dir)
     train, held_out = split.where("part = 'train'"), split.where("part = 'eval'")
     model, _ = train_text_classifier(train, held_out)
     scores = model_scorer(model)(held_out).withColumn("score", F.col("injection_score"))
-    return e.threshold_sweep(scores).select(*SWEEP_COLUMNS)
+    negatives, positives = (F.col("tn") + F.col("fp")).alias("negatives"), (F.col("fn") + F.col("tp")).alias("positives")
+    return e.threshold_sweep(scores).select("dataset", "threshold", "n", negatives, positives)
 
 
-@query("save_load_model")
+@query("save_load_model", "SELECT doc_id, true AS same_score FROM documents")
 def reloaded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents scored by a model that was saved and loaded again."""
+    """Whether every document gets the same score from a model and from its copy saved and loaded again."""
     split = _training_rows(spark, sf_dir)
     model, _ = train_text_classifier(split.where("part = 'train'"), split.where("part = 'eval'"), regs=(0.05,))
     path = new_path(spark, "model")
     save_model(model, path)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return model_scorer(load_model(path))(docs).select("doc_id", "injection_score", "benign_score")
+    again = model_scorer(load_model(path))(model_scorer(model)(docs).withColumnRenamed("injection_score", "before").drop("benign_score"))
+    return again.select("doc_id", F.col("injection_score").eqNullSafe(F.col("before")).alias("same_score"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from wardline.functions.text import WHITESPACE
 from wardline.operators.corpus import EVAL_SOURCE, TRAINING_SOURCES, SourceSpec
-from wardline.sources.readers import spread_if_small
 
 # One sentence per rule, appended to some of the rows because the tables hold no attacks of their own.
 ATTACKS: tuple[str, ...] = (
@@ -41,7 +40,9 @@ def sql_text(value: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_if_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A table. A session whose files are few and small may ask for `wardline.input.partitions`."""
+    rows, partitions = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get("wardline.input.partitions", None)
+    return rows.repartition(int(partitions)) if partitions else rows
 
 
 def with_attacks(id_col: str, text: Column | None = None) -> Column:

@@ -37,14 +37,15 @@ def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(
         "conv_id", "turn", with_attacks("conv_id").alias("text"),
         ((F.col("conv_id") * 7919 + F.col("turn") * 31) % 1000 / F.lit(1000.0)).alias("given_score"),
+        (F.length("text") / F.lit(8.0)).alias("latency_ms"),
     )
 
 
 _TURNS_SQL = f"""
 turns AS (SELECT conv_id, turn, {with_attacks_sql('conv_id')} AS text,
-  ((conv_id * 7919 + turn * 31) % 1000) / 1000::DOUBLE AS given_score FROM conversations),
+  ((conv_id * 7919 + turn * 31) % 1000) / 1000::DOUBLE AS given_score, length(text) / 8::DOUBLE AS latency_ms FROM conversations),
 matched AS (SELECT *, {pattern_sql('text')} AS pattern FROM turns),
-decided AS (SELECT conv_id, turn, text, pattern, CASE WHEN pattern IS NULL THEN given_score END AS score,
+decided AS (SELECT conv_id, turn, text, pattern, latency_ms, CASE WHEN pattern IS NULL THEN given_score END AS score,
   CASE WHEN pattern IS NOT NULL OR given_score >= 0.65 THEN 'BLOCKED' WHEN given_score < 0.4 THEN 'ALLOWED' ELSE 'REVIEW' END AS decision,
   CASE WHEN pattern IS NOT NULL THEN 1 ELSE 2 END AS stage FROM matched)"""
 
@@ -74,10 +75,12 @@ def logged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("running_stats", f"""
 WITH {_TURNS_SQL} SELECT count(*) AS total_requests, count(*) FILTER (decision = 'BLOCKED') AS blocked_count,
   count(*) FILTER (decision = 'ALLOWED') AS allowed_count, count(*) FILTER (decision = 'REVIEW') AS review_count,
-  count(*) FILTER (stage = 1) AS stage_1, count(*) FILTER (stage = 2) AS stage_2, count(*) FILTER (stage = 3) AS stage_3
-FROM decided""")
+  count(*) FILTER (stage = 1) AS stage_1, count(*) FILTER (stage = 2) AS stage_2, count(*) FILTER (stage = 3) AS stage_3,
+  printf('%.3f', avg(latency_ms))::DOUBLE AS average_latency_ms FROM decided""")
 def running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = d.gate_stream(_arriving(spark, sf_dir), scorer="given_score")
     path = new_path(spark, "stream-counts")
     d.running_stats_stream(decided, path, new_path(spark, "stream-state"), once=True).awaitTermination()
-    return d.stats_from_counts(spark.read.parquet(path))
+    totals = d.stats_from_counts(d.read_running_counts(spark, path))
+    stages = [F.col("stage_distribution")[f"stage_{s}"].alias(f"stage_{s}") for s in (1, 2, 3)]
+    return totals.select("total_requests", "blocked_count", "allowed_count", "review_count", *stages, "average_latency_ms")

@@ -51,8 +51,9 @@ def half_even(value: Column, digits: int) -> Column:
     above = (product - whole - F.lit(0.5)) + error
     up = F.when(above > 0, 1).when(above < 0, 0).otherwise(F.abs(whole % 2))
     rounded = (whole + up).cast("double") / F.lit(scale)
-    finite = ~F.isnan(value) & (F.abs(value) < F.lit(1e9))
-    return F.when(finite, rounded).otherwise(value)
+    # From 2^53 on neighbouring doubles lie more than a unit of the last decimal apart, so rounding changes nothing.
+    inexact = ~F.isnan(value) & (F.abs(product) < F.lit(float(1 << 53)))
+    return F.when(inexact, rounded).otherwise(value)
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -43,13 +43,19 @@ def sampling_key(row_key: Column | str, seed: int = settings.SEED, purpose: str
 
 
 def row_key(source_rank: Column, row_id: Column, turn: Column | None = None) -> Column:
-    """A unique string whose order is (source, row, turn); ids must not be negative."""
-    parts = [
-        F.lpad(source_rank.cast("string"), 2, "0"),
-        F.lpad(row_id.cast("string"), 19, "0"),
-        F.lpad((F.lit(0) if turn is None else turn).cast("string"), 6, "0"),
-    ]
-    return F.concat_ws("-", *parts)
+    """A unique string whose order is (source, row, turn) for numbers that are not negative; any text serves as an id.
+
+    A null part ends the job: rows without an id would be one row to every step that follows.
+    """
+    parts = [(source_rank, 2), (row_id, 19), (F.lit(0) if turn is None else turn, 6)]
+    return F.concat_ws("-", *[_padded(part.cast("string"), width) for part, width in parts])
+
+
+def _padded(part: Column, width: int) -> Column:
+    """Zeros in front up to `width`; what is longer stays whole, behind a letter that sorts it after shorter numbers."""
+    beyond = F.char(F.lit(96) + F.least(F.length(part) - width, F.lit(26)))
+    missing = F.raise_error(F.lit("a row without an id, a turn or a source rank")).cast("string")
+    return F.when(part.isNull(), missing).when(F.length(part) <= width, F.lpad(part, width, "0")).otherwise(F.concat(beyond, part))
 
 
 def _col(value: Column | str) -> Column:

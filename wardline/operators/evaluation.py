@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline import settings
 from wardline.functions.scores import at_least, half_even, ratio, score_or_zero
+from wardline.workdir import written
 
 
 def confusion_counts(
@@ -84,6 +85,24 @@ def best_threshold(sweep: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFr
     )
 
 
+def _typed_counts(scored: DataFrame, thresholds: Sequence[float], score_col: str, dataset_col: str) -> DataFrame:
+    """Counts by data set and attack type, written: the rows are read once for all that is derived. A null type is `unknown`."""
+    named = scored.withColumn("attack_type", F.coalesce("attack_type", F.lit("unknown")))
+    return written(confusion_counts(named, thresholds, (dataset_col, "attack_type"), score_col), "evaluation-counts")
+
+
+def _totals(typed: DataFrame, dataset_col: str) -> DataFrame:
+    return typed.groupBy(dataset_col, "position", "threshold").agg(*[F.sum(c).alias(c) for c in ("n", "tn", "fp", "fn", "tp")])
+
+
+def _breakdown(typed: DataFrame, dataset_col: str) -> DataFrame:
+    best = best_threshold(_totals(typed, dataset_col).withColumns(metric_columns()), (dataset_col,)).select(dataset_col, "threshold")
+    metrics = metric_columns()
+    return typed.join(best, [dataset_col, "threshold"]).select(
+        dataset_col, "attack_type", "threshold", "n", *[metrics[m].alias(m) for m in ("f1", "precision", "recall")]
+    )
+
+
 def attack_type_breakdown(
     scored: DataFrame,
     thresholds: Sequence[float] = settings.EVAL_THRESHOLDS,
@@ -91,15 +110,7 @@ def attack_type_breakdown(
     dataset_col: str = "dataset",
 ) -> DataFrame:
     """Metrics per attack type at the data set's best threshold, from a single pass over the rows."""
-    per_type = confusion_counts(scored, thresholds, (dataset_col, "attack_type"), score_col)
-    totals = per_type.groupBy(dataset_col, "position", "threshold").agg(
-        *[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")]
-    ).withColumns(metric_columns())
-    best = best_threshold(totals, (dataset_col,)).select(dataset_col, "threshold")
-    metrics = metric_columns()
-    return per_type.join(best, [dataset_col, "threshold"]).select(
-        dataset_col, "attack_type", "threshold", "n", *[metrics[m].alias(m) for m in ("f1", "precision", "recall")]
-    )
+    return _breakdown(_typed_counts(scored, thresholds, score_col, dataset_col), dataset_col)
 
 
 def evaluation_report(
@@ -112,15 +123,16 @@ def evaluation_report(
 
     Nesting gathers one entry per threshold and per attack type, never rows of the input.
     """
-    sweep = threshold_sweep(scored, thresholds, (dataset_col,), score_col)
+    typed = _typed_counts(scored, thresholds, score_col, dataset_col) if "attack_type" in scored.columns else None
+    counts = confusion_counts(scored, thresholds, (dataset_col,), score_col) if typed is None else _totals(typed, dataset_col)
+    sweep = counts.withColumns({**metric_columns(), "confusion_matrix": confusion_matrix()})
     entry = F.struct("position", "threshold", "precision", "recall", "f1", "accuracy", "confusion_matrix")
     report = sweep.groupBy(F.col(dataset_col).alias("dataset")).agg(
         F.first("n").alias("n_samples"), F.array_sort(F.collect_list(entry)).alias("thresholds")
     ).withColumn("thresholds", F.transform("thresholds", lambda t: t.dropFields("position")))
-    if "attack_type" not in scored.columns:
+    if typed is None:
         return report
-    types = attack_type_breakdown(scored, thresholds, score_col, dataset_col)
-    nested = types.groupBy(F.col(dataset_col).alias("dataset")).agg(
+    nested = _breakdown(typed, dataset_col).groupBy(F.col(dataset_col).alias("dataset")).agg(
         F.map_from_entries(
             F.collect_list(F.struct("attack_type", F.struct("n", "f1", "precision", "recall")))
         ).alias("attack_type_breakdown")

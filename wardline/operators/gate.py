@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardline import settings
 from wardline.functions.rules import DEFAULT_RULES, Rule, match_rules
 from wardline.functions.scores import at_least, below, effective_threshold, fixed
-from wardline.operators.verdicts import ERROR_REASON
+from wardline.operators.verdicts import ERROR_REASON, one_per_id
 
 DECISION_COLUMNS = ("decision", "stage", "score", "pattern", "reasoning")
 
@@ -134,7 +134,8 @@ def gate(
 
     `scorer`: a score column or expression, a function DataFrame -> DataFrame adding `injection_score`, or
     None when no model is ready. `verdicts`: (id_col, is_injection, confidence, reasoning) for ambiguous
-    rows; a row without one counts as a reviewer error. Only ambiguous rows take part in that join.
+    rows; a row without one counts as a reviewer error, of several the most severe holds. Only ambiguous rows take part
+    in that join.
     """
     if scorer is None:
         return decide(match_rules(df, text_col, rules), None, unavailable=unavailable)
@@ -147,7 +148,7 @@ def gate(
     open_rows = ambiguous(score, threshold, default_threshold, lower)
     settled = decide(scored.where(~open_rows), score, **bounds)
     reviewed = scored.where(open_rows).join(
-        verdicts.select(
+        one_per_id(verdicts, id_col).select(
             F.col(id_col),
             F.col("is_injection").alias("_injection"),
             F.col("confidence").alias("_confidence"),

@@ -26,6 +26,15 @@ def _draws(df: DataFrame, stratum: Column, purpose: str, seed: int, row_key: str
     )
 
 
+def _with_strata(left: DataFrame, right: DataFrame, how: str = "inner", *also: str) -> DataFrame:
+    """Join on `stratum` (and `also`), where a null stratum is one like any other."""
+    other = right.withColumnsRenamed({c: f"_{c}" for c in ("stratum", *also)})
+    same = F.col("stratum").eqNullSafe(F.col("_stratum"))
+    for name in also:
+        same &= F.col(name) == F.col(f"_{name}")
+    return left.join(other, same, how).drop(*[f"_{c}" for c in ("stratum", *also)])
+
+
 def draw_limits(draws: DataFrame, quotas: DataFrame) -> DataFrame:
     """Per stratum the largest sampling key still drawn.
 
@@ -36,16 +45,14 @@ def draw_limits(draws: DataFrame, quotas: DataFrame) -> DataFrame:
     upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("cell"))
     reached = F.struct("cell", (F.col("quota") - F.col("upto") + F.col("n")).alias("take"))
     cuts = written(
-        cells.withColumn("upto", upto)
-        .join(quotas, "stratum")
+        _with_strata(cells.withColumn("upto", upto), quotas)
         .groupBy("stratum")
         .agg(F.min(F.when(F.col("upto") >= F.col("quota"), reached)).alias("cut"))
         .select("stratum", "cut.cell", "cut.take"),
         "sampling-cuts",
     )
     in_cell = (
-        draws.withColumn("cell", cell)
-        .join(broadcast_if_small(cuts), ["stratum", "cell"])
+        _with_strata(draws.withColumn("cell", cell), broadcast_if_small(cuts), "inner", "cell")
         .withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("draw")))
         .where(F.col("place") == F.col("take"))
         .select("stratum", F.col("draw").alias("last_draw"))
@@ -53,7 +60,7 @@ def draw_limits(draws: DataFrame, quotas: DataFrame) -> DataFrame:
     # A cut that takes no row of its own cell still draws the cells before it; no cut draws everything.
     before_cell = F.lower(F.lpad(F.hex("cell"), 4, "0"))
     last = F.coalesce("last_draw", before_cell, F.lit(_EVERYTHING)).alias("last_draw")
-    return written(cuts.join(in_cell, "stratum", "left").select("stratum", last), "sampling-limits")
+    return written(_with_strata(cuts, in_cell, "left").select("stratum", last), "sampling-limits")
 
 
 def sample_per_stratum(
@@ -72,8 +79,7 @@ def sample_per_stratum(
     sizes = draws.groupBy("stratum").agg(F.count("*").alias("n"))
     limits = broadcast_if_small(draw_limits(draws, quotas(sizes)))
     return (
-        df.withColumn("stratum", stratum)
-        .join(limits, "stratum", "left")
+        _with_strata(df.withColumn("stratum", stratum), limits, "left")
         .withColumn("_drawn", sampling_key(row_key, seed, purpose) <= F.coalesce("last_draw", F.lit(_NOTHING)))
         .drop("stratum", "last_draw")
     )

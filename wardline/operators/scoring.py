@@ -8,19 +8,22 @@ from itertools import product
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline import settings
 from wardline.functions.scores import half_even
 from wardline.operators.evaluation import argmax_metrics
 from wardline.operators.gate import Scorer
+from wardline.operators.verdicts import each_alone
 
 
-class ModelNotReadyError(RuntimeError):
+ITERATIONS = 100
+
+
+class MissingModelError(RuntimeError):
     """No fitted model where one was expected."""
 
 
@@ -39,13 +42,17 @@ def batch_scorer(
     """A scorer from a function on a pandas Series of texts.
 
     With `load`, the function is called as `score(model, texts)` with the model loaded once per Python task,
-    not per batch.
+    not per batch. Where it fails on a batch, its texts are scored one by one; those it fails on alone get null.
     """
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load() if load else None
+
+        def run(batch: pd.Series) -> pd.Series:
+            return score(model, batch) if load else score(batch)
+
         for batch in texts:
-            yield score(model, batch) if load else score(batch)
+            yield each_alone(run, batch)
 
     scored = F.pandas_udf(batches, T.DoubleType())
 
@@ -56,23 +63,25 @@ def batch_scorer(
 
 
 def table_scorer(scores: DataFrame, id_col: str, score_col: str = "score") -> Callable[[DataFrame], DataFrame]:
-    """A scorer that looks up scores computed elsewhere; rows without one get null."""
+    """A scorer that looks up scores computed elsewhere; rows without one get null, of several the greatest counts."""
 
     def apply(df: DataFrame) -> DataFrame:
-        found = scores.select(id_col, F.col(score_col).cast("double").alias("_p"))
+        found = scores.groupBy(id_col).agg(F.max(F.col(score_col).cast("double")).alias("_p"))
         return score_columns(df.join(found, id_col, "left"), F.col("_p")).drop("_p")
 
     return apply
 
 
-def text_classifier(features: int = 1 << 18, max_tokens: int = settings.MAX_TOKENS, reg: float = 0.0) -> Pipeline:
-    """Tokens (the first `max_tokens`), hashed counts, IDF, logistic regression: all distributed stages."""
+def text_classifier(features: int = 1 << 18, reg: float = 0.0, iterations: int = ITERATIONS) -> Pipeline:
+    """Tokens of the whole text, hashed counts, IDF, logistic regression: all distributed stages.
+
+    `iterations` bounds the fit; it ends earlier where it converges.
+    """
     return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="_all_tokens", pattern=r"\s+", toLowercase=True),
-        SQLTransformer(statement=f"SELECT *, slice(_all_tokens, 1, {int(max_tokens)}) AS _tokens FROM __THIS__"),
+        RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"\s+", toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features),
         IDF(inputCol="_counts", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="label", regParam=reg, maxIter=20),
+        LogisticRegression(featuresCol="_features", labelCol="label", regParam=reg, maxIter=iterations),
     ])
 
 
@@ -81,13 +90,13 @@ def train_text_classifier(
     evaluation: DataFrame,
     regs: Sequence[float] = (0.01, 0.1),
     features: Sequence[int] = (1 << 16,),
-    max_tokens: int = settings.MAX_TOKENS,
+    iterations: int = ITERATIONS,
 ) -> tuple[PipelineModel, float]:
     """The model with the greatest F1 on the evaluation rows, over the grid of parameters, and that F1."""
     train, evaluation = train.select("text", "label"), evaluation.select("text", "label")
     best: tuple[PipelineModel, float] | None = None
     for size, reg in product(features, regs):
-        model = text_classifier(size, max_tokens, reg).fit(train)
+        model = text_classifier(size, reg, iterations).fit(train)
         f1 = argmax_metrics(_probabilities(model, evaluation)).first()["f1"]
         if best is None or f1 > best[1]:
             best = (model, f1)
@@ -114,16 +123,16 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel:
-    """The saved model; `ModelNotReadyError` when there is none."""
+    """The saved model; `MissingModelError` when there is none."""
     try:
         return PipelineModel.load(path)
     except Exception as error:
-        raise ModelNotReadyError(f"Model directory not found: {path}") from error
+        raise MissingModelError(f"Model directory not found: {path}") from error
 
 
 def scorer_or_none(path: str) -> tuple[Scorer, str]:
     """(scorer, "") of a saved model, or (None, why) so that the gate can report it and go on."""
     try:
         return model_scorer(load_model(path)), ""
-    except ModelNotReadyError as error:
+    except MissingModelError as error:
         return None, str(error)

@@ -23,6 +23,22 @@ _PYTHON_NUMBER = r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+
 _PYTHON_SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
 
 
+def each_alone(function: Callable[[pd.Series], pd.Series], batch: pd.Series) -> pd.Series:
+    """`function` of a batch; if it fails, of every element alone, with None where it fails again."""
+    try:
+        return function(batch)
+    except Exception:
+        if len(batch) == 1:
+            return pd.Series([None], index=batch.index)
+        return pd.concat([each_alone(function, batch.iloc[i : i + 1]) for i in range(len(batch))])
+
+
+def one_per_id(verdicts: DataFrame, id_col: str) -> DataFrame:
+    """One verdict for each id: the most severe (an injection first, then the greatest confidence, then the last reasoning)."""
+    worst = F.max(F.struct("is_injection", "confidence", "reasoning")).alias("v")
+    return verdicts.groupBy(id_col).agg(worst).select(id_col, "v.*")
+
+
 def verdict_requests(ambiguous_rows: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, request) to hand to a reviewer."""
     return ambiguous_rows.select(id_col, F.concat(F.lit(REQUEST_PREFIX), F.col(text_col)).alias("request"))
@@ -102,14 +118,14 @@ def parse_verdicts(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
 def resolve_verdicts(
     ambiguous_rows: DataFrame, verdicts: DataFrame | None, id_col: str, error: str = "no verdict"
 ) -> DataFrame:
-    """Every ambiguous row with its verdict; neutral where the reviewer is off (None) or gave none."""
+    """Every ambiguous row with its verdict, of several the most severe; neutral where the reviewer is off (None) or gave none."""
     if verdicts is None:
         return ambiguous_rows.withColumns({
             "is_injection": F.lit(False),
             "confidence": F.lit(NEUTRAL_CONFIDENCE),
             "reasoning": F.lit(DISABLED_REASON),
         })
-    answered = verdicts.select(id_col, "is_injection", "confidence", "reasoning")
+    answered = one_per_id(verdicts, id_col)
     return ambiguous_rows.join(answered, id_col, "left").withColumns({
         "is_injection": F.coalesce("is_injection", F.lit(False)),
         "confidence": F.coalesce("confidence", F.lit(NEUTRAL_CONFIDENCE)),
@@ -122,16 +138,13 @@ def review_batches(
 ) -> DataFrame:
     """(id, reply) from an own reviewer that maps a batch of requests to raw replies.
 
-    A batch on which the reviewer fails gets null replies, which `parse_verdicts` reads as reviewer errors.
+    Where the reviewer fails on a batch, its requests are tried one by one; those that fail alone get null replies,
+    which `parse_verdicts` reads as reviewer errors.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                replies = review(batch[request_col])
-            except Exception:
-                replies = None
-            yield pd.DataFrame({id_col: batch[id_col], "reply": replies})
+            yield pd.DataFrame({id_col: batch[id_col], "reply": each_alone(review, batch[request_col])})
 
     id_type = requests.schema[id_col].dataType.simpleString()
     return requests.select(id_col, request_col).mapInPandas(run, f"{id_col} {id_type}, reply string")

@@ -17,6 +17,10 @@ def evaluate_scorer(
     scorer: Callable[[DataFrame], DataFrame],
     thresholds: Sequence[float] = settings.EVAL_THRESHOLDS,
 ) -> DataFrame:
-    """The report on the scorer alone (rules are not applied). Texts are scored once; only scores are kept."""
-    scored = scorer(eval_sets).select("dataset", "label", "attack_type", F.col("injection_score").alias("score"))
+    """The report on the scorer alone (rules are not applied), with attack types where there are any.
+
+    Texts are scored once; only scores are kept.
+    """
+    known = [c for c in ("attack_type",) if c in eval_sets.columns]
+    scored = scorer(eval_sets).select("dataset", "label", *known, F.col("injection_score").alias("score"))
     return evaluation_report(written(scored, "eval-scores"), thresholds)

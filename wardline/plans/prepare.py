@@ -1,4 +1,4 @@
-"""The whole corpus preparation: sources, guard, near-dedup, balance, split."""
+"""The whole corpus preparation: sources, guard, near-dedup, balance, shuffle, split."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from wardline import settings
-from wardline.operators.corpus import eval_only_guard
+from wardline.operators.corpus import eval_only_guard, reject_unlabelled
 from wardline.operators.dedup import near_dedup
 from wardline.operators.minhash import minhash_dedup
-from wardline.operators.sampling import balance_classes, stratified_split
-from wardline.workdir import written
+from wardline.operators.sampling import balance_classes, shuffle_rows, stratified_split
+from wardline.sources.writers import write_corpus
+from wardline.workdir import job, written
 
 
 @dataclass(frozen=True)
@@ -33,11 +34,24 @@ def deduplicated(rows: DataFrame, options: PrepareOptions) -> DataFrame:
 
 
 def prepare_corpus(training: DataFrame, options: PrepareOptions = PrepareOptions()) -> DataFrame:
-    """Normalised training rows to rows marked `train` or `eval`.
+    """Normalised training rows to rows marked `train` or `eval`, in shuffled order. Rows without a label are left out.
 
     Each step that several later ones read is written once to the shared folder.
     """
-    rows = written(eval_only_guard(training), "corpus-rows")
+    rows, _ = reject_unlabelled(written(eval_only_guard(training), "corpus-rows"))
     unique = rows if options.dedup == "off" else written(deduplicated(rows, options), "corpus-unique")
     balanced = written(balance_classes(unique, options.benign_share, options.seed), "corpus-balanced")
-    return stratified_split(balanced, options.train_share, options.seed)
+    return shuffle_rows(stratified_split(balanced, options.train_share, options.seed), options.seed)
+
+
+def rejected(training: DataFrame) -> DataFrame:
+    """The training rows that `prepare_corpus` leaves out because they have no label."""
+    return reject_unlabelled(training)[1]
+
+
+def prepare_and_write(
+    training: DataFrame, benchmark: DataFrame | None, folder: str, options: PrepareOptions = PrepareOptions()
+) -> dict[str, str]:
+    """Prepare and store a corpus, with the benchmark as it is, and remove all work tables. Returns the paths by file."""
+    with job(training.sparkSession):
+        return write_corpus(prepare_corpus(training, options), benchmark, folder)

@@ -7,7 +7,6 @@ AMBIGUOUS_UPPER = 0.70
 EVAL_THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 MIN_TEXT_LENGTH = 5
 PREVIEW_LENGTH = 120
-MAX_TOKENS = 512
 BENIGN_SHARE = 0.80
 TRAIN_SHARE = 0.85
 JACCARD_PERCENT = 85

@@ -15,22 +15,6 @@ from wardline.operators.stats import LOG_SCHEMA
 EVAL_SETS = {"eval": "internal_eval", "benchmark": "benchmark_eval"}
 
 
-# Text work is heavy per byte: below this many bytes per core a shuffle costs less than idle cores.
-SPREAD_BYTES_PER_CORE = 32 << 20
-_TINY_BYTES = 1 << 20
-
-
-def spread_if_small(df: DataFrame) -> DataFrame:
-    """Spread a small scan over all cores; leave a large one as it is.
-
-    A file with a single row group is read by a single task whatever its splits. On an input of any size this
-    adds no shuffle: it has row groups enough.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if _TINY_BYTES < size < cores * SPREAD_BYTES_PER_CORE else df
-
-
 def read_or_none(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame | None:
     """The table at `path`, or None where there is nothing."""
     try:

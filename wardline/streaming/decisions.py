@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wardline.functions.scores import half_even
 from wardline.operators.gate import gate
-from wardline.operators.stats import log_entries
+from wardline.operators.stats import STAGES, log_entries
 
 
 def gate_stream(requests: DataFrame, **options) -> DataFrame:
@@ -33,31 +34,44 @@ def running_counts(decided: DataFrame) -> DataFrame:
 
 
 def running_stats_stream(decided: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the current counters as a small table at `path`, rewritten after each batch.
+    """Keep the counters as small tables under `path`, one for each batch; `read_running_counts` reads the newest.
 
-    Should the job die while rewriting, the batch is replayed from the checkpoint and the table written again.
+    A reader so always finds a whole table. A batch that is replayed writes its own table again; the last two are kept.
     """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)  # at most nine rows
+    def store(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")  # at most nine rows
+        spark = batch.sparkSession
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
-    writer = running_counts(decided).writeStream.outputMode("complete").foreachBatch(replace).option(
+    writer = running_counts(decided).writeStream.outputMode("complete").foreachBatch(store).option(
         "checkpointLocation", checkpoint
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def read_running_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counters after the newest finished batch."""
+    counts = spark.read.parquet(path)
+    newest = counts.agg(F.max("batch")).first()[0]
+    return counts.where(F.col("batch") == newest).drop("batch")
+
+
 def stats_from_counts(counts: DataFrame) -> DataFrame:
-    """The totals of `decision_stats`, from the counters."""
+    """The totals of `decision_stats`, from the counters; a null decision counts as review there and here."""
     n, decision, stage = F.col("n"), F.col("decision"), F.col("stage")
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
 
+    average = F.sum("latency_sum") / F.nullif(F.sum("latency_count"), F.lit(0))
     return counts.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("total_requests"),
         total(decision == "BLOCKED").alias("blocked_count"),
         total(decision == "ALLOWED").alias("allowed_count"),
-        total(~decision.isin("BLOCKED", "ALLOWED")).alias("review_count"),
-        *[total(stage == s).alias(f"stage_{s}") for s in (1, 2, 3)],
+        total(~F.coalesce(decision.isin("BLOCKED", "ALLOWED"), F.lit(False))).alias("review_count"),
+        F.coalesce(half_even(average, 3), F.lit(0.0)).alias("average_latency_ms"),
+        F.map_from_arrays(F.array(*[F.lit(f"stage_{s}") for s in STAGES]), F.array(*[total(stage == s) for s in STAGES])).alias(
+            "stage_distribution"),
     )

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,27 +14,32 @@ from pyspark.sql import functions as F
 # A table of at most this many narrow rows (some tens of bytes each) may be broadcast.
 BROADCAST_ROWS = 500_000
 _RUN = uuid.uuid4().hex
+_JOB: ContextVar[str] = ContextVar("job", default=_RUN)
+_own_folder: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; where that is unset, a new one on a local master only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by `wardline.work.dir`, or else by `spark.checkpoint.dir`.
+
+    Where neither is set, a local master gets a temporary folder of this process; a cluster gets an error.
+    """
+    folder = spark.conf.get("wardline.work.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="wardline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set wardline.work.dir or spark.checkpoint.dir to a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="wardline-"))
+    return _own_folder[0]
 
 
-def _run_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/wardline-{_RUN}"
+def _job_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/wardline-{_JOB.get()}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_job_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,9 +49,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """A scope for work tables: those written inside are deleted at its end, when its results are stored elsewhere."""
+    before = _JOB.set(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        discard_written(spark)
+        _JOB.reset(before)
+
+
 def discard_written(spark: SparkSession) -> None:
-    """Delete all tables this process has put in the shared folder, once results built on them are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    """Delete the work tables of the current job (outside of any, those of this process)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_job_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -68,13 +87,18 @@ HEAVY_ROWS = 200_000
 def join_heavy_split(rows: DataFrame, keyed: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
     """Join `rows` (any number per key) to `keyed` (written, one row per key, `weight` = rows of that key).
 
-    Keys of great weight go through a broadcast join, so no task receives all rows of one key; there are at
-    most (rows / HEAVY_ROWS) of them and their number is checked. `how` is inner or left_semi.
+    Keys of great weight go through a broadcast join, so no task receives all rows of one key. If more than
+    BROADCAST_ROWS keys are heavy, the heaviest are broadcast: each of the others then has less than a
+    BROADCAST_ROWS-th of all rows. `how` is inner or left_semi.
     """
-    light, heavy = keyed.where(F.col(weight) <= HEAVY_ROWS), keyed.where(F.col(weight) > HEAVY_ROWS)
+    heavy = keyed.where(F.col(weight) > HEAVY_ROWS)
     heavy_keys = heavy.count()
-    if heavy_keys == 0 or heavy_keys > BROADCAST_ROWS:
+    if heavy_keys == 0:
         return rows.join(keyed.drop(weight), key, how)
+    light = keyed.where(F.col(weight) <= HEAVY_ROWS)
+    if heavy_keys > BROADCAST_ROWS:
+        heavy = written(heavy.orderBy(F.desc(weight), key).limit(BROADCAST_ROWS), "heavy-keys")
+        light = keyed.join(F.broadcast(heavy.select(key)), key, "left_anti")
     return (
         rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
         .join(light.drop(weight), key, how)
