@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
-from wardline.llm.common import block_count, compressed_blocks, id_and_text, ids_of, mix, unpacked
+from wardline.llm.common import block_count, compressed_blocks, frugal, frugal_group, id_and_text, ids_of, mix, unpacked
 
 _SPACE, LETTER, _NUMBER, _OTHER, _BREAK = range(5)
 # The endings that the pattern's contractions allow.
@@ -205,12 +205,12 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         return pd.DataFrame({"doc_id": pd.array(ids_of(texts["doc_id"]), "Int64"), "ids": out})
 
     words = (
-        dealt.groupBy("block").applyInPandas(list_words, "block int, shard int, words binary")
-        .groupBy("shard").applyInPandas(encode_shard, "block int, shard int, ids binary")
+        dealt.groupBy("block").applyInPandas(frugal_group(list_words), "block int, shard int, words binary")
+        .groupBy("shard").applyInPandas(frugal_group(encode_shard), "block int, shard int, ids binary")
     )
     return (
         dealt.select("block", "doc_id", "packed").groupBy("block").cogroup(words.groupBy("block"))
-        .applyInPandas(put_together, "doc_id long, ids array<int>")
+        .applyInPandas(frugal_group(put_together), "doc_id long, ids array<int>")
     )
 
 
@@ -225,7 +225,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
         tokens = table.value
         by_rank = np.full(max(tokens, default=-1) + 1, None, object)
         by_rank[list(tokens)] = list(tokens.values())
-        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, max(1, whole.num_rows), 500)):
+        for batch in batches:
             # One row at a time: the bytes of a batch of long texts would be millions of objects.
             lists = batch.column(batch.schema.get_field_index(ids_col))
             decoded = [b"".join(by_rank[ids.values.to_numpy()].tolist()) if ids.is_valid else None for ids in lists]
@@ -235,7 +235,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     if "decoded" in encoded.columns:
         raise ValueError("the input already has a column `decoded`")
     schema = encoded.select("*", F.lit(b"").cast("binary").alias("decoded")).schema
-    return encoded.mapInArrow(look_up, schema)
+    return encoded.mapInArrow(frugal(look_up), schema)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

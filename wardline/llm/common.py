@@ -2,15 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Rows that a task turns into Python objects at once.
+BATCH_ROWS = 1000
 # Text per block of documents: bounds what one Python worker holds, whatever the size of the corpus.
 BLOCK_BYTES = 4_000_000
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and an executor's memory is shared by several."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def frugal(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """For `mapInArrow`: the function, in pieces of `BATCH_ROWS` rows, returning memory at its end."""
+
+    def run(batches):
+        yield from function(batch.slice(k, BATCH_ROWS) for batch in batches for k in range(0, batch.num_rows, BATCH_ROWS))
+        give_back()
+
+    return run
+
+
+def frugal_group(function: Callable) -> Callable:
+    """For `applyInPandas` on groups, plain or together: the function, returning memory after each group."""
+    count = function.__code__.co_argcount
+    if count == 1:
+        def run(group):
+            out = function(group)
+            give_back()
+            return out
+    elif count == 2:
+        def run(key, group):
+            out = function(key, group)
+            give_back()
+            return out
+    else:
+        def run(key, group, other):
+            out = function(key, group, other)
+            give_back()
+            return out
+    return run
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
     """Only the columns an operator reads, so that no other column can clash with its own; null text is empty."""
     return docs.select(
@@ -44,7 +90,7 @@ def compressed_blocks(rows: DataFrame, blocks: int) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     # Pandas would make a column of longs with a null one of doubles, and long ids inexact.
     return rows.select(F.col("doc_id").cast("string"), "text", block.alias("block")).mapInArrow(
-        pack, "block int, doc_id string, packed binary"
+        frugal(pack), "block int, doc_id string, packed binary"
     )
 
 

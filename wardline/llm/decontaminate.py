@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
+from wardline.llm.common import frugal
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -263,7 +264,7 @@ def overlaps(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ve
                     [pa.array(c, k) for c, k in zip(columns, kinds)],
                     ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = rows.mapInArrow(search, schema)
+        found = rows.mapInArrow(frugal(search), schema)
         result = found if result is None else result.unionByName(found)
     return result
 
@@ -285,7 +286,7 @@ def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
                     clean[[begin + k for k, _ in shard.hits(texts, threshold, verify)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(frugal(keep), docs.schema)
     return docs
 
 

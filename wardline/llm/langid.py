@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.catalog.registry import query
+from wardline.llm.common import frugal
 from wardline.llm.bpe import LETTER, character_classes
 from wardline.llm.quality import remainder
 
@@ -90,7 +91,7 @@ def profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
             yield rows(lang, parts)
 
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(frugal(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
 
@@ -148,7 +149,7 @@ def identify(docs: DataFrame, profile_rows: DataFrame, size: int = PROFILE, text
                 [*batch.schema.names[:n], "lang_pred", "score"])
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return given.mapInArrow(predict, T.StructType([*rest.schema.fields, *added]))
+    return given.mapInArrow(frugal(predict), T.StructType([*rest.schema.fields, *added]))
 
 
 @query("op1_language_id")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
-from wardline.llm.common import id_and_text
+from wardline.llm.common import frugal, id_and_text
 from wardline.llm.quality import in_chunks
 from wardline.workdir import written
 
@@ -57,7 +57,7 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> DataFrame:
                     yield flush()
         yield flush()
 
-    counts = rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(frugal(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "word").limit(size)
 
 
@@ -104,7 +104,7 @@ def counted(rows: DataFrame, ids, size: int) -> DataFrame:
                 [pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(raw[k][used]), pa.array(target[k][used])],
                 ["kind", "key", "raw", "target"])
 
-    return rows.select("trusted", "text").mapInArrow(count, "kind int, key int, raw long, target long").groupBy("kind", "key").agg(
+    return rows.select("trusted", "text").mapInArrow(frugal(count), "kind int, key int, raw long, target long").groupBy("kind", "key").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -168,7 +168,7 @@ def score(docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY, id_col: s
                 [batch.column(0), *map(pa.array, (n, target, background, target - background))],
                 ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return rows.mapInArrow(look, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return rows.mapInArrow(frugal(look), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

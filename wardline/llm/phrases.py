@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
-from wardline.llm.common import PrefixHash, block_count, compressed_blocks, id_and_text, ids_of, mix, unpacked, window_minima
+from wardline.llm.common import PrefixHash, block_count, compressed_blocks, frugal, frugal_group, id_and_text, ids_of, mix, unpacked, window_minima
 from wardline.llm.quality import in_chunks
 from wardline.llm.rules import Words
 from wardline.workdir import written
@@ -82,7 +82,7 @@ def _recurring_seeds(rows: DataFrame) -> DataFrame:
                     [pa.array(pieces.seed), pa.array(ids[at : at + len(run)][pieces.text].astype(np.int64))], ["seed", "doc_id"])
                 at += len(run)
 
-    return rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(find, "seed long, doc_id long").groupBy("seed").agg(
+    return rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(frugal(find), "seed long, doc_id long").groupBy("seed").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed")
 
 
@@ -145,7 +145,7 @@ def confirmed_passages(rows: DataFrame, blocks: int) -> DataFrame:
                 at += len(run)
 
     pieces = written(rows.where("doc_id is not null").select("doc_id", "text", "block").mapInArrow(
-        find, "block int, seed long, content long, doc_id long, windows array<long>"), "phrase-pieces")
+        frugal(find), "block int, seed long, content long, doc_id long, windows array<long>"), "phrase-pieces")
     forms = written(pieces.groupBy("seed", "content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "phrase-forms")
     kinds = forms.groupBy("seed").agg(F.count("*").alias("forms"), F.min("low").alias("l"), F.max("high").alias("h")).where("l < h")
     mixed = written(kinds.where("forms > 1").select("seed"), "phrase-mixed")
@@ -239,7 +239,7 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     dealt = compressed_blocks(rows, blocks)
     return dealt.groupBy("block").cogroup(passages.groupBy("block")).applyInPandas(
-        stream, "doc_id long, n_words long, n_removed long, kept binary")
+        frugal_group(stream), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 @query("op7_substring_dedup")

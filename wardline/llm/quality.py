@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.catalog.registry import query
-from wardline.llm.common import PrefixHash, mix, word_spans
+from wardline.llm.common import PrefixHash, frugal, mix, word_spans
 
 PASSAGE_WORDS = 64
 HASHED = 256
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_passages:
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(
         F.broadcast(sample), "doc_id")  # max_docs rows at most
-    rows = chosen.mapInArrow(encode, "doc_id long, label int, bag binary").orderBy(
+    rows = chosen.mapInArrow(frugal(encode), "doc_id long, label int, bag binary").orderBy(
         F.xxhash64("doc_id"), "doc_id", F.crc32("bag")).limit(max_docs).collect()
     y = np.array([r.label for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
                 [*batch.schema.names[:n], "score", "predicted"])
 
     added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return given.mapInArrow(add, T.StructType([*rest.schema.fields, *added]))
+    return given.mapInArrow(frugal(add), T.StructType([*rest.schema.fields, *added]))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
-from wardline.llm.common import PrefixHash, id_and_text, mix, word_spans
+from wardline.llm.common import PrefixHash, frugal, id_and_text, mix, word_spans
 from wardline.llm.quality import in_chunks
 
 BUCKET_BITS = 15
@@ -118,7 +118,7 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
             [pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
     rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(
+    return rows.mapInArrow(frugal(count), "bucket int, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -165,7 +165,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, id_
                 ["doc_id", *longs, "base_failed", "llr", "kept"])
 
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in longs) + ", base_failed boolean, llr double, kept boolean"
-    return id_and_text(docs, id_col, text_col).mapInArrow(look, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(look), schema)
 
 
 @query("op8_quality_rules")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
-from wardline.llm.common import id_and_text
+from wardline.llm.common import frugal, frugal_group, id_and_text
 from wardline.workdir import written
 
 BITS = 64
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "print"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(sign, "doc_id long, print long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(sign), "doc_id long, print long")
 
 
 def root_choices(count: int, errors: int, group: int = 512) -> list[list[tuple[int, int]]]:
@@ -221,7 +221,7 @@ def links(prints: DataFrame, errors: int = 4, group_rows: int = GROUP_ROWS) -> D
         src, dst = spanning(len(prints), i, j)
         return pd.DataFrame({"src": prints[src], "dst": prints[dst]})
 
-    return dealt.groupBy("root", "bucket", "prefix", "a", "b").applyInPandas(traverse, "src long, dst long").distinct()
+    return dealt.groupBy("root", "bucket", "prefix", "a", "b").applyInPandas(frugal_group(traverse), "src long, dst long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ Equality of whole contexts rests on two 64-bit hashes (anchor and context). An a
 gathered: its windows are counted by their hashes in a shuffle with partial sums, so no task holds an unbounded group.
 
 Null text is empty. Rows are told apart by id and text; a row given twice repeats itself. Texts shorter than `length`
-repeat nothing. Null ids are ids like others. An empty table gives no rows. Long texts are handled in pieces of a
-million windows.
+repeat nothing. Null ids are ids like others. An empty table gives no rows. Long texts are handled in pieces of
+260,000 windows.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
-from wardline.llm.common import PrefixHash, id_and_text, mix, window_minima
+from wardline.llm.common import PrefixHash, frugal, frugal_group, id_and_text, mix, window_minima
 from wardline.workdir import written
 
 LENGTH = 200
 PIECE = 50
 GROUP_CONTEXTS = 2000
-_WINDOWS_AT_ONCE = 1 << 20
-_SUFFIXES_AT_ONCE = 1 << 20
+_WINDOWS_AT_ONCE = 1 << 18
+_SUFFIXES_AT_ONCE = 1 << 18
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, piece: int = PIECE):
@@ -177,7 +177,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                      *(pa.array(a.astype(np.int32)) for a in arrays[:3]), *map(pa.array, arrays[3:])], names)
 
     anchored = written(rows.mapInArrow(
-        find, "doc_id long, text_hash long, start int, windows int, offset int, anchor long, context long"), "suffix-anchors")
+        frugal(find), "doc_id long, text_hash long, start int, windows int, offset int, anchor long, context long"), "suffix-anchors")
     # Written, so that the join has a shuffle of its own, whose large partitions Spark can split.
     repeated = written(anchored.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")
@@ -197,7 +197,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     held = compressed(rows).join(
         wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "contexts"),
         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("packed", "contexts").mapInArrow(
-        _slicer(length), "anchor long, context long, many long, windows int, offset int, bytes binary")
+        frugal(_slicer(length)), "anchor long, context long, many long, windows int, offset int, bytes binary")
     # A text given twice is met twice by its contexts.
     held = written(held, "suffix-bytes")
     crowd = not crowded.isEmpty()
@@ -209,7 +209,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
         group = group.drop_duplicates(["anchor", "context"]).sort_values("anchor", kind="stable")
         anchor, windows = group["anchor"].to_numpy(), group["windows"].to_numpy(np.int64)
-        # Whole anchors, about a million suffixes at once.
+        # Whole anchors, some 260,000 suffixes at once.
         edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
         total = np.concatenate(([0], np.cumsum(windows)))
         out, begin = [], 0
@@ -229,7 +229,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return pd.concat(out)
 
     verdict_schema = "anchor long, context long, low array<int>, high array<int>"
-    verdicts = calm.groupBy(F.pmod("anchor", F.lit(buckets)).alias("bucket")).applyInPandas(sort_bucket, verdict_schema)
+    verdicts = calm.groupBy(F.pmod("anchor", F.lit(buckets)).alias("bucket")).applyInPandas(frugal_group(sort_bucket), verdict_schema)
     if crowd:
         verdicts = verdicts.unionByName(_counted_windows(held.join(crowded, "anchor", "left_semi"), length))
     verdicts = written(verdicts.where(F.size("low") > 0), "suffix-verdicts")
@@ -291,7 +291,7 @@ def _counted_windows(held: DataFrame, length: int) -> DataFrame:
                     ["anchor", "context", "many", "place", "distance", "hash"])
 
     held = held.dropDuplicates(["anchor", "context"])
-    windows = held.mapInArrow(explode, "anchor long, context long, many long, place int, distance int, hash long")
+    windows = held.mapInArrow(frugal(explode), "anchor long, context long, many long, place int, distance int, hash long")
     # A window counted once is the only row of its group, so the smallest context and place are its own.
     single = windows.groupBy("anchor", "distance", "hash").agg(
         F.sum("many").alias("n"), F.min("context").alias("context"), F.min("place").alias("place")
@@ -313,7 +313,7 @@ def _counted_windows(held: DataFrame, length: int) -> DataFrame:
                 ["anchor", "context", "low", "high"])
 
     return held.select("anchor", "context", "windows").join(single, ["anchor", "context"], "left").mapInArrow(
-        spans, "anchor long, context long, low array<int>, high array<int>")
+        frugal(spans), "anchor long, context long, low array<int>, high array<int>")
 
 
 def compressed(rows: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def compressed(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "text_hash", "packed"])
 
-    return rows.select("doc_id", "text", "text_hash").mapInArrow(pack, "doc_id long, text_hash long, packed binary")
+    return rows.select("doc_id", "text", "text_hash").mapInArrow(frugal(pack), "doc_id long, text_hash long, packed binary")
 
 
 def _without_spans(text: bytes, spans) -> tuple[np.ndarray, int]:
@@ -358,7 +358,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         import zstandard
 
         press = zstandard.ZstdDecompressor()
-        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, max(1, whole.num_rows), 1000)):
+        for batch in batches:
             kept, sizes, removed, runs = [], [], [], []
             for packed, spans in zip(batch.column(1), batch.column(2)):
                 text = press.decompress(packed.as_buffer())
@@ -372,7 +372,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return _with_spans(compressed(rows), spans).select("doc_id", "packed", "spans").mapInArrow(
-        cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+        frugal(cut), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,7 +402,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
             columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return found.select("row.*", F.col("spans").alias("__spans")).mapInArrow(cut, docs.schema)
+    return found.select("row.*", F.col("spans").alias("__spans")).mapInArrow(frugal(cut), docs.schema)
 
 
 @query("op5_suffix_dedup")

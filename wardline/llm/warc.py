@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
+from wardline.llm.common import frugal
 from wardline.workdir import new_path, written
 
 ARCHIVE_BYTES = 1 << 30
@@ -135,7 +136,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
         if out is not None:
             out.close()
 
-    return written(with_roles(pages, min_bytes).mapInArrow(write, INDEX), "warc-index")
+    return written(with_roles(pages, min_bytes).mapInArrow(frugal(write), INDEX), "warc-index")
 
 
 def coalesced(entries: list[tuple[int, int]], gap: int = GAP, read_bytes: int = READ_BYTES) -> list[tuple[int, int, int]]:
@@ -179,7 +180,7 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
 
     return (
         index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-        .mapInArrow(read, RECORD)
+        .mapInArrow(frugal(read), RECORD)
     )
 
 
