@@ -114,9 +114,12 @@ class Model:
     def __init__(self, unigrams: np.ndarray, pairs: np.ndarray):
         unigram = (unigrams + 1) / (unigrams.sum() + len(unigrams))
         kind = np.where(np.arange(len(unigram)) < CLASSES - 1, np.arange(len(unigram)), 0)
-        own = (unigram / np.bincount(kind, unigram, CLASSES)[kind]).astype(np.float32)  # share of a word in its class
+        of_class = np.bincount(kind, unigram, CLASSES)
+        own = (unigram / of_class[kind]).astype(np.float32)  # share of a word in its class
         table = pairs.reshape(CLASSES, CLASSES)
-        self.pair = (table / np.maximum(1, table.sum(1, keepdims=True))).astype(np.float32).ravel()
+        total = table.sum(1, keepdims=True)
+        # A class that was never followed by anything says nothing about the next one.
+        self.pair = np.where(total > 0, table / np.maximum(1, total), of_class).astype(np.float32).ravel()
         self.unigram, self.own = unigram.astype(np.float32), own
 
     def losses(self, tokens: Tokens) -> np.ndarray:
