@@ -111,3 +111,24 @@ def test_corpus_files(spark, tmp_path):
     assert [(r.text, r.dataset) for r in got.collect()] == [("b text", "internal_eval")]
     with pytest.raises(FileNotFoundError):
         readers.read_eval_sets(spark, {"eval": paths["eval"]}, choice="benchmark")
+
+
+def test_row_keys_are_never_cut(spark):
+    from wardline.functions.text import row_key
+
+    ids = ["6ab24d72-0181-4594-9a1b-000000000001", "6ab24d72-0181-4594-9a1b-000000000002", "7"]
+    df = spark.createDataFrame([(i,) for i in ids], "id string")
+    keys = [r.k for r in df.select(row_key(F.lit(1), F.col("id")).alias("k")).collect()]
+    assert len(set(keys)) == 3 and all(i in k for i, k in zip(ids, keys))
+    numbers = [(99, 5, 999_999), (100, 5, 0), (100, 5, 999_999), (100, 5, 1_234_567), (100, 6, 0)]
+    df = spark.createDataFrame(numbers, "rank int, id long, turn long")
+    keys = [r.k for r in df.select(row_key(F.col("rank"), F.col("id"), F.col("turn")).alias("k")).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == 5
+
+
+def test_a_row_without_an_id_ends_the_job(spark):
+    from wardline.functions.text import row_key
+
+    df = spark.createDataFrame([(None,)], "id string")
+    with pytest.raises(Exception, match="without an id"):
+        df.select(row_key(F.lit(1), F.col("id")).alias("k")).collect()

@@ -169,3 +169,40 @@ def test_close_sets_share_a_key(percent):
         again = [k._segment_keys(m, percent, 1000, bounds, shared) for m in marks]
         assert len(np.intersect1d(*again))
     assert checked > 100
+
+
+@pytest.mark.parametrize("size", [1000, 5000, 20000])
+@pytest.mark.parametrize("hot", [False, True])
+def test_number_of_keys_is_linear_in_the_size(size, hot):
+    import numpy as np
+
+    from wardline.operators import setkeys as k
+
+    rng = np.random.default_rng(size)
+    marks = (rng.integers(1, 1000, size) << k.HASH_BITS) | rng.integers(0, 1 << k.HASH_BITS, size)
+    bounds = k.class_bounds(85, size)
+    keys = k._segment_keys(marks, 85, 10**6, bounds)
+    if hot:
+        keys = k._segment_keys(marks, 85, 10**6, bounds, keys)
+    assert 0 < len(keys) < size
+
+
+def test_large_close_sets_share_a_key_also_when_hot():
+    import numpy as np
+
+    from wardline.operators import setkeys as k
+
+    rng = np.random.default_rng(1)
+    pool = (rng.integers(1, 500_000, 4000) << k.HASH_BITS) | rng.permutation(1 << 20)[:4000]
+    for size in (450, 520, 800, 2500):
+        for _ in range(20):
+            other = pool[: size + int(size * 0.15)]
+            a, b = rng.permutation(other)[:size], other
+            if 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
+                continue
+            bounds = k.class_bounds(85, len(b))
+            first = [k._segment_keys(x, 85, 10**6, bounds) for x in (a, b)]
+            common = np.intersect1d(*first)
+            assert len(common)
+            refined = [k._segment_keys(x, 85, 10**6, bounds, common) for x in (a, b)]
+            assert len(np.intersect1d(*refined))

@@ -112,3 +112,17 @@ def test_stats(spark):
     assert (row.blocked_count, row.allowed_count, row.review_count) == (1, 1, 2)
     assert row.average_latency_ms == round(7.0005 / 4, 3)
     assert e.label_distribution(log.select(F.lit(1).alias("label"))).first().n == 4
+
+
+def test_large_values_are_rounded(spark):
+    values = [2000000000.1234567, 1e9 + 0.00005, 123456789012.34565, 4e15 + 0.3, 1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.x for r in df.select(half_even(F.col("v"), 4).alias("x")).collect()] == [round(v, 4) for v in values]
+
+
+def test_report_without_attack_types_and_with_a_missing_one(spark):
+    from wardline.operators import evaluation as ev
+
+    df = spark.createDataFrame([("d", 1, 0.9, None), ("d", 0, 0.1, "benign")], "dataset string, label int, score double, attack_type string")
+    assert set(ev.evaluation_report(df).first().attack_type_breakdown) == {"unknown", "benign"}
+    assert "attack_type_breakdown" not in ev.evaluation_report(df.drop("attack_type")).columns

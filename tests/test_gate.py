@@ -151,3 +151,23 @@ def test_failing_reviewer_gives_error_verdicts(spark):
 def test_reviewer_off(spark):
     row = v.resolve_verdicts(spark.createDataFrame([(1,)], "id int"), None, "id").first()
     assert (row.is_injection, row.confidence, row.reasoning) == (False, 0.5, v.DISABLED_REASON)
+
+
+def test_several_verdicts_of_one_row_give_one_decision(spark):
+    df = spark.createDataFrame([(1, "calm text", 0.5)], "id int, text string, s double")
+    verdicts = spark.createDataFrame([(1, False, 0.9, "fine"), (1, True, 0.6, "attack")], "id int, is_injection boolean, confidence double, reasoning string")
+    rows = g.gate(df, scorer="s", verdicts=verdicts, id_col="id").collect()
+    assert [(r.decision, r.reasoning) for r in rows] == [("BLOCKED", "attack")]
+
+
+def test_one_failing_request_costs_one_reply(spark):
+    from wardline.operators.verdicts import review_batches
+
+    def review(requests):
+        if requests.str.endswith("13").any():
+            raise ValueError("refused")
+        return requests.map(lambda _: "{}")
+
+    requests = spark.range(50).selectExpr("id", "cast(id as string) as request").coalesce(1)
+    rows = review_batches(requests, "id", review).collect()
+    assert [r.id for r in rows if r.reply is None] == [13] and len(rows) == 50

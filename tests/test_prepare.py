@@ -1,7 +1,7 @@
 import pytest
 
 from wardline.operators.dedup import near_dedup
-from wardline.plans.prepare import PrepareOptions, deduplicated, prepare_corpus
+from wardline.plans.prepare import PrepareOptions, deduplicated, prepare_and_write, prepare_corpus, rejected
 from wardline.workdir import discard_written, join_heavy_split, shared_dir, written
 
 
@@ -32,6 +32,24 @@ def test_evaluation_only_rows_stop_the_preparation(spark):
         prepare_corpus(rows(spark).withColumn("source", F.lit("ROGUE_set")))
 
 
+def test_whole_job_leaves_no_work_tables(spark, tmp_path):
+    import os
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    paths = prepare_and_write(rows(spark), None, str(tmp_path / "corpus"))
+    assert spark.read.parquet(paths["train"]).count() + spark.read.parquet(paths["eval"]).count() == 25
+    assert set(os.listdir(folder)) <= before
+
+
+def test_rows_without_a_label_are_left_out(spark):
+    from pyspark.sql import functions as F
+
+    some = rows(spark).withColumn("label", F.when(F.col("row_key") != "0100", F.col("label")))
+    assert {r.row_key for r in rejected(some).collect()} == {"0100"}
+    assert "0100" not in {r.row_key for r in prepare_corpus(some).collect()}
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 

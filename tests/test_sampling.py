@@ -86,3 +86,12 @@ def test_shuffle_is_a_seeded_permutation(spark):
     assert order == [r.row_key for r in s.shuffle_rows(df.repartition(3)).collect()]
     assert sorted(order) == keys(df) and order != keys(df)
     assert s.union_classes(df, df.select(F.col("label"), F.col("row_key"))).count() == 100
+
+
+def test_rows_without_a_label_are_a_class_of_their_own(spark):
+    rows = [(f"r{i:05d}", None if i % 4 == 0 else i % 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, "row_key string, label int")
+    split = {(r.label, r.part): r["count"] for r in s.stratified_split(df).groupBy("label", "part").count().collect()}
+    assert sum(n for (_, part), n in split.items() if part == "eval") == 151
+    assert split[None, "eval"] in (37, 38) and split[1, "eval"] in (74, 75, 76)
+    assert s.balance_classes(df.where("label is null or label = 0")).count() == 500

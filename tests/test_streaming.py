@@ -42,7 +42,7 @@ def test_counters_survive_a_restart(spark, tmp_path):
         d.running_stats_stream(stream(spark, folder, first.schema), out, state, once=True).awaitTermination()
         if start:
             requests(spark, folder, start)
-    counts = spark.read.parquet(out)
+    counts = d.read_running_counts(spark, out)
     totals = d.stats_from_counts(counts).first()
     batch = decision_stats(gate(spark.read.parquet(folder), scorer="s")).first()
     assert totals.total_requests == batch.total_requests == 40

@@ -10,6 +10,9 @@ together form a weak pair. The same can be done later with segments that turn ou
 cut into classes of ratio t, and a set uses the keys of its own class and those of the next, where its larger
 partners are.
 
+Pairs of weak segments grow with the square of the set. In classes of sets above `LARGE_SET` tokens they are
+replaced by prefix keys (below), which are complete on their own, so that the number of keys is linear in the size.
+
 Low thresholds would need more segments than there are tokens and use the plain *prefix*: close sets share one
 of the first n - ceil(t n) + 1 tokens in a global order, here rare first.
 
@@ -33,6 +36,8 @@ SEGMENT_PERCENT = 70
 # A segment is weak when chance alone would give it to more sets than this, unless it has this many tokens:
 # in a block of near copies every token is frequent, and segments must not all be weak there.
 WEAK_SETS, STRONG_TOKENS = 16, 4
+# Sets of more tokens use prefix keys beside their strong segments, not pairs of weak ones.
+LARGE_SET = 512
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 divided by the golden ratio, odd
 
@@ -94,6 +99,11 @@ def _segment_keys(
             found.append(key[strong])
         else:
             strong &= ~np.isin(key.view(np.int64), hot)
+        if bounds[number + 1] - 1 > LARGE_SET:
+            prefix = _mix(_prefix_keys(marks, percent, total, bounds).view(np.uint64) + _mix(place[:1]))
+            # Cold prefix keys have been compared before; the hot ones go on in rounds.
+            found.append(prefix if hot is None else prefix[np.isin(prefix.view(np.int64), hot)])
+            continue
         weak = key[~strong]
         first, second = np.triu_indices(len(weak), 1)
         found.append(_mix(weak[first] + _mix(weak[second])))
