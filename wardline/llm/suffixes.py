@@ -4,7 +4,7 @@ A byte is removed when a string of `length` bytes around it also starts anywhere
 could repeat are sorted. Every window of `length` bytes chooses an anchor in itself by content alone (the smallest hash of its
 50-byte pieces), so equal windows choose equal anchors; the windows of one anchor span a short context. Anchors that occur
 once are dropped by counting. Where all contexts of an anchor are equal, all its windows repeat. The contexts that differ are gathered,
-one of each kind, and the suffixes at their window starts are sorted: prefix polynomial hashes and binary search give the
+one of each kind, and the suffixes at their window starts are sorted (of a context that occurs more than once all windows repeat; where one occurs once, its place is known): prefix polynomial hashes and binary search give the
 common extension of two suffixes in logarithmic time, a mergesort uses it as its comparison, and neighbours that agree in `length`
 bytes are compared byte by byte before they count.
 
@@ -196,8 +196,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         F.collect_list(F.struct("anchor", "context", "many", "start", "windows", "offset")).alias("contexts"))
     held = compressed(rows).join(
         wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "contexts"),
-        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("packed", "contexts").mapInArrow(
-        frugal(_slicer(length)), "anchor long, context long, many long, windows int, offset int, bytes binary")
+        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("packed", "contexts", "doc_id", "text_hash").mapInArrow(
+        frugal(_slicer(length)), "anchor long, context long, many long, start int, windows int, offset int, "
+        "doc_id long, text_hash long, bytes binary")
     # A text given twice is met twice by its contexts.
     held = written(held, "suffix-bytes")
     crowd = not crowded.isEmpty()
@@ -222,23 +223,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             masks = repeated_windows(
                 part["bytes"].tolist(), part["anchor"].to_numpy(), part["offset"].to_numpy(np.int64),
                 part["windows"].to_numpy(np.int64), part["many"].to_numpy(), length)
-            runs = [_runs(mask) for mask in masks]
-            out.append(pd.DataFrame({
-                "anchor": part["anchor"].to_numpy(), "context": part["context"].to_numpy(),
-                "low": [r[0].astype(np.int32) for r in runs], "high": [r[1].astype(np.int32) for r in runs]}))
+            alone = np.flatnonzero(part["many"].to_numpy() == 1).tolist()
+            runs = [_runs(masks[k]) for k in alone]
+            found = part.iloc[alone][["name", "text_hash", "start"]]
+            out.append(found.assign(low=[r[0].astype(np.int32) for r in runs], high=[r[1].astype(np.int32) for r in runs]))
         return pd.concat(out)
 
-    verdict_schema = "anchor long, context long, low array<int>, high array<int>"
-    verdicts = calm.groupBy(F.pmod("anchor", F.lit(buckets)).alias("bucket")).applyInPandas(frugal_group(sort_bucket), verdict_schema)
+    verdict_schema = "name string, text_hash long, start int, low array<int>, high array<int>"
+    # Ids as text: Pandas would make longs beside nulls inexact.
+    calm = calm.withColumn("name", F.col("doc_id").cast("string")).drop("doc_id")
+    verdicts = calm.groupBy(F.pmod("anchor", F.lit(buckets)).alias("bucket")).applyInPandas(
+        frugal_group(sort_bucket), verdict_schema).withColumn("doc_id", F.col("name").cast("long")).drop("name")
     if crowd:
         verdicts = verdicts.unionByName(_counted_windows(held.join(crowded, "anchor", "left_semi"), length))
-    verdicts = written(verdicts.where(F.size("low") > 0), "suffix-verdicts")
-    ranges = F.arrays_zip("low", "high")
-    differing = mixed.join(verdicts, ["anchor", "context"]).select(
-        "doc_id", "text_hash", "start", F.explode(ranges).alias("r")).select(
+    alone = verdicts.select("doc_id", "text_hash", "start", F.explode(F.arrays_zip("low", "high")).alias("r")).select(
         "doc_id", "text_hash", (F.col("start") + F.col("r.low")).alias("begin"),
         (F.col("start") + F.col("r.high") - 1 + length).alias("end"))
-    return same.unionByName(differing).groupBy("doc_id", "text_hash").agg(
+    copied = mixed.join(kinds.where("many > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(
+        "doc_id", "text_hash", F.col("start").alias("begin"), (F.col("start") + F.col("windows") - 1 + length).alias("end"))
+    return same.unionByName(alone).unionByName(copied).groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
@@ -249,15 +252,16 @@ def _slicer(length: int):
 
         for batch in batches:
             press = zstandard.ZstdDecompressor()
-            names = ["anchor", "context", "many", "windows", "offset"]
-            columns, held, size = {n: [] for n in names}, [], 0
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            names = ["anchor", "context", "many", "start", "windows", "offset"]
+            columns, held, size, owner = {n: [] for n in names}, [], 0, []
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
             def flush():
                 arrays = [pa.concat_arrays(columns[n]).cast(k) for n, k in zip(names, kinds)]
-                return pa.RecordBatch.from_arrays([*arrays, pa.array(held, pa.binary())], [*names, "bytes"])
+                own = [batch.column(k).take(pa.array(owner, pa.int64())) for k in (2, 3)]
+                return pa.RecordBatch.from_arrays([*arrays, *own, pa.array(held, pa.binary())], [*names, "doc_id", "text_hash", "bytes"])
 
-            for packed, wanted in zip(batch.column(0), batch.column(1)):
+            for k, (packed, wanted) in enumerate(zip(batch.column(0), batch.column(1))):
                 text = press.decompress(packed.as_buffer())
                 values = wanted.values
                 starts, windows = values.field("start").to_pylist(), values.field("windows").to_pylist()
@@ -265,9 +269,10 @@ def _slicer(length: int):
                 for n in names:
                     columns[n].append(values.field(n))
                 size += len(starts)
+                owner += [k] * len(starts)
                 if size > 20_000:
                     yield flush()
-                    columns, held, size = {n: [] for n in names}, [], 0
+                    columns, held, size, owner = {n: [] for n in names}, [], 0, []
             if held:
                 yield flush()
 
@@ -275,14 +280,13 @@ def _slicer(length: int):
 
 
 def _counted_windows(held: DataFrame, length: int) -> DataFrame:
-    """Verdicts of contexts of crowded anchors: a window repeats unless its hash is counted once among those of its anchor."""
+    """Verdicts of contexts of crowded anchors that occur once: a window repeats unless its hash is counted once among those of its anchor."""
 
     def explode(batches):
         import pyarrow as pa
 
-        for batch in batches.__iter__():
-            rows = batch.to_pydict()
-            for anchor, context, many, windows, offset, text in zip(*(rows[n] for n in batch.schema.names)):
+        for batch in batches:
+            for anchor, context, many, windows, offset, text in zip(*(column.to_pylist() for column in batch.columns)):
                 at = np.arange(windows)
                 hashes = mix(PrefixHash(np.frombuffer(text, np.uint8)).slices(at, at + length)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -291,7 +295,8 @@ def _counted_windows(held: DataFrame, length: int) -> DataFrame:
                     ["anchor", "context", "many", "place", "distance", "hash"])
 
     held = held.dropDuplicates(["anchor", "context"])
-    windows = held.mapInArrow(frugal(explode), "anchor long, context long, many long, place int, distance int, hash long")
+    windows = held.select("anchor", "context", "many", "windows", "offset", "bytes").mapInArrow(
+        frugal(explode), "anchor long, context long, many long, place int, distance int, hash long")
     # A window counted once is the only row of its group, so the smallest context and place are its own.
     single = windows.groupBy("anchor", "distance", "hash").agg(
         F.sum("many").alias("n"), F.min("context").alias("context"), F.min("place").alias("place")
@@ -302,18 +307,19 @@ def _counted_windows(held: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             low, high = [], []
-            for windows, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for windows, places in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 mask = np.ones(windows, bool)
                 mask[places or []] = False
                 a, b = _runs(mask)
                 low.append(a.tolist())
                 high.append(b.tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))],
-                ["anchor", "context", "low", "high"])
+                [*batch.columns[:3], pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))],
+                ["doc_id", "text_hash", "start", "low", "high"])
 
-    return held.select("anchor", "context", "windows").join(single, ["anchor", "context"], "left").mapInArrow(
-        frugal(spans), "anchor long, context long, low array<int>, high array<int>")
+    return held.where("many = 1").join(single, ["anchor", "context"], "left").select(
+        "doc_id", "text_hash", "start", "windows", "places").mapInArrow(
+        frugal(spans), "doc_id long, text_hash long, start int, low array<int>, high array<int>")
 
 
 def compressed(rows: DataFrame) -> DataFrame:
