@@ -30,7 +30,6 @@ WINDOW = 13
 SEED = 3
 BLOOM_BITS = 1 << 28
 _PROBES = 4
-_ONE_CHARACTER = 1_000_000
 
 
 class Pieces:
@@ -165,16 +164,23 @@ def _keys(seed: np.ndarray, content: np.ndarray) -> np.ndarray:
         return mix(seed.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + content.view(np.uint64))
 
 
-def _symbols(words: Words) -> tuple[str, int]:
-    """The words of some texts as one string of one character (or two, if there are very many) for each distinct word."""
-    _, code = np.unique(words.hash, return_inverse=True)
-    distinct = int(code.max()) + 1 if len(code) else 0
-    width = 1 if distinct < _ONE_CHARACTER else 2
-    if width == 2:  # the two characters of a word are of different ranges, so none starts in the middle of a word
-        code = np.stack((code >> 15, (code & 0x7FFF) + (1 << 17)), axis=1).ravel()
-    code = code + 1
-    code[code >= 0xD800] += 0x800
-    return code.astype("<u4").tobytes().decode("utf-32-le"), width
+def _symbols(words: Words, spans: list[tuple[np.ndarray, np.ndarray]]) -> tuple[str, int]:
+    """The words of some texts as one string, each of equally many characters, and how many.
+
+    Words within `spans` (starts, lengths) of passages get codes of their own, all others share one. Characters stand for digits to the
+    base 256, each digit with a range of its own: nodes of the automaton so have few children, and no match starts inside a word.
+    """
+    inside = np.zeros(len(words.hash) + 1, np.int32)
+    for starts, lengths in spans:
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, starts + lengths, -1)
+    used = np.cumsum(inside[:-1]) > 0
+    known = np.unique(words.hash[used])
+    at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
+    code = np.where(known[at] == words.hash, at + 1, 0)
+    width = max(1, -(-int(len(known)).bit_length() // 8))
+    digits = np.stack([(code >> 8 * k & 255) + 256 * (k + 1) for k in range(width)], axis=1)
+    return digits.astype("<u4").tobytes().decode("utf-32-le"), width
 
 
 def removed_words(texts: list[bytes], ids: list[int | None], seed: np.ndarray, content: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
@@ -186,26 +192,41 @@ def removed_words(texts: list[bytes], ids: list[int | None], seed: np.ndarray, c
     gone = [np.zeros(n, bool) for n in words.count.tolist()]
     if not len(seed):
         return gone
-    line, width = _symbols(words)
     known = _keys(seed, content)
     order = np.argsort(known)
     known, low = known[order], low[order]
-    automaton = ahocorasick.Automaton()
 
-    def add(keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def confirmed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        found = known[at] == keys
-        _, sample = np.unique(keys[found], return_index=True)
-        for start, n, first in zip(*(x[found][sample].tolist() for x in (starts, lengths, low[at]))):
-            automaton.add_word(line[start * width : (start + n) * width], (n, first))
-        return found
+        return known[at] == keys, low[at]
 
-    rest = np.flatnonzero(~add(_keys(pieces.seed, pieces.content), pieces.start, pieces.windows - 1 + WINDOW))
+    # Passages of this block: whole pieces, and windows of the pieces that have several forms.
+    keys, lengths = _keys(pieces.seed, pieces.content), pieces.windows - 1 + WINDOW
+    whole, first = confirmed(keys)
+    rest = np.flatnonzero(~whole)
     starts, hashes = pieces.window_hashes(rest)
-    if len(starts):
-        add(_keys(np.repeat(pieces.seed[rest], pieces.windows[rest]), hashes), starts, np.full(len(starts), WINDOW))
-    if not len(automaton):
+    window_keys = _keys(np.repeat(pieces.seed[rest], pieces.windows[rest]), hashes) if len(starts) else keys[:0]
+    some, window_first = confirmed(window_keys)
+    number = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
+    found = []
+    for keys, starts, lengths, first in (
+        (keys[whole], pieces.start[whole], lengths[whole], first[whole]),
+        (window_keys[some], starts[some], np.full(int(some.sum()), WINDOW), window_first[some]),
+    ):
+        # A passage that no later document of this block has removes nothing here.
+        _, place = np.unique(keys, return_inverse=True)
+        latest = np.full(len(keys), np.iinfo(np.int64).min)
+        np.maximum.at(latest, place, number[words.text[starts]])
+        useful = latest[place] > first
+        found.append((keys[useful], starts[useful], lengths[useful], first[useful]))
+    if not any(len(part[0]) for part in found):
         return gone
+    line, width = _symbols(words, [(part[1], part[2]) for part in found])
+    automaton = ahocorasick.Automaton()
+    for keys, starts, lengths, first in found:
+        _, sample = np.unique(keys, return_index=True)
+        for start, n, first_id in zip(*(x[sample].tolist() for x in (starts, lengths, first))):
+            automaton.add_word(line[start * width : (start + n) * width], (n, first_id))
     automaton.make_automaton()
     for mask, first, doc_id in zip(gone, pieces.first_word.tolist(), ids):
         if doc_id is None or len(mask) < WINDOW:
