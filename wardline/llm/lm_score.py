@@ -7,8 +7,8 @@ corpus; what a model keeps is bounded by the two sizes. A document's score is th
 background loss), in nats: the lower, the more like the target.
 
 All words are lower-cased `[^\\x20\\x09-\\x0D]+`. A sentence start stands before the first word. Null and empty texts have no token and score 0.
-Trusted documents are all those labelled good by each of their rows; without any, the models are equal and all scores 0. Ties
-for the vocabulary are ordered by the word. Repeated rows count as often as they stand in the table and get equal scores. An empty table gives no rows.
+Trusted documents are all those labelled good by each of their rows; without any, the models are equal and all scores 0. Words as frequent
+as the first one left out of the vocabulary are left out, too. Repeated rows count as often as they stand in the table and get equal scores. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
@@ -37,7 +37,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """(word, n): the most frequent words of all texts. Tasks add up what they meet before words are shuffled."""
+    """(word, n): the most frequent words of all texts, `size` at most; of words equally frequent all or none.
+
+    Tasks add up what they meet before words are shuffled.
+    """
 
     def count(batches):
         import pyarrow as pa
@@ -58,7 +61,12 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> DataFrame:
         yield flush()
 
     counts = rows.select("text").mapInArrow(frugal(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "word").limit(size)
+    counts = written(counts, "lm-words")
+    # The frequency from which on no more than `size` words are left: words are counted by frequency, of which there are few.
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))
+    kinds = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto)
+    cut = kinds.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    return counts.where(F.col("n") >= F.lit(cut)).orderBy(F.desc("n"), "word")
 
 
 class Tokens:
@@ -149,9 +157,9 @@ def score(docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY, id_col: s
     ids = context.broadcast({bytes(word): k + 1 for k, word in enumerate(words)})
     size = len(words)
     good = trusted.select(F.col("id").alias("doc_id"), F.lit(True).alias("good"))
-    # Trusted ids grow with the corpus, so this is a join, not a set in memory; the texts stay where they are read if it is small.
+    # Trusted ids grow with the corpus, so both sides are shuffled, at every size alike.
     named, nameless = rows.where("doc_id is not null"), rows.where("doc_id is null")
-    marked = named.join(good, "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("trusted"), "text").unionByName(
+    marked = named.join(good.hint("merge"), "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("trusted"), "text").unionByName(
         nameless.select(F.lit(False).alias("trusted"), "text"))
     pair = context.broadcast(models(written(counted(marked, ids, size), "lm-counts"), size))
 
