@@ -198,6 +198,35 @@ def test_lm_scores(docs, labels, spark):
     assert none.where("score <> 0").isEmpty()
 
 
+def test_lm_counts_every_word_and_pair(spark):
+    import math
+    import random
+
+    draw = random.Random(4)
+    # Far more words than any fixed number of classes, and most pairs rare.
+    texts = [" ".join(f"W{draw.randrange(3000)}" if draw.random() < 0.7 else f"w{draw.randrange(9)}" for _ in range(90)) for _ in range(120)]
+    rows = [(i, text) for i, text in enumerate(texts)] + [(3, texts[3]), (None, "w1 never-seen w2"), (200, None), (201, "w1")]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 120, 3)] + [(3,), (999,)], "id long")
+    found = {r.doc_id: r for r in lm_score.score(given, trusted).collect()}
+    words = [["^", *(text or "").lower().split()] for _, text in rows]
+    kinds = len({w for ws in words for w in ws[1:]})
+    models = []
+    for good in (True, False):
+        some = [ws for (i, _), ws in zip(rows, words) if not good or i is not None and i < 120 and i % 3 == 0]
+        models.append((Counter(w for ws in some for w in ws[1:]), Counter(w for ws in some for w in ws[:-1]),
+                       Counter(p for ws in some for p in zip(ws, ws[1:]))))
+    assert lm_score.score(given, trusted).count() == len(rows)
+    for (i, _), ws in zip(rows, words):
+        losses = []
+        for one, followed, two in models:
+            unigram = {w: (one[w] + 1) / (one.total() + kinds) for w in ws}
+            losses.append(sum(-math.log(0.5 * (two[c, w] / followed[c] if followed[c] else unigram[w]) + 0.5 * unigram[w])
+                              for c, w in zip(ws, ws[1:])) / max(1, len(ws) - 1))
+        assert found[i].n_tokens == len(ws) - 1
+        assert (found[i].target_loss, found[i].background_loss) == (pytest.approx(losses[0]), pytest.approx(losses[1]))
+
+
 def test_lm_probabilities_add_up():
     import numpy as np
 

@@ -72,6 +72,11 @@ def block_count(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOC
     return max(6, -(-total // block_bytes))
 
 
+def block_of(blocks: int) -> Column:
+    """The block that a row of `id_and_text` is dealt to."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+
+
 def compressed_blocks(rows: DataFrame, blocks: int) -> DataFrame:
     """(doc_id, text) -> (block, doc_id, packed): texts compressed and dealt evenly by content; ids as text.
 
@@ -87,9 +92,8 @@ def compressed_blocks(rows: DataFrame, blocks: int) -> DataFrame:
             packed = pa.array([press.compress(t.as_buffer()) for t in texts.cast(pa.binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), packed], ["block", "doc_id", "packed"])
 
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     # Pandas would make a column of longs with a null one of doubles, and long ids inexact.
-    return rows.select(F.col("doc_id").cast("string"), "text", block.alias("block")).mapInArrow(
+    return rows.select(F.col("doc_id").cast("string"), "text", block_of(blocks).alias("block")).mapInArrow(
         frugal(pack), "block int, doc_id string, packed binary"
     )
 

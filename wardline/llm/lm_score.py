@@ -1,76 +1,45 @@
 """Cross-entropy difference of two n-gram models (operator 9).
 
-A target model (trusted documents) and a background model (all documents) share one vocabulary: the `VOCABULARY` most frequent words of
-the corpus, everything else being one unknown word. Both are class bigram models interpolated with their unigrams: each of the
-`CLASSES` - 2 most frequent words is a class, all others are one. Counts are sums over every text, so what is gathered grows with the
-corpus; what a model keeps is bounded by the two sizes. A document's score is the mean over its tokens of (target loss -
-background loss), in nats: the lower, the more like the target.
+A target model (trusted documents) and a background model (all documents) share one vocabulary: all words of the corpus. Both are word
+bigram models interpolated with their unigrams; nothing is left out of either. A document's score is the mean over its tokens of
+(target loss - background loss), in nats: the lower, the more like the target.
+
+Blocks of documents list their distinct words and pairs of neighbours by 64-bit hashes, with their counts. Shards of hash ranges bring equal ones
+of all blocks together, where counts are summed; the sums go back to the blocks in the order of their lists, and tokens are looked up
+by position. Texts cross the network once, compressed. A pair that fills a third of the corpus is one entry per block, and shards grow
+in number with the blocks, so no task holds a share of the corpus, nor does the driver.
 
 All words are lower-cased `[^\\x20\\x09-\\x0D]+`. A sentence start stands before the first word. Null and empty texts have no token and score 0.
-Trusted documents are all those labelled good by each of their rows; without any, the models are equal and all scores 0. Words as frequent
-as the first one left out of the vocabulary are left out, too. Repeated rows count as often as they stand in the table and get equal scores. An empty table gives no rows.
+Trusted documents are all those labelled good by each of their rows; without any, the models are equal and all scores 0.
+Repeated rows count as often as they stand in the table and get equal scores. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
-from wardline.llm.common import frugal, id_and_text
+from wardline.llm.common import block_count, block_of, compressed_blocks, frugal_group, id_and_text, ids_of, mix, unpacked
 from wardline.llm.quality import in_chunks
-from wardline.workdir import written
+from wardline.llm.rules import Words
 
-VOCABULARY = 30_000
 CLASSES = 512
 BIGRAM_WEIGHT = 0.5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_FLUSH_WORDS = 100_000
+_START = np.uint64(0x9E3779B97F4A7C15)  # stands before the first word
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """(word, n): the most frequent words of all texts, `size` at most; of words equally frequent all or none.
-
-    Tasks add up what they meet before words are shuffled.
-    """
-
-    def count(batches):
-        import pyarrow as pa
-
-        held: Counter[bytes] = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                held.update(words_of(text.as_py()))
-                if len(held) > _FLUSH_WORDS:
-                    yield flush()
-        yield flush()
-
-    counts = rows.select("text").mapInArrow(frugal(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = written(counts, "lm-words")
-    # The frequency from which on no more than `size` words are left: words are counted by frequency, of which there are few.
-    upto = F.sum("words").over(Window.orderBy(F.desc("n")))
-    kinds = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto)
-    cut = kinds.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
-    return counts.where(F.col("n") >= F.lit(cut)).orderBy(F.desc("n"), "word")
-
-
 class Tokens:
-    """Texts as vocabulary ids (0: unknown), and each token's pair of classes: its own and that of the word before it."""
+    """For the class model below. Texts as vocabulary ids (0: unknown), and each token's pair of classes: its own and that of the word before it."""
 
     def __init__(self, texts: list[bytes], ids: dict[bytes, int]):
         words = [words_of(text) for text in texts]
@@ -84,40 +53,8 @@ class Tokens:
         self.pair = before * CLASSES + kind
 
 
-def counted(rows: DataFrame, ids, size: int) -> DataFrame:
-    """(kind, key, raw, target): counts of tokens (kind 0) and of pairs of classes (1) in all and in trusted texts.
-
-    `rows` are (trusted boolean, text); `ids` is a broadcast vocabulary.
-    """
-    shape = {0: size + 1, 1: CLASSES * CLASSES}
-
-    def count(batches):
-        import pyarrow as pa
-
-        raw = {k: np.zeros(n, np.int64) for k, n in shape.items()}
-        target = {k: np.zeros(n, np.int64) for k, n in shape.items()}
-        for batch in batches:
-            trusted = np.array(batch.column(0).to_pylist(), bool)
-            at = 0
-            for run in in_chunks(batch.column(1).cast(pa.binary()).to_pylist()):
-                tokens = Tokens(run, ids.value)
-                good = trusted[at : at + len(run)][tokens.text]
-                at += len(run)
-                for k, key in enumerate((tokens.id, tokens.pair)):
-                    raw[k] += np.bincount(key, minlength=shape[k])
-                    target[k] += np.bincount(key[good], minlength=shape[k])
-        for k in shape:
-            used = np.flatnonzero(raw[k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(raw[k][used]), pa.array(target[k][used])],
-                ["kind", "key", "raw", "target"])
-
-    return rows.select("trusted", "text").mapInArrow(frugal(count), "kind int, key int, raw long, target long").groupBy("kind", "key").agg(
-        F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-
-
 class Model:
-    """Interpolated probabilities; the unigrams have one count added for every word of the shared vocabulary."""
+    """A bounded class model, which `score` no longer uses. Interpolated probabilities; the unigrams have one count added for every word of the shared vocabulary."""
 
     def __init__(self, unigrams: np.ndarray, pairs: np.ndarray):
         unigram = (unigrams + 1) / (unigrams.sum() + len(unigrams))
@@ -135,51 +72,142 @@ class Model:
         return -np.log(BIGRAM_WEIGHT * pair + (1 - BIGRAM_WEIGHT) * self.unigram[tokens.id])
 
 
-def models(counts: DataFrame, size: int) -> tuple[Model, Model]:
-    """(target, background) from the counts: at most a vocabulary and all pairs of classes. Without trusted texts both are equal."""
-    table = counts.toArrow()
-    kind, key = table["kind"].to_numpy(), table["key"].to_numpy()
+class Block:
+    """The distinct words and pairs of neighbours of some texts as sorted hashes, and the places of each token's in them."""
+
+    def __init__(self, texts: list[bytes]):
+        parts = [Words([text.translate(_LOWER) for text in run]) for run in in_chunks(texts)]
+        token = np.concatenate([np.zeros(0, np.uint64), *(p.hash for p in parts)])
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *(p.count for p in parts)])
+        self.text = np.repeat(np.arange(len(texts)), self.sizes)
+        last = np.cumsum(self.sizes)[self.sizes > 0] - 1
+        first = last + 1 - self.sizes[self.sizes > 0]
+        before = np.roll(token, 1)
+        before[first] = _START
+        with np.errstate(over="ignore"):
+            self.pairs, self.pair = np.unique(mix(before * np.uint64(0xD6E8FEB86659FD93) + token), return_inverse=True)
+        self.words, place = np.unique(np.append(token, _START), return_inverse=True)
+        self.word, start = place[:-1], place[-1]
+        self.before = np.roll(self.word, 1)
+        self.before[first] = start
+        self.last = last
+        self.start = start
+
+    def counts(self, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(raw, target) of all words and of pairs; words also have how often less than that they were followed by another."""
+        good = trusted[self.text]
+        n, words, pairs = len(self.words), [], []
+        ends = []
+        for some in (np.ones(len(good), bool), good):
+            words.append(np.bincount(self.word[some], minlength=n))
+            pairs.append(np.bincount(self.pair[some], minlength=len(self.pairs)))
+            last = self.last[some[self.last]]
+            ends.append(np.bincount(self.word[last], minlength=n))
+            ends[-1][self.start] -= len(last)  # the sentence start is no token, and always followed
+        return np.array(words + ends), np.array(pairs)
+
+
+def packed_list(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted hashes as differences, equal bytes of all together, and their counts."""
+    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
+    planes = steps.view(np.uint8).reshape(len(steps), 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + counts.astype("<i4").tobytes())
+
+
+def unpacked_list(packed: bytes, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    n = len(data) // (8 + 4 * columns)
+    steps = np.ascontiguousarray(data[: 8 * n].reshape(8, n).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64), data[8 * n :].view("<i4").reshape(columns, n)
+
+
+def summed(lists: list[bytes], columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sums of equal hashes' counts over all lists (columns, distinct hashes), and the places of each list's hashes in them."""
+    parts = [unpacked_list(packed, columns) for packed in lists]
+    _, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    counts = np.concatenate([c for _, c in parts], axis=1)
+    total = np.array([np.bincount(place, column) for column in counts]).astype(np.int64)  # sums below 2^53 are exact
+    return total, np.split(place, np.cumsum([len(h) for h, _ in parts])[:-1])
+
+
+def token_losses(block: Block, words: np.ndarray, pairs: np.ndarray, tokens: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(target, background) losses of a block's tokens, from the corpus's counts of its words and pairs.
+
+    `tokens` are the raw and target tokens of the corpus, `kinds` its distinct words.
+    """
     out = []
-    for column in ("target", "raw"):
-        arrays = [np.zeros(n, np.int64) for n in (size + 1, CLASSES * CLASSES)]
-        for k, array in enumerate(arrays):
-            array[key[kind == k]] = table[column].to_numpy()[kind == k]
-        out.append(arrays)
-    target, background = out
-    return Model(*(target if target[0].sum() else background)), Model(*background)
+    for k in (1 if tokens[1] else 0, 0):  # without trusted texts both models are equal
+        unigram = (words[k][block.word] + 1) / (tokens[k] + kinds)
+        followed = (words[k] - words[k + 2])[block.before]
+        # A word that was never followed by anything says nothing about the next one.
+        pair = np.where(followed > 0, pairs[k][block.pair] / np.maximum(1, followed), unigram)
+        out.append(-np.log(BIGRAM_WEIGHT * pair + (1 - BIGRAM_WEIGHT) * unigram))
+    return out[0], out[1]
 
 
-def score(docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row; `trusted` has the ids of trusted documents (column `id`)."""
-    context = docs.sparkSession.sparkContext
     rows = id_and_text(docs, id_col, text_col)
-    words = [r.word for r in vocabulary(rows, size).collect()]  # at most `size` words
-    ids = context.broadcast({bytes(word): k + 1 for k, word in enumerate(words)})
-    size = len(words)
-    good = trusted.select(F.col("id").alias("doc_id"), F.lit(True).alias("good"))
+    blocks = block_count(rows)
+    dealt = compressed_blocks(rows, blocks).repartition(F.col("block"))
     # Trusted ids grow with the corpus, so both sides are shuffled, at every size alike.
-    named, nameless = rows.where("doc_id is not null"), rows.where("doc_id is null")
-    marked = named.join(good.hint("merge"), "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("trusted"), "text").unionByName(
-        nameless.select(F.lit(False).alias("trusted"), "text"))
-    pair = context.broadcast(models(written(counted(marked, ids, size), "lm-counts"), size))
-
-    def look(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            n, losses = [], [[], []]
-            for run in in_chunks(batch.column(1).cast(pa.binary()).to_pylist()):
-                tokens = Tokens(run, ids.value)
-                n.append(tokens.sizes)
-                for out, model in zip(losses, pair.value):
-                    out.append(np.bincount(tokens.text, model.losses(tokens), tokens.n) / np.maximum(1, tokens.sizes))
-            n = np.concatenate([np.zeros(0, np.int64), *n])
-            target, background = (np.concatenate([np.zeros(0), *x]) for x in losses)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, (n, target, background, target - background))],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return rows.mapInArrow(frugal(look), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    places = rows.where("doc_id is not null").select("doc_id", block_of(blocks).alias("block")).distinct()
+    good = places.join(trusted.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id").select(
+        "block", F.col("doc_id").cast("string").alias("good"))
+    shards = max(64, blocks // 4)
+
+    def edges(hashes):
+        inner = np.searchsorted(hashes.astype(np.float64) * (shards / 2.0**64), np.arange(1, shards))
+        return [0, *inner.tolist(), len(hashes)]
+
+    def list_counts(key, texts, good):
+        import pandas as pd
+
+        if not len(texts):
+            return pd.DataFrame({"block": [], "shard": [], "words": [], "pairs": []})
+        block, known = Block(unpacked(texts["packed"])), set(good["good"])
+        counts = block.counts(np.array([i in known for i in texts["doc_id"]], bool))
+        lists = []
+        for hashes, table in zip((block.words, block.pairs), counts):
+            at = edges(hashes)
+            lists.append([packed_list(hashes[a:b], table[:, a:b]) for a, b in zip(at, at[1:])])
+        # Empty lists go out, too: every block needs every shard's sums.
+        return pd.DataFrame({"block": np.int32(key[0]), "shard": np.arange(shards, dtype=np.int32), "words": lists[0], "pairs": lists[1]})
+
+    def sum_shard(key, group):
+        import pandas as pd
+
+        press = zstandard.ZstdCompressor(level=1)
+        words, places = summed(list(group["words"]), 4)
+        sums = np.array([(words[0] > 0).sum(), words[0].sum(), words[1].sum()])
+        words = [press.compress(np.append(sums, words[:, at]).astype("<i8").tobytes()) for at in places]
+        pairs, places = summed(list(group["pairs"]), 2)
+        pairs = [press.compress(pairs[:, at].astype("<i8").tobytes()) for at in places]
+        return pd.DataFrame({"block": group["block"], "shard": np.int32(key[0]), "words": words, "pairs": pairs})
+
+    def look(key, texts, parts):
+        import pandas as pd
+
+        parts = parts.sort_values("shard")
+        block = Block(unpacked(texts["packed"]))
+        words = [np.frombuffer(part, "<i8") for part in unpacked(parts["words"])]
+        kinds, *tokens = np.sum([part[:3] for part in words], axis=0)
+        words = np.concatenate([part[3:].reshape(4, -1) for part in words], axis=1)
+        pairs = np.concatenate([np.frombuffer(part, "<i8").reshape(2, -1) for part in unpacked(parts["pairs"])], axis=1)
+        target, background = (np.bincount(block.text, losses, len(texts)) / np.maximum(1, block.sizes)
+                              for losses in token_losses(block, words, pairs, tokens, kinds))
+        return pd.DataFrame({"doc_id": pd.array(ids_of(texts["doc_id"]), "Int64"), "n_tokens": block.sizes,
+                             "target_loss": target, "background_loss": background, "score": target - background})
+
+    lists = "block int, shard int, words binary, pairs binary"
+    counts = (
+        dealt.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(frugal_group(list_counts), lists)
+        .groupBy("shard").applyInPandas(frugal_group(sum_shard), lists)
+    )
+    return (
+        dealt.groupBy("block").cogroup(counts.groupBy("block"))
+        .applyInPandas(frugal_group(look), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    )
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
