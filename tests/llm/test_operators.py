@@ -190,6 +190,13 @@ def test_base_rules_against_brute_force(docs, labels):
     assert judged.where("base_failed and kept").isEmpty()
 
 
+def test_all_trusted_documents_are_counted(spark):
+    n = 50_010  # more than were once counted
+    given = spark.range(n).selectExpr("id as doc_id", "'calm' as text").unionByName(spark.createDataFrame([(None, "calm"), (0, "calm")], "doc_id long, text string"))
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert [(r.raw, r.target) for r in rules.bucket_counts(given, rules.trusted_ids(labels)).collect()] == [(n + 2, n + 1)]
+
+
 def test_lm_scores(docs, labels, spark):
     scores = {r.doc_id: r for r in lm_score.score(docs, lm_score.trusted_ids(labels)).collect()}
     assert len(scores) == len({i for i, _, _ in awkward()}) and scores[3].n_tokens == 0 and scores[3].score == 0.0

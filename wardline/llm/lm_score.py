@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from wardline.catalog.registry import query
 from wardline.llm.common import block_count, block_of, compressed_blocks, frugal_group, id_and_text, ids_of, mix, unpacked
 from wardline.llm.quality import in_chunks
-from wardline.llm.rules import Words
+from wardline.llm.rules import Words, trusted_ids
 
 CLASSES = 512
 BIGRAM_WEIGHT = 0.5
@@ -210,12 +210,6 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     )
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids of documents labelled good and not toxic by every one of their rows."""
-    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(
-        F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and coalesce(toxic, 0) = 0").select("id")
-
-
 @query("op9_lm_score")
 def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")

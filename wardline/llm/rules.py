@@ -6,7 +6,7 @@ number, so length does not matter; it is kept from a fixed `threshold` on. Besid
 repeated lines and repeated five-word windows, all over whole texts and found with exact counts.
 
 The target is smoothed by the raw model (`PRIOR` pseudo-counts), so a feature unseen in it is unlikely, not impossible. Trusted rows are
-a bounded sample: the `max_trusted` labelled documents of quality 1, not toxic, with the smallest hash of their id.
+those of all documents labelled good by each of their rows; a shuffle join marks them.
 
 Null and empty texts have no words and fail the base rules; their score is 0. Without trusted documents every ratio is 0. Repeated rows
 count as often as they stand in the table and get equal results. An empty table gives no rows.
@@ -26,7 +26,6 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 PRIOR = 20_000.0
 THRESHOLD = -0.2
-MAX_TRUSTED = 50_000
 WINDOW = 5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -97,18 +96,16 @@ class Words:
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, raw, target): feature counts of all documents and of the trusted ones (bounded; column `id`)."""
-    chosen = docs.sparkSession.sparkContext.broadcast({r.id for r in trusted.collect()})
+    """(bucket, raw, target): feature counts of all documents and of the trusted ones (column `id`)."""
 
     def count(batches):
         import pyarrow as pa
 
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            known = np.array([i in chosen.value for i in batch.column(0).to_pylist()], bool)
+            known = np.array(batch.column(0).to_pylist(), bool)
             at = 0
-            for run in in_chunks(texts):
+            for run in in_chunks(batch.column(1).cast(pa.binary()).to_pylist()):
                 text, bucket = Words(run).features()
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 target += np.bincount(bucket[known[at : at + len(run)][text]], minlength=BUCKETS)
@@ -118,15 +115,19 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
             [pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
     rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(frugal(count), "bucket int, raw long, target long").groupBy("bucket").agg(
+    # Trusted ids grow with the corpus, so both sides are shuffled, at every size alike.
+    good = trusted.select(F.col("id").alias("doc_id"), F.lit(True).alias("good")).distinct()
+    named, nameless = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    marked = named.join(good.hint("merge"), "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("trusted"), "text").unionByName(
+        nameless.select(F.lit(False).alias("trusted"), "text"))
+    return marked.mapInArrow(frugal(count), "bucket int, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """Ids of documents labelled good by every one of their rows, at most `max_trusted`."""
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(
-        F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and coalesce(toxic, 0) = 0")
-    return good.orderBy(F.xxhash64("id"), "id").limit(max_trusted).select("id")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of documents labelled good and not toxic by every one of their rows."""
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(
+        F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and coalesce(toxic, 0) = 0").select("id")
 
 
 def log_ratios(counts: DataFrame, prior: float = PRIOR) -> np.ndarray:
