@@ -313,6 +313,21 @@ def test_items_are_found(spark, docs):
     assert decontaminate.overlaps(docs, table.limit(0)).isEmpty() and decontaminate.without_items(docs, table.limit(0)).count() == docs.count()
 
 
+def test_scores_do_not_depend_on_the_shards(spark, monkeypatch):
+    # Every other item is given twice, one more with a null id; the only item of its length is among them.
+    texts = [f"Which w{k} and w{k * 3 % 40} are here or there? it is w{k} of {' '.join('lot' for _ in range(k % 7))}" for k in range(40)] + ["lone words"]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k, t in enumerate(texts[::2])] + [(None, texts[3])], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"some text first {t} then x{k} more") for k, t in enumerate(texts)], "doc_id long, text string")
+    want = Counter(tuple(r) for r in decontaminate.overlaps(docs, items).collect())
+    assert {(k, k) for k in range(41)} | {(3, None), (4, 102)} <= {key[:2] for key in want}
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 15)
+    shards = list(decontaminate.item_shards(items))
+    assert len(shards) == 3 and sum(len(part) for part, _ in shards) == len(texts)
+    got = Counter(tuple(r) for r in decontaminate.overlaps(docs, items).collect())
+    rounded = lambda rows: Counter((*key[:2], *(round(x, 9) for x in key[2:])) for key in rows.elements())
+    assert rounded(got) == rounded(want)
+
+
 def test_wand_finds_all_items_above_the_threshold():
     import random
 

@@ -8,7 +8,8 @@ be found in the passage, four fifths of each.
 
 The index, not the corpus, is cut: a shard holds some 4,000 items or 8 MB at most, is broadcast, and all documents are searched
 against one shard after the other, in one pass each and without a shuffle. Items of one shard are searched in length
-classes, so one long item does not widen the passages for all. Document statistics (idf, average length) are those of the shard.
+classes, so one long item does not widen the passages for all. Document frequencies and the average length are counted once over all items, and a
+shard gets those of its own terms, so a score does not depend on the shards. Items of equal text are searched once.
 
 Words are lower-cased and stripped of ASCII punctuation. Null or wordless texts and items match nothing; an item without an answer
 is verified by its question alone. Repeated rows, items with equal texts and null ids are reported like others. An empty
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
 from wardline.llm.common import frugal
+from wardline.workdir import written
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -62,13 +64,10 @@ class Index:
     Weights are shares of the items' self-scores.
     """
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], terms: dict[bytes, int]):
+    def __init__(self, items: list[tuple[int, list[bytes]]], terms: dict[bytes, int], idf: dict[int, float], average: float):
         self.numbers = [number for number, _ in items]
         self.length = max(len(words) for _, words in items)
-        average = sum(len(words) for _, words in items) / len(items)
         tf = [Counter(terms[w] for w in words) for _, words in items]
-        df = Counter(t for counts in tf for t in counts)
-        idf = {t: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
         # term -> block -> ([ranks], [weights])
         self.postings: dict[int, dict[int, tuple[list[int], list[float]]]] = {}
         for rank, ((_, words), counts) in enumerate(zip(items, tf)):
@@ -173,9 +172,13 @@ class Found:
 
 
 class Shard:
-    """What a task needs to search texts for one shard of items."""
+    """What a task needs to search texts for one shard of items, each with what identifies it.
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    `statistics` are the number of all items with words, their average length and the document frequencies of (at least) the shard's
+    terms; without, the shard's items are all there are.
+    """
+
+    def __init__(self, items: list[tuple[object, str | None]], statistics: tuple[int, float, dict[bytes, int]] | None = None):
         self.ids = [item_id for item_id, text in items]
         self.parts = [question_and_answer(text or "") for _, text in items]
         words = [question + answer for question, answer in self.parts]
@@ -188,7 +191,12 @@ class Shard:
                 classes.setdefault(len(own).bit_length(), []).append((number, own))
                 for word in own:
                     self.terms.setdefault(word, len(self.terms))
-        self.classes = [Index(members, self.terms) for members in classes.values()]
+        if statistics is None:
+            worded = [own for own in words if own]
+            statistics = len(worded), sum(map(len, worded)) / max(1, len(worded)), Counter(w for own in worded for w in set(own))
+        total, average, df = statistics
+        idf = {t: math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) for w, t in self.terms.items()}
+        self.classes = [Index(members, self.terms, idf, average) for members in classes.values()]
 
     def hits(self, texts: list[str | None], threshold: float, verify: float) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(text number, item number) -> (score, question overlap, answer overlap) of the best verified passage."""
@@ -229,14 +237,45 @@ def in_chunks(column, chars: int = 1 << 19) -> Iterator[tuple[int, list[str | No
         yield begin, run
 
 
-def item_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list]:
-    """The items, a bounded shard at a time."""
-    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    count, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+def item_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list, tuple]]:
+    """The items, a bounded shard at a time, as (ids, text) with each id's number of rows, and the shard's statistics."""
+    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    ids = F.collect_list(F.struct("item_id", "n"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / SHARD_ITEMS).cast("int")),
+                         lambda k: F.slice("ids", k * SHARD_ITEMS + 1, SHARD_ITEMS))
+    # A text of very many ids is an item for every `SHARD_ITEMS` of them.
+    texts = written(rows.groupBy("text", "item_id").agg(F.count("*").alias("n")).groupBy("text").agg(ids.alias("ids")).select(
+        "text", F.posexplode(pieces).alias("piece", "ids")), "items")
+    count, size = texts.agg(F.count("*"), F.sum(F.octet_length("text") + 16 * F.size("ids"))).first()
     shards = max(1, -(-count // SHARD_ITEMS), -(-(size or 0) // SHARD_BYTES))
+    texts = texts.withColumn("shard", F.pmod(F.xxhash64("text", "piece"), F.lit(shards)))
+
+    def list_terms(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for shard, text, n in zip(*(column.to_pylist() for column in batch.columns)):
+                question, answer = question_and_answer(text)
+                words = question + answer
+                if words:
+                    out.append((shard, None, n, n * len(words)))
+                    out += [(shard, word, n, 0) for word in set(words)]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "word", "n", "length"])
+
+    copies = F.aggregate("ids", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    terms = written(texts.select("shard", "text", copies.alias("n")).mapInArrow(
+        frugal(list_terms), "shard long, word binary, n long, length long").groupBy("shard", "word").agg(
+        F.sum("n").alias("n"), F.sum("length").alias("length")), "items-terms")
+    total, length = terms.where("word is null").agg(F.sum("n"), F.sum("length")).first()
+    frequency = terms.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    frequency = written(terms.select("shard", "word").join(frequency, "word"), "items-frequencies")
     for k in range(shards):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        part = [([(i.item_id, i.n) for i in r.ids], r.text) for r in texts.where(F.col("shard") == k).collect()]
+        df = {bytes(r.word): r.n for r in frequency.where(F.col("shard") == k).collect()}
+        yield sorted(part, key=lambda item: item[1]), (total or 0, (length or 0) / max(1, total or 0), df)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, verify: float = VERIFY,
@@ -246,18 +285,18 @@ def overlaps(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ve
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     result = None
-    for items_of_shard in item_shards(items):
-        held = context.broadcast(items_of_shard)
+    for shard_of_items in item_shards(items):
+        held = context.broadcast(shard_of_items)
 
         def search(batches, held=held):
             import pyarrow as pa
 
-            shard = Shard(held.value)
+            shard = Shard(*held.value)
             for batch in batches:
                 out, ids = [], batch.column(0).to_pylist()
                 for begin, texts in in_chunks(batch.column(1)):
                     hits = shard.hits(texts, threshold, verify)
-                    out += [(ids[begin + k], shard.ids[n], *hits[k, n]) for k, n in sorted(hits)]
+                    out += [(ids[begin + k], item_id, *hits[k, n]) for k, n in sorted(hits) for item_id, rows in shard.ids[n] for _ in range(rows)]
                 columns = list(zip(*out)) or [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays(
@@ -272,14 +311,14 @@ def overlaps(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ve
 def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, verify: float = VERIFY,
                   text_col: str = "text") -> DataFrame:
     """The documents, all columns, in which no test item is found."""
-    for items_of_shard in item_shards(items):
-        held = docs.sparkSession.sparkContext.broadcast(items_of_shard)
+    for shard_of_items in item_shards(items):
+        held = docs.sparkSession.sparkContext.broadcast(shard_of_items)
         place = docs.columns.index(text_col)
 
         def keep(batches, held=held):
             import pyarrow as pa
 
-            shard = Shard(held.value)
+            shard = Shard(*held.value)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for begin, texts in in_chunks(batch.column(place)):
