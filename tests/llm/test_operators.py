@@ -280,6 +280,23 @@ def test_quality(docs, labels):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_long_labelled_documents_are_fitted_on(spark, monkeypatch):
+    import numpy as np
+
+    texts = [" ".join(f"{'calm' if k % 2 else 'BUY!!'}{i}" for i in range(64 * (120 + k))) for k in range(4)] + ["few words"]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_bags", lambda bags, y: seen.append((bags, y)) or {})
+    quality.fit(given, known)
+    (bags, y), = seen
+    assert sorted(map(len, bags)) == [1, 96, 96, 96, 96] and y.sum() == 2
+    whole = {tuple(np.unique(bag[:, -1])): bag for bag in bags}
+    for text in texts:  # passages of the text itself, each with the text's own number of passages
+        x, _ = quality.passages([text.encode()])
+        assert {row.tobytes() for row in whole[tuple(np.unique(x[:, -1]))]} <= {row.tobytes() for row in x}
+
+
 def test_attention_gradients():
     import numpy as np
 

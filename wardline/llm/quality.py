@@ -4,7 +4,7 @@ A document is a bag of passages of 64 words. Every passage of every text is enco
 shape, through one learned layer); gated attention, learned from document labels alone, weighs the passages; the weighted
 sum is scored by a logistic unit. The model is a few thousand numbers, fitted on a bounded sample: at most `max_docs` labelled
 documents (those with the smallest hash of their id, half of either label where there are enough) of at most
-`max_passages` passages each. Scoring is one pass over whole texts without a shuffle.
+`max_passages` passages each, drawn by a hash of their features; how many there are in truth stays a feature. Scoring is one pass over whole texts without a shuffle.
 
 Null and empty texts are one passage without content and get a score like any other. Repeated rows get equal scores (rounded to five places). A
 label row that is null is ignored; of several for one document the smallest counts. Without labels of both kinds
@@ -14,6 +14,8 @@ named like the results are replaced by them.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,9 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_passages:
             ids, out = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 x, _ = passages([text])
-                if len(x) <= max_passages:
-                    ids.append(doc_id)
-                    out.append(x.tobytes())
+                if len(x) > max_passages:
+                    drawn = sorted(range(len(x)), key=lambda k: (zlib.crc32(x[k].tobytes()), k))[:max_passages]
+                    x = x[sorted(drawn)]
+                ids.append(doc_id)
+                out.append(x.tobytes())
             labels_of = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([labels_of[i] for i in ids], pa.int32()), pa.array(out, pa.binary())],
