@@ -7,7 +7,7 @@ bigram models interpolated with their unigrams; nothing is left out of either. A
 Blocks of documents list their distinct words and pairs of neighbours by 64-bit hashes, with their counts. Shards of hash ranges bring equal ones
 of all blocks together, where counts are summed; the sums go back to the blocks in the order of their lists, and tokens are looked up
 by position. Texts cross the network once, compressed. A pair that fills a third of the corpus is one entry per block, and shards grow
-in number with the blocks, so no task holds a share of the corpus, nor does the driver.
+in number with the blocks; the driver holds no counts. Only rows equal in id and text all fall into one block, however many they are.
 
 All words are lower-cased `[^\\x20\\x09-\\x0D]+`. A sentence start stands before the first word. Null and empty texts have no token and score 0.
 Trusted documents are all those labelled good by each of their rows; without any, the models are equal and all scores 0.
