@@ -36,12 +36,15 @@ def brute(library, rows):
 def test_pieces_give_the_ids_of_whole_texts(library):
     random.seed(5)
     letters = ["a", "the", "Z", " ", " ", " ", "\n", "\t", " ", "　", "\x1c", "\x85", "​", "'s", "'", ".", ",", "!?", "1", "½", "é", "中",
-               "՘", "\U000107bb", "<|endoftext|>", "ß", "😀", "don't", "\r\n"]
+               "՘", "\U000107bb", "<|endoftext|>", "ß", "😀", "don't", "\r\n", "\0", "word,", "\nNext", "Übel:"]
     texts = ["".join(random.choices(letters, k=random.randint(0, 30))) for _ in range(4000)] + ["x" * 500 + " " + "y" * 90, "ab " * 3000]
     encoder = tf.TextEncoder(tf.tokenizer_file())
     got = [x for k in range(0, len(texts), 97) for x in encoder.documents(texts[k : k + 97])]
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(library, t) for t in texts]
-    assert all(len(p) <= tf.KNOWN_LENGTH for p in encoder.parts)
+    assert all(len(p) <= tf.KNOWN_LENGTH for p in encoder.known)
+    few = tf.TextEncoder(tf.tokenizer_file())
+    few.known.update({str(k): b"" for k in range(tf.KNOWN_PARTS)})  # a full memory is emptied
+    assert few.documents(texts[:50]) == encoder.documents(texts[:50]) and len(few.known) < 1000
 
 
 def test_the_library_s_white_space_is_python_s():

@@ -7,8 +7,8 @@ Every `CHECK_STEPS` steps a checkpoint holds the states of all lanes and the pla
 of all its bytes, and its lanes must end in the state they began with. The index (file, offset, length, tokens of each block) is a table of its own, and blocks
 are read back by as many tasks as their bytes call for. A document's place in the whole follows from the tokens of files and blocks before its own.
 
-A text is cut before each space that stands between two characters that are no white space: the pre-tokenizer cuts there too, whatever stands around,
-so the pieces' ids joined are the text's ids. Each distinct piece of a task is encoded once by the library, in parts that are shared where a mark follows a word.
+A text is cut before each space that stands between two characters that are no white space, and between letters and common marks: the pre-tokenizer cuts
+there too, whatever stands around, so the parts' ids joined are the text's ids. Each distinct part of a task is encoded once by the library.
 
 Null text is empty: its document holds the end id alone. Rows without an id come last; rows of equal id follow a hash of their ids, and rows equal in all keep the order
 of the work table. A block holds at least one document, so a very long text is a block of its own. An empty table gives a file without blocks and no rows.
@@ -18,12 +18,10 @@ every executor; a task that fails or runs twice leaves a file that no index entr
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import zstandard
@@ -31,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
+from wardline.functions.text import WHITESPACE
 from wardline.llm.common import frugal, id_and_text
 from wardline.workdir import new_path, written
 
@@ -42,13 +41,13 @@ READ_BYTES = 4 << 20
 LOW = np.uint64(1 << 31)
 _MAGIC, _TABLE_MAGIC = b"wtb1", b"wtf1"
 _HEADER = "<4s7I"
-# Pieces that a task remembers, and the longest of them in characters.
-KNOWN_PIECES, KNOWN_LENGTH = 400_000, 64
-# Words that the library gets at once, and characters of texts that are encoded together.
-SIDE_BY_SIDE, GROUP_CHARS = 256, 1 << 20
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-# Inside a piece the pre-tokenizer always cuts between these letters and marks, and behind a single line feed.
-_INNER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?\n])|(?<=\S\n)(?=[A-Za-z])")
+# Parts of texts that a task remembers, the longest of them in characters, words that the library gets at once, and characters of texts cut together.
+KNOWN_PARTS, KNOWN_LENGTH, SIDE_BY_SIDE, GROUP_CHARS = 600_000, 64, 256, 4 << 20
+# Stands where a text is cut. A text in which it, or a space beside white space, occurs is not cut at all.
+_MARK = "\0"
+_WHOLE = f"\0| [{WHITESPACE}]|[{WHITESPACE}] "
+# Besides before spaces, the pre-tokenizer always cuts between these letters and marks, and behind a single line feed.
+_INNER = (("([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?\n])", "\\1\0\\2"), (f"([^{WHITESPACE}])\n([A-Za-z])", "\\1\n\0\\2"))
 ENCODED = "doc_id long, n_tokens long, ids binary"
 INDEX = ("file string, offset long, length long, n_tokens long, n_docs long, "
          "first_null boolean, first_id long, first_hash long, first_place long")
@@ -64,13 +63,12 @@ class TextEncoder:
         self.library = Tokenizer.from_str(tokenizer)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = struct.pack("<I", end_id)
-        self.after_space: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
         """Encode parts that are not known yet: plain words side by side, told apart by the number of their word."""
         words = [p for p in parts if p[0] == " " and p[1:].isalpha() and len(p) <= KNOWN_LENGTH]
         for k in range(0, len(words), SIDE_BY_SIDE):
@@ -80,41 +78,38 @@ class TextEncoder:
             if number[-1] + 1 == len(some):  # else the library sees a mark where Python sees a letter
                 ids = np.array(encoded.ids, "<u4").tobytes()
                 edges = [0, *(4 * np.flatnonzero(np.diff(number)) + 4).tolist(), len(ids)]
-                self.parts.update(zip(some, (ids[a:b] for a, b in zip(edges, edges[1:]))))
-        for part in parts.difference(self.parts):
-            self.parts[part] = self._library_ids(part)
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces, put together from those of their parts."""
-        cut = [_INNER.split(piece) for piece in pieces]
-        self._learn(set(chain.from_iterable(cut)).difference(self.parts))
-        return [b"".join([self.parts[part] for part in parts]) for parts in cut]
+                self.known.update(zip(some, (ids[a:b] for a, b in zip(edges, edges[1:]))))
+        for part in parts:
+            if part not in self.known:
+                self.known[part] = self._library_ids(part)
 
     def documents(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id."""
-        split = [text.split(" ") for text in texts]
-        fresh = set().union(*(s[1:] for s in split)).difference(self.after_space)
-        # Beside white space the pre-tokenizer's cuts depend on what follows: such texts are cut with more care.
-        edged = {p for p in fresh if not p or p[0].isspace() or p[-1].isspace()}
-        known = self.after_space
-        known.update(dict.fromkeys(edged))
-        plain = list(fresh - edged)
-        known.update(zip(plain, self._pieces([" " + p for p in plain])))
-        firsts = self._pieces([s[0] for s in split if s[0]])[::-1]
-        out = []
-        for text, (first, *rest) in zip(texts, split):
-            found = [known[piece] for piece in rest]
-            start = firsts.pop() if first else b""
-            if None in found or (rest and (not first or first[-1].isspace())):
-                start, found = b"", self._pieces(_CUT.split(text))
-            out.append(b"".join([start, *found, self.end]))
-        for pieces, long in ((known, fresh), (self.parts, list(self.parts) if any(len(t) > KNOWN_LENGTH for t in fresh) else ())):
-            if len(pieces) > KNOWN_PIECES:
-                pieces.clear()
-            for piece in long:
-                if len(piece) > KNOWN_LENGTH:
-                    pieces.pop(piece, None)
-        return out
+        """The ids of each text and the end id.
+
+        Texts are cut, and their distinct parts found, on Arrow arrays; only these reach the library.
+        """
+        import pyarrow as pa
+        from pyarrow import compute as pc
+
+        if len(self.known) > KNOWN_PARTS:
+            self.known = {"": b""}
+        column = pa.array(texts, pa.large_string())
+        # Beside white space the pre-tokenizer's cuts depend on what follows; the mark of the cuts may stand in a text, too.
+        whole = pc.match_substring_regex(column, _WHOLE)
+        cut = pc.replace_substring(pc.if_else(whole, "", column), " ", _MARK + " ")
+        for pattern, parts in _INNER:
+            cut = pc.replace_substring_regex(cut, pattern, parts)
+        lists = pc.split_pattern(cut, _MARK)
+        coded = pc.list_flatten(lists).dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        self._learn([part for part in parts if part not in self.known])
+        found = pa.array([self.known[part] for part in parts], pa.large_binary()).take(coded.indices)
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(lists.offsets.cast(pa.int64()), found), pa.scalar(b"", pa.large_binary()))
+        for part in parts:
+            if len(part) > KNOWN_LENGTH:
+                del self.known[part]
+        return [(self._library_ids(text) if alone else ids) + self.end
+                for text, alone, ids in zip(texts, whole.to_pylist(), joined.to_pylist())]
 
 
 def groups_of(column) -> Iterator[list[str]]:
