@@ -158,12 +158,24 @@ def id_counts(encoded: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         total = np.zeros(0, np.int64)
+
+        def add(run):
+            nonlocal total
+            n = np.bincount(np.concatenate(run))
+            if len(n) > len(total):
+                total = np.pad(total, (0, len(n) - len(total)))
+            total[: len(n)] += n
+
+        run, size = [], 0
         for batch in batches:
             for ids in _unpacked(batch.column(0)):
-                n = np.bincount(ids)
-                if len(n) > len(total):
-                    total = np.pad(total, (0, len(n) - len(total)))
-                total[: len(n)] += n
+                run.append(ids)
+                size += len(ids)
+                if size >= BLOCK_TOKENS:
+                    add(run)
+                    run, size = [], 0
+        if run:
+            add(run)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
