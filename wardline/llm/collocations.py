@@ -19,6 +19,7 @@ in the table. An empty table, or one without frequent phrases, gives no rows. A
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,7 +32,7 @@ from wardline.workdir import written
 LONGEST, MINIMUM = 4, 30
 TOP, COVERED_PERCENT = 2000, 80
 # Share of the documents in the sample (percent), and how often a phrase must stand there to be proposed.
-SAMPLE_PERCENT, SAMPLE_MINIMUM = 20, 3
+SAMPLE_PERCENT, SAMPLE_MINIMUM = 20, 5
 MOST_BITS, BITS_EACH, PROBES = 1 << 28, 16, 4
 CHUNK_BYTES = 8 << 20
 _PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -63,7 +64,7 @@ class Proposals:
 NONE = Proposals(np.zeros(1 << 10, np.uint64))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes] | list[str]) -> np.ndarray:
     import xxhash
 
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -83,59 +84,62 @@ class Runs:
     """The words of some texts of one language, and counts of their runs."""
 
     def __init__(self, lang: str, texts: list[bytes]):
+        import pyarrow as pa
+        from pyarrow import compute as pc
+
         data = b"\n".join(texts).translate(_NORMAL)
-        words = data.split()
         symbols = np.frombuffer(data, np.uint8)
         blank = np.concatenate(([True], (symbols == 10) | (symbols == 32)))
         starts = np.flatnonzero(blank[:-1] & ~blank[1:])
-        self.n = len(words)
-        self.piece = np.cumsum(symbols == 10)[starts]
-        ids: dict[bytes, int] = {}
-        self.word = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, self.n)
-        self.kinds = len(ids)
-        self.hash = word_hashes(list(ids))
+        self.n = len(starts)
+        self.piece = np.cumsum(symbols == 10, dtype=np.int32)[starts]
+        whole = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(data)])), pa.py_buffer(data))
+        words = pc.list_flatten(pc.ascii_split_whitespace(whole))
+        words = words.slice(int(self.n > 0 and blank[1]) if len(data) else 0, self.n)  # white space in front leaves an empty word
+        coded = words.dictionary_encode()
+        self.word = coded.indices.to_numpy().astype(np.int64)
+        self.kinds = len(coded.dictionary)
+        self.hash = word_hashes(coded.dictionary.to_pylist())
         self.base = language_hash(lang)
         # All words joined by single spaces: every phrase is a slice of this.
-        self.text = np.frombuffer(b" ".join(words), np.uint8)
-        sizes = np.fromiter(map(len, words), np.int64, self.n)
+        edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + self.n + 1] if self.n else np.zeros(1, np.int64)
+        sizes = np.diff(edges)
+        letters = np.frombuffer(words.buffers()[2], np.uint8)[edges[0] : edges[-1]] if self.n else np.zeros(0, np.uint8)
+        self.text = np.full(len(letters) + self.n, 32, np.uint8)
+        self.text[np.arange(len(letters)) + np.repeat(np.arange(self.n), sizes)] = letters
         self.begins = np.cumsum(sizes + 1) - (sizes + 1)
         self.ends = self.begins + sizes
 
     def counted(self, before: Proposals | None, now: Proposals, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(words, first places, counts) of the distinct runs that `now` admits and `before` did not (None: nothing was counted)."""
-        first = before is None
-        place, sample, counts = self.word, np.zeros(self.kinds, np.int64), np.bincount(self.word, minlength=self.kinds)
-        sample[self.word[::-1]] = np.arange(self.n)[::-1]
-        if first and self.kinds:
-            yield 1, sample, counts
+        if before is None and self.kinds:
+            sample = np.zeros(self.kinds, np.int64)
+            sample[self.word[::-1]] = np.arange(self.n)[::-1]
+            yield 1, sample, np.bincount(self.word, minlength=self.kinds)
         hashes = longer(np.full(self.kinds, self.base), self.hash)
-        admitted = [p.holds(hashes)[place] if p is not None else None for p in (before, now)]
+        # Of every place: the hash of the run that starts there, and whether each filter, none shorter having failed, holds it.
+        held = [(p.holds(hashes) if p is not None else np.zeros(self.kinds, bool))[self.word] for p in (before, now)]
+        hashes = hashes[self.word]
         for words in range(2, longest + 1):
-            last = self.n - words + 1
-            if last <= 0:
-                return
+            last = max(0, self.n - words + 1)
             inside = self.piece[:last] == self.piece[words - 1 :]
-            at = np.flatnonzero(inside & admitted[1][:last] & admitted[1][1 : last + 1])
-            if not len(at):
-                return
-            seen = np.zeros(len(at), bool) if first else admitted[0][at] & admitted[0][at + 1]
-            key = place[at] * self.kinds + self.word[at + words - 1]
-            _, sample, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            new = ~seen[sample]  # equal runs are all admitted or all not
-            if new.any():
-                yield words, at[sample[new]], counts[new]
-            if words == longest:
+            seen, admitted = (h[:last] & h[1 : last + 1] & inside for h in held)
+            at = np.flatnonzero(admitted & ~seen)
+            if len(at):
+                place = self.word[at]
+                for k in range(1, words):  # numbers of the runs of two words, of three, and so on
+                    _, first, place, counts = np.unique(
+                        place * self.kinds + self.word[at + k], return_index=True, return_inverse=True, return_counts=True)
+                yield words, at[first], counts
+            if words == longest or not admitted.any():
                 return
-            hashes = longer(hashes[place[at[sample]]], self.hash[self.word[at[sample] + words - 1]])
-            place = np.zeros(self.n, np.int64)
-            place[at] = inverse
-            flags = []
-            for proposals, ours in ((before, ~new), (now, np.ones(len(new), bool))):
-                flag = np.zeros(self.n, bool)
-                if proposals is not None:
-                    flag[at] = (proposals.holds(hashes) & ours)[inverse]
-                flags.append(flag)
-            admitted = flags
+            at = np.flatnonzero(admitted | seen)
+            hashes[at] = longer(hashes[at], self.hash[self.word[at + words - 1]])
+            for h, p, these in zip(held, (before, now), (seen, admitted)):
+                h[:] = False
+                if p is not None:
+                    at = np.flatnonzero(these)
+                    h[at] = p.holds(hashes[at])
 
     def phrases(self, words: int, at: np.ndarray):
         """The runs of so many words at these places as an Arrow array."""
@@ -144,7 +148,7 @@ class Runs:
         starts, sizes = self.begins[at], self.ends[at + words - 1] - self.begins[at]
         offsets = np.append(0, np.cumsum(sizes))
         data = self.text[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
-        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes()))
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
 
 
 def _fragments(text: bytes) -> Iterator[bytes]:
@@ -187,25 +191,30 @@ def count_pass(docs: DataFrame, before: Proposals | None, now: Proposals, minimu
 
     def count(batches):
         import pyarrow as pa
+        from pyarrow import compute as pc
 
         old, new = (None if b is None else Proposals(b) for b in shared.value)
-        names = [part.split()[0] for part in COUNTED.split(", ")]
 
-        def rows(lang, words, phrases, counts):
-            size = len(counts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([lang] * size, pa.string()), pa.array(np.full(size, words, np.int32)), phrases, pa.array(counts.astype(np.int64))], names)
+        def rows(lang, phrases, counts):
+            keys = pc.binary_join_element_wise(pa.scalar(lang), phrases, pa.scalar("\n"))
+            return pa.RecordBatch.from_arrays([keys, pa.array(counts.astype(np.int64))], ["key", "n"])
 
         for chunk in _chunks(batches):
             for lang, texts in chunk.items():
                 runs = Runs(lang, texts)
                 for words, at, counts in runs.counted(old, new, longest):
-                    yield rows(lang, words, runs.phrases(words, at), counts)
+                    yield rows(lang, runs.phrases(words, at), counts)
                 if old is None:
-                    yield rows(lang, 0, pa.array([""]), np.array([runs.n]))
+                    yield rows(lang, pa.array([""]), np.array([runs.n]))
 
-    summed = docs.mapInArrow(frugal(count), COUNTED).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return written(summed.where((F.col("n") >= minimum) | (F.col("words") == 0)), name)
+    # One short key for language and phrase: no phrase has a line feed. The row of all words ends with one.
+    summed = docs.mapInArrow(frugal(count), "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    frequent = summed.where((F.col("n") >= minimum) | F.col("key").endswith("\n"))
+    phrase = F.substring_index("key", "\n", -1)
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
+    return written(
+        frequent.withColumn("phrase", phrase).select(
+            F.expr("left(key, length(key) - length(phrase) - 1)").alias("lang"), words.cast("int").alias("words"), "phrase", "n"), name)
 
 
 def proposed(phrases: DataFrame, already: Proposals = NONE) -> Proposals:
@@ -229,22 +238,26 @@ def proposed(phrases: DataFrame, already: Proposals = NONE) -> Proposals:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bitmap[used].view(np.int64))], ["slot", "bits"])
 
     found = phrases.select("lang", "phrase").mapInArrow(frugal(places), "slot long, bits long").groupBy("slot").agg(
-        F.expr("bit_or(bits)").alias("bits")).toPandas()  # at most MOST_BITS / 64 rows
+        F.expr("bit_or(bits)").alias("bits")).toArrow()  # at most MOST_BITS / 64 rows
     bitmap = np.tile(already.bitmap, slots // len(already.bitmap))
-    bitmap[found["slot"].to_numpy(np.int64)] |= found["bits"].to_numpy(np.int64).view(np.uint64)
+    bitmap[found["slot"].to_numpy()] |= found["bits"].to_numpy().view(np.uint64)
     return Proposals(bitmap, size)
 
 
 def _phrase_hashes(batch) -> np.ndarray:
     """Hashes of the phrases in a batch of (lang, phrase)."""
-    out = np.zeros(batch.num_rows, np.uint64)
-    words = [phrase.encode().split(b" ") for phrase in batch.column(1).to_pylist()]
-    for k, (lang, some) in enumerate(zip(batch.column(0).to_pylist(), words)):
-        value = np.array([language_hash(lang)])
-        for word in word_hashes(some):
-            value = longer(value, word)
-        out[k] = value[0]
-    return out
+    if not batch.num_rows:
+        return np.zeros(0, np.uint64)
+    known = batch.column(0).dictionary_encode()
+    value = np.array([language_hash(lang) for lang in known.dictionary.to_pylist()])[known.indices.to_numpy()]
+    phrases = [phrase.split(b" ") for phrase in batch.column(1).cast("binary").to_pylist()]
+    sizes = np.fromiter(map(len, phrases), np.int64, len(phrases))
+    begins = np.cumsum(sizes) - sizes
+    words = word_hashes(list(chain.from_iterable(phrases)))
+    for k in range(int(sizes.max())):
+        more = np.flatnonzero(sizes > k)
+        value[more] = longer(value[more], words[begins[more] + k])
+    return value
 
 
 def _not_proposed(frequent: DataFrame, proposals: Proposals) -> DataFrame:
