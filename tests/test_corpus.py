@@ -113,17 +113,33 @@ def test_corpus_files(spark, tmp_path):
         readers.read_eval_sets(spark, {"eval": paths["eval"]}, choice="benchmark")
 
 
-def test_row_keys_are_never_cut(spark):
+def test_row_keys_tell_all_rows_apart(spark):
+    import random
+    import uuid
+
+    from wardline.functions.text import row_key
+
+    rng = random.Random(8)
+    signs = ["", "0", "00", "7", "a", "z", "~", "~0", "~1", "-", "-1", "a0", "b12", "z~0", " ", "\t", "é", "\U0001f600"]
+    parts = [*signs, "007", "a-0", "0-000000", "1e3", "7.0", str(10**24), str(10**25), "9" * 400, *(str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(50)),
+             *("".join(rng.choices(signs, k=rng.randrange(1, 5))) for _ in range(400)), *(str(n) for n in range(0, 3000, 7))]
+    rows = [(rng.choice(signs), p, rng.choice(signs)) for p in parts for _ in range(4)] + [(a, b, c) for a in signs for b in signs for c in signs]
+    distinct = sorted(set(rows))
+    df = spark.createDataFrame(distinct, "rank string, id string, turn string")
+    keys = [r.k for r in df.select(row_key(F.col("rank"), F.col("id"), F.col("turn")).alias("k")).collect()]
+    assert len(set(keys)) == len(distinct) > 5000
+
+
+def test_row_keys_of_numbers_sort_as_numbers(spark):
     from wardline.functions.text import row_key
 
-    ids = ["6ab24d72-0181-4594-9a1b-000000000001", "6ab24d72-0181-4594-9a1b-000000000002", "7"]
-    df = spark.createDataFrame([(i,) for i in ids], "id string")
-    keys = [r.k for r in df.select(row_key(F.lit(1), F.col("id")).alias("k")).collect()]
-    assert len(set(keys)) == 3 and all(i in k for i, k in zip(ids, keys))
-    numbers = [(99, 5, 999_999), (100, 5, 0), (100, 5, 999_999), (100, 5, 1_234_567), (100, 6, 0)]
-    df = spark.createDataFrame(numbers, "rank int, id long, turn long")
+    numbers = [0, 1, 7, 9, 10, 70, 99, 100, 12_345, 2**31, 2**63 - 1]
+    rows = [(r, i, t) for r in (0, 5, 99, 100) for i in numbers for t in (0, 3, 999_999, 1_234_567)]
+    df = spark.createDataFrame(rows, "rank int, id long, turn long")
     keys = [r.k for r in df.select(row_key(F.col("rank"), F.col("id"), F.col("turn")).alias("k")).collect()]
-    assert keys == sorted(keys) and len(set(keys)) == 5
+    assert keys == sorted(keys) and len(set(keys)) == len(rows)
+    assert spark.range(1).select(row_key(F.lit(2), F.lit(41)).alias("k")).first().k == "a2b41a0"
+    assert spark.range(1).select(row_key(F.lit(2), F.lit("041")).alias("k")).first().k == "a2z041~0a0"
 
 
 def test_a_row_without_an_id_ends_the_job(spark):

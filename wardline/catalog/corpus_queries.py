@@ -258,7 +258,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.stratified_split(training_rows(spark, sf_dir)).select("row_key", "label", "part")
 
 
-_UNLABELLED = "right(row_key, 8) LIKE '%7-000000'"
+_UNLABELLED = "row_key LIKE '%7a0'"
 
 
 @query("stratified_split_unlabelled", f"""

@@ -168,7 +168,7 @@ def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ),
         "advbench": table(spark, sf_dir, "pages").select(F.col("page_id").alias("row_id"), F.col("html").alias("prompt")),
         "tensor_trust": labelled.select(
-            F.col("doc_id").alias("row_id"),
+            mixed_id(F.col("doc_id")).alias("row_id"),
             F.when(F.col("quality") == 0, "hijacking_Attacks").otherwise("defenses").alias("split"),
             with_attacks("doc_id").alias("attack"),
         ),
@@ -180,7 +180,23 @@ def benchmark_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _key_sql(rank: int, row_id: str) -> str:
-    return f"'{rank:02d}-' || lpad(({row_id})::VARCHAR, 19, '0') || '-000000'"
+    """The row key of single-digit ranks and rows without turns."""
+    key = f"({row_id})::VARCHAR"
+    return (f"'a{rank}' || CASE WHEN regexp_full_match({key}, '0|[1-9][0-9]{{0,24}}') THEN chr((96 + length({key}))::INTEGER) || {key} "
+            f"ELSE 'z' || replace({key}, '~', '~1') || '~0' END || 'a0'")
+
+
+# Ids as sources have them: numbers, numbers with zeros in front, texts with the key's own signs.
+_MIXED_IDS = ("0", "a~0z7-")
+
+
+def mixed_id(doc: Column) -> Column:
+    text = doc.cast("string")
+    return F.when(doc % 3 == 0, F.concat(F.lit(_MIXED_IDS[0]), text)).when(doc % 3 == 1, F.concat(F.lit(_MIXED_IDS[1]), text)).otherwise(text)
+
+
+_MIXED_ID_SQL = (f"CASE doc_id % 3 WHEN 0 THEN '{_MIXED_IDS[0]}' || doc_id::VARCHAR WHEN 1 THEN '{_MIXED_IDS[1]}' || doc_id::VARCHAR "
+                 "ELSE doc_id::VARCHAR END")
 
 
 def _source_sql(rank: int, row_id: str, text: str, label: str, name: str, types: tuple[str, str], rows: str) -> str:
@@ -197,7 +213,7 @@ SOURCE_SQL: dict[str, str] = {
     "neuralchemy": _source_sql(2, "doc_id", "text", "toxic", "neuralchemy", ("benign", "direct_override"),
                                "documents JOIN labels USING (doc_id)"),
     "advbench": _source_sql(3, "page_id", "html", "1", "advbench", ("jailbreak", "jailbreak"), "pages"),
-    "tensor_trust": _source_sql(4, "doc_id", "(" + with_attacks_sql("doc_id") + ")", "1 - quality", "tensor_trust",
+    "tensor_trust": _source_sql(4, _MIXED_ID_SQL, "(" + with_attacks_sql("doc_id") + ")", "1 - quality", "tensor_trust",
                                 ("benign", "direct_override"), "documents JOIN labels USING (doc_id)"),
     "rogue_benchmark": _source_sql(0, "item_id", "text", "1", "rogue_benchmark", ("unknown", "unknown"), "benchmark"),
 }

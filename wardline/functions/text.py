@@ -43,19 +43,23 @@ def sampling_key(row_key: Column | str, seed: int = settings.SEED, purpose: str
 
 
 def row_key(source_rank: Column, row_id: Column, turn: Column | None = None) -> Column:
-    """A unique string whose order is (source, row, turn) for numbers that are not negative; any text serves as an id.
+    """A string that no other (source, row, turn) has, whatever text serves as an id; whole numbers keep their order.
+
+    Every part is written so that none is the beginning of another, so parts can stand side by side. A whole number in its plain
+    form (up to 25 digits, no zeros in front) is a letter for the number of digits and the digits, so numbers sort as numbers. Anything else, `007`,
+    `-1` and UUIDs among it, sorts after them: `z`, the text with `~1` for `~`, and `~0`. Ids are compared as text: the number 7 and the text `7` are one id.
 
     A null part ends the job: rows without an id would be one row to every step that follows.
     """
-    parts = [(source_rank, 2), (row_id, 19), (F.lit(0) if turn is None else turn, 6)]
-    return F.concat_ws("-", *[_padded(part.cast("string"), width) for part, width in parts])
+    return F.concat(*[_key_part(part) for part in (source_rank, row_id, F.lit(0) if turn is None else turn)])
 
 
-def _padded(part: Column, width: int) -> Column:
-    """Zeros in front up to `width`; what is longer stays whole, behind a letter that sorts it after shorter numbers."""
-    beyond = F.char(F.lit(96) + F.least(F.length(part) - width, F.lit(26)))
+def _key_part(part: Column) -> Column:
+    text = part.cast("string")
+    digits = F.concat(F.char(F.lit(96) + F.length(text)), text)
+    other = F.concat(F.lit("z"), F.replace(text, F.lit("~"), F.lit("~1")), F.lit("~0"))
     missing = F.raise_error(F.lit("a row without an id, a turn or a source rank")).cast("string")
-    return F.when(part.isNull(), missing).when(F.length(part) <= width, F.lpad(part, width, "0")).otherwise(F.concat(beyond, part))
+    return F.when(text.rlike("^(0|[1-9][0-9]{0,24})$"), digits).when(text.isNotNull(), other).otherwise(missing)
 
 
 def _col(value: Column | str) -> Column:
