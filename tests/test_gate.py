@@ -133,12 +133,35 @@ ERROR = v.ERROR_PREFIX + "unusable reply"
     ('{"reasoning": null}', (False, 0.5, "None")),
     ('{"reasoning": true}', (False, 0.5, "True")),
     ('{"reasoning": 12}', (False, 0.5, "12")),
+    ('{"reasoning": 1.0}', (False, 0.5, "1.0")),
+    ('{"reasoning": {"a": [true, null]}}', (False, 0.5, "{'a': [True, None]}")),
+    ('{"is_injection": true, "is_injection": false, "confidence": 0.9}', (False, 0.9, "")),
+    ('{"is_injection": false, "is_injection": false, "reasoning": "true story"}', (False, 0.5, "true story")),
+    ('{"confidence": 0.1, "confidence": "x", "is_injection": true, "confidence": 0.2}', (True, 0.2, "")),
+    ('{"is_injection": false, "confidence": Infinity}', (False, float("inf"), "")),
+    ('{"is_injection": NaN}', (True, 0.5, "")),
+    ('{"confidence": 1' + "0" * 400 + '}', (False, 0.5, ERROR)),
+    ('{"confidence": "1_0"}', (False, 10.0, "")),
+    ('{"confidence": 0.0000005}', (False, 0.0, "")),
+    ('{"reasoning": "\\ud800 x"}', (False, 0.5, "? x")),
+    ('{"confidence": 01}', (False, 0.5, UNPARSED)),
+    ('{"a": "tab\there is true"}', (True, 0.5, UNPARSED)),
+    ('[' * 100_000, (False, 0.5, ERROR)),
 ], ids=ascii)
 def test_reply_shapes(spark, reply, expected):
     row = v.parse_verdicts(spark.createDataFrame([(reply,)], "reply string")).first()
     assert (row.is_injection, row.confidence, row.reasoning) == expected
 
 
+def test_a_confidence_that_is_no_number_stays_one(spark):
+    import math
+
+    replies = spark.createDataFrame([('{"is_injection": false, "confidence": NaN, "reasoning": "x true"}', 3.0)], "reply string, confidence double")
+    row = v.parse_verdicts(replies).first()
+    assert row.is_injection is False and math.isnan(row.confidence) and row.reasoning == "x true"
+    assert v.parse_verdicts(replies).columns == ["reply", "is_injection", "confidence", "reasoning"]
+
+
 def test_failing_reviewer_gives_error_verdicts(spark):
     def review(requests: pd.Series) -> pd.Series:
         raise TimeoutError("no answer")

@@ -197,7 +197,17 @@ REPLIES = (
     '[true, {id}]',
     '{"is_injection": null, "confidence": 0.123456, "reasoning": "null flag"}',
     '  {"is_injection": 1, "confidence": 2.5, "reasoning": ""}  ',
+    # The last of repeated keys holds, and texts that say "true" elsewhere change nothing.
+    '{"is_injection": true, "is_injection": false, "confidence": 0.9, "reasoning": "true story {id}"}',
+    '{"is_injection": false, "is_injection": true, "confidence": "x", "confidence": {s}, "reasoning": 1.0}',
+    '{"is_injection": [], "confidence": true, "reasoning": {"why": [null, true]}}',
 )
+# What the SQL engine's reader takes otherwise than Python: the same replies in a form that both read alike.
+PLAIN_REPLIES = {
+    13: '{"is_injection": false, "confidence": 0.9, "reasoning": "true story {id}"}',
+    14: '{"is_injection": true, "confidence": {s}, "reasoning": "1.0"}',
+    15: '{"is_injection": false, "confidence": 1.0, "reasoning": "{\'why\': [None, True]}"}',
+}
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +218,7 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.replace(with_id, F.lit("{s}"), score).alias("reply"))
 
 
-_REPLY_CASES = " ".join(f"WHEN {i} THEN {sql_text(r)}" for i, r in enumerate(REPLIES))
+_REPLY_CASES = " ".join(f"WHEN {i} THEN {sql_text(r)}" for i, r in enumerate(PLAIN_REPLIES.get(k, r) for k, r in enumerate(REPLIES)))
 _VERDICTS_SQL = f"""
 replies AS (SELECT doc_id, trim(replace(replace(CASE doc_id % {len(REPLIES)} {_REPLY_CASES} END, '{{id}}', doc_id::VARCHAR),
   '{{s}}', '0.' || lpad((doc_id * 7919 % 1000)::VARCHAR, 3, '0'))) AS reply FROM documents),

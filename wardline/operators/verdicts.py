@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.scores import half_even
-from wardline.functions.text import strip_text
-
 # The texts and neutral confidence of the default verdicts.
 REQUEST_PREFIX = "USER TEXT:\n"
 UNPARSED_REASON = "Failed to parse structured response."
@@ -19,8 +18,7 @@ ERROR_PREFIX = "Stage 3 error: "
 NEUTRAL_CONFIDENCE = 0.5
 
 ERROR_REASON = ERROR_PREFIX + "no verdict"
-_PYTHON_NUMBER = r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$"
-_PYTHON_SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
+_UNUSABLE = (False, NEUTRAL_CONFIDENCE, ERROR_PREFIX + "unusable reply")
 
 
 def each_alone(function: Callable[[pd.Series], pd.Series], batch: pd.Series) -> pd.Series:
@@ -44,75 +42,49 @@ def verdict_requests(ambiguous_rows: DataFrame, id_col: str, text_col: str = "te
     return ambiguous_rows.select(id_col, F.concat(F.lit(REQUEST_PREFIX), F.col(text_col)).alias("request"))
 
 
-def unfenced(reply: Column) -> Column:
-    """The stripped reply, without its first and last line when it opens with a code fence."""
-    text = strip_text(reply)
-    lines = F.split(text, "\n")
-    inner = F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n")
-    return F.when(F.startswith(text, F.lit("```")) & (F.size(lines) > 2), inner).otherwise(text)
+def read_reply(reply: str | None) -> tuple[bool, float, str]:
+    """(is_injection, confidence, reasoning) of one raw reply, by Python's own rules for JSON, truth, numbers and texts."""
+    if reply is None:
+        return _UNUSABLE
+    text = reply.strip()
+    lines = text.split("\n")
+    if text.startswith("```") and len(lines) > 2:
+        text = "\n".join(lines[1:-1])
+    try:
+        fields = json.loads(text)
+        if not isinstance(fields, dict):
+            return _UNUSABLE
+        return (
+            bool(fields.get("is_injection", False)),
+            round(float(fields.get("confidence", NEUTRAL_CONFIDENCE)), 6),
+            str(fields.get("reasoning", "")).encode("utf-8", "replace").decode(),
+        )
+    except ValueError:  # no JSON, or a confidence that is a text without a number
+        return "true" in text.lower(), NEUTRAL_CONFIDENCE, UNPARSED_REASON
+    except (TypeError, OverflowError, RecursionError):  # a confidence without a numeric reading
+        return _UNUSABLE
 
 
 def parse_verdicts(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     """Add `is_injection`, `confidence`, `reasoning` read from the reply.
 
-    A JSON object is read with Python's notion of truth (any non-empty string is true). Anything that is not
-    JSON, or a confidence text that is no number, falls back to looking for "true". JSON that is no object,
-    or a confidence without a numeric reading, counts as a reviewer error, as does a null reply.
+    A JSON object is read as Python reads it: the last of repeated keys holds, `NaN` and `Infinity` are numbers, any non-empty string is
+    true, and reasonings that are no texts appear as Python prints them. Anything that is not JSON, or a confidence text that is no number, falls back to looking for
+    "true". JSON that is no object, or a confidence without a numeric reading, counts as a reviewer error, as does a null reply.
+
+    Runs on Arrow batches: only replies of ambiguous rows come here, and no SQL reader has all of these rules.
     """
-    raw = F.col("_raw")
-    parsed = replies.withColumn("_raw", unfenced(F.col(reply_col))).withColumn("_json", F.try_parse_json("_raw"))
-
-    def kind(path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get("_json", path, "variant"))
-
-    def text_of(path: str) -> Column:
-        return F.try_variant_get("_json", path, "string")
-
-    parsed = parsed.withColumns({
-        "_kind": F.schema_of_variant("_json"),
-        "_flag_kind": kind("$.is_injection"),
-        "_flag": text_of("$.is_injection"),
-        "_conf_kind": kind("$.confidence"),
-        "_conf": text_of("$.confidence"),
-        "_why_kind": kind("$.reasoning"),
-        "_why": text_of("$.reasoning"),
-    })
-    is_json, is_object = F.col("_json").isNotNull(), F.startswith("_kind", F.lit("OBJECT"))
-    flag_kind, conf_kind, why_kind = F.col("_flag_kind"), F.col("_conf_kind"), F.col("_why_kind")
-    numeric = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
-
-    truth = (
-        F.when(flag_kind.isNull() | (flag_kind == "VOID"), False)
-        .when(flag_kind == "BOOLEAN", F.col("_flag") == "true")
-        .when(flag_kind.rlike(numeric), F.col("_flag").try_cast("double") != 0)
-        .when(flag_kind == "STRING", F.col("_flag") != "")
-        .otherwise(~F.col("_flag").isin("[]", "{}"))
-    )
-    conf_text = strip_text(F.col("_conf"))
-    as_number = F.when(
-        conf_text.rlike(_PYTHON_NUMBER) | conf_text.rlike(_PYTHON_SPECIAL),
-        F.replace(conf_text, F.lit("_"), F.lit("")).try_cast("double"),
-    )
-    confidence = (
-        F.when(conf_kind.isNull(), F.lit(NEUTRAL_CONFIDENCE))
-        .when(conf_kind == "BOOLEAN", F.when(F.col("_conf") == "true", 1.0).otherwise(0.0))
-        .when(conf_kind.rlike(numeric), F.col("_conf").try_cast("double"))
-        .when(conf_kind == "STRING", as_number)
-    )
-    why = (
-        F.when(why_kind.isNull(), "")
-        .when(why_kind == "VOID", "None")
-        .when(why_kind == "BOOLEAN", F.initcap("_why"))
-        .otherwise(F.col("_why"))
-    )
-    unreadable = conf_kind.isNotNull() & ~(conf_kind.rlike(numeric) | conf_kind.isin("BOOLEAN", "STRING"))
-    error = raw.isNull() | (is_json & (~is_object | unreadable))
-    plain = ~is_json | ((conf_kind == "STRING") & as_number.isNull())
-    return parsed.withColumns({
-        "is_injection": F.when(error, False).when(plain, F.contains(F.lower(raw), F.lit("true"))).otherwise(truth),
-        "confidence": F.when(error | plain, NEUTRAL_CONFIDENCE).otherwise(half_even(confidence, 6)),
-        "reasoning": F.when(error, ERROR_PREFIX + "unusable reply").when(plain, UNPARSED_REASON).otherwise(why),
-    }).drop("_raw", "_json", "_kind", "_flag_kind", "_flag", "_conf_kind", "_conf", "_why_kind", "_why")
+
+    def read(batch: pa.Array) -> pa.Array:
+        flags, confidences, reasons = zip(*(read_reply(reply) for reply in batch.to_pylist())) if len(batch) else ((), (), ())
+        # On Arrow arrays a confidence of NaN stays a number; pandas would make it null.
+        return pa.StructArray.from_arrays(
+            [pa.array(flags, pa.bool_()), pa.array(confidences, pa.float64()), pa.array(reasons, pa.string())], ["is_injection", "confidence", "reasoning"])
+
+    read = F.arrow_udf(read, "is_injection boolean, confidence double, reasoning string")
+    # Columns of the input with these names give way to those that are read.
+    names = [c for c in replies.columns if c not in ("is_injection", "confidence", "reasoning")]
+    return replies.select(*names, read(F.col(reply_col)).alias("_verdict")).select(*names, "_verdict.*")
 
 
 def resolve_verdicts(
