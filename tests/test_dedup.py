@@ -124,6 +124,17 @@ def test_minhash_dedup_same_as_sequential_rule(spark):
     assert ids(minhash_dedup(df, order_cols=["id"])) == kept
 
 
+def test_minhash_shuffles_no_tokens(spark, monkeypatch):
+    from wardline.operators import minhash as m
+
+    plans = []
+    monkeypatch.setattr(m, "written", lambda df, name: plans.append(plan_of(df)) or __import__("wardline.workdir").workdir.written(df, name))
+    texts = [words(*range(k % 5, 400)) for k in range(12)] + ["short one", "short one"]
+    assert ids(m.minhash_dedup(frame(spark, texts), order_cols=["id"]))[0] == 0
+    moved = [line for line in plans[0].splitlines() if "Exchange" in line or "HashAggregate" in line or "SortAggregate" in line]
+    assert moved and not any("tokens" in line or "text" in line for line in moved)
+
+
 def test_minhash_of_empty_text(spark):
     bands = [r.bands for r in minhash_bands(frame(spark, ["", "  "]), token_set("text")).collect()]
     assert bands[0] == bands[1] and PRIME == 2**31 - 1
@@ -134,11 +145,128 @@ def test_hot_keys_of_unrelated_sets_are_replaced_by_pairs(spark, monkeypatch):
     rng = random.Random(11)
     common = [f"c{i}" for i in range(12)]
     texts = [" ".join(rng.sample(common, 10) + [f"r{rng.randrange(40)}"]) for _ in range(120)]
-    refined = []
+    levels = []
     set_keys = d.set_keys
-    monkeypatch.setattr(d, "set_keys", lambda *args: refined.append(len(args) == 4) or set_keys(*args))
+    monkeypatch.setattr(d, "set_keys", lambda *args: levels.append((args[5:] or (1,))[0]) or set_keys(*args))
     assert ids(d.near_dedup(frame(spark, texts), order_cols=["id"], hot_limit=4)) == greedy(list(enumerate(texts)), 85)[0]
-    assert refined == [False, True]
+    assert levels == list(range(1, len(levels) + 1)) and len(levels) > 1
+
+
+def test_sets_with_many_hot_keys_are_not_refined_further(spark, monkeypatch):
+    monkeypatch.setattr(d, "MOST_HOT", 3)
+    texts = random_texts(21, 60)
+    kept, match = greedy(list(enumerate(texts)), 85)
+    pairs = d.near_duplicate_pairs(frame(spark, texts), order_cols=["id"], hot_limit=2).collect()
+    assert {r.duplicate: r.kept for r in pairs} == match
+
+
+def unrelated(count):
+    """Sets of ten common words and ten of their own."""
+    return [words(*range(10), *(f"x{i}y{k}" for k in range(10))) for i in range(count)]
+
+
+@pytest.mark.parametrize("function", ["near_dedup", "near_duplicate_pairs"])
+def test_rounds_do_not_grow_with_unrelated_sets(spark, monkeypatch, function):
+    rounds = []
+    earliest = d._earliest
+    monkeypatch.setattr(d, "_earliest", lambda *args: rounds.append(1) or earliest(*args))
+    counts = []
+    for count in (12, 120):
+        texts = unrelated(count) + [unrelated(count)[3] + " more", unrelated(count)[5] + " else"]
+        out = getattr(d, function)(frame(spark, texts), order_cols=["id"], hot_limit=2)
+        if function == "near_dedup":
+            assert ids(out) == list(range(count))
+        else:
+            assert sorted((r.duplicate, r.kept) for r in out.collect()) == [(count, 3), (count + 1, 5)]
+        counts.append(len(rounds))
+        rounds.clear()
+    assert counts[1] <= counts[0] <= 4
+
+
+def test_a_round_moves_only_what_its_candidates_need(spark):
+    """The tokens of sets that no candidate names stay in the scan: they are left out below the first exchange."""
+    sets = d._distinct_sets(d._ordered_rows(frame(spark, [words(*range(i, i + 30)) for i in range(300)]), "text", ["id"]))
+    candidates = spark.createDataFrame([(0, 1), (1, 2)], "a_ord long, b_ord long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        _check_round(d._verify(candidates, sets, 85))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _check_round(found):
+    assert "LeftSemi" in plan_of(found)
+    assert sorted((r.a_ord, r.b_ord) for r in found.collect()) == [(0, 1), (1, 2)]
+    moved = [int(x) for x in _shuffled_rows(found)]
+    assert moved and max(moved) <= 3
+
+
+def _shuffled_rows(df):
+    """Rows written by each shuffle of the plan that ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "isFinalPlan=true" in text
+    counts = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+            return
+        if name.endswith("QueryStage"):
+            walk(node.plan())
+            return
+        if name == "Exchange":
+            counts.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(plan)
+    return counts
+
+
+def test_frequencies_are_exact_for_frequent_tokens(spark):
+    import numpy as np
+
+    texts = [words("all", *(("half",) if i % 2 else ()), *(f"r{i}k{k}" for k in range(20))) for i in range(200)]
+    sets = d._distinct_sets(d._ordered_rows(frame(spark, texts), "text", ["id"]))
+    known = d.token_frequencies(sets, buckets=16, heavy_tokens=100)
+    by_hash = {h: t for r in sets.collect() for t, h in zip(r.tokens, r.hashes)}
+    names = {t: h for h, t in by_hash.items()}
+    exact = known.of(np.array([names["wall"], names["whalf"]]))
+    assert exact.tolist() == [200, 100] and len(known.heavy) == 2
+    rare = known.of(np.array([h for h, t in by_hash.items() if t.startswith("wr")]))
+    assert rare.max() <= 4000 / 8 and known.rest.sum() == 4000
+
+
+def test_keys_of_unrelated_sets_stay_cold_at_ten_thousand_million_sets():
+    """Frequencies far beyond 22 bits: a bucket of rare tokens counts millions, and segments still tell sets apart."""
+    import numpy as np
+
+    from wardline.operators import setkeys as k
+
+    rng = np.random.default_rng(3)
+    total, per_set = 10**10, 100
+    heavy = np.sort(rng.integers(-(2**63), 2**63 - 1, 300))
+    counts = np.full(300, total // 10)
+    rest = (total * per_set - counts.sum()) // d.SKETCH_BUCKETS
+    buckets = np.full(d.SKETCH_BUCKETS, rest)
+    np.add.at(buckets, heavy % d.SKETCH_BUCKETS, counts)
+    assert rest > 1 << 20 and buckets.max() > 1 << 22
+    known = k.Frequencies(buckets, heavy, counts)
+    assert set(known.of(heavy)) == {total // 10} and known.of(rng.integers(0, 2**63 - 1, 10)).max() <= rest
+    marks = k.marks_of(heavy[:2], np.array([1 << 40, (1 << 40) + (1 << 36)]))
+    assert marks[0] >> k.HASH_BITS < marks[1] >> k.HASH_BITS < 1 << 22
+    bounds = k.class_bounds(85, per_set)
+    seen = {}
+    for _ in range(300):
+        hashes = np.concatenate((rng.choice(heavy, 30, replace=False), rng.integers(-(2**63), 2**63 - 1, per_set - 30)))
+        for key in k._segment_keys(k.marks_of(hashes, known.of(hashes)), 85, total, bounds):
+            seen[key] = seen.get(key, 0) + 1
+    crowded = sorted(seen.values())[-5:]
+    assert crowded[-1] <= 3, crowded
 
 
 @pytest.mark.parametrize("percent", [70, 85, 95])
@@ -148,7 +276,7 @@ def test_close_sets_share_a_key(percent):
     from wardline.operators import setkeys as k
 
     rng = random.Random(percent)
-    vocabulary = [(rng.choice([1, 5, 400, 900]) << k.HASH_BITS) | rng.getrandbits(k.HASH_BITS) for _ in range(3000)]
+    vocabulary = [int(k.marks_of(np.array([rng.getrandbits(k.HASH_BITS)]), np.array([rng.choice([1, 5, 400, 900])]))[0]) for _ in range(3000)]
     bounds = k.class_bounds(percent, 400)
     checked = 0
     for _ in range(3000):
@@ -165,9 +293,14 @@ def test_close_sets_share_a_key(percent):
         keys = [k._segment_keys(m, percent, 1000, bounds) for m in marks]
         shared = np.intersect1d(*keys)
         assert len(shared)
-        # With all shared keys hot, the refined keys still meet.
-        again = [k._segment_keys(m, percent, 1000, bounds, shared) for m in marks]
-        assert len(np.intersect1d(*again))
+        # With all shared keys hot, the refined keys still meet, on every level that is refined.
+        for level in range(2, k.SHARED + 1):
+            if level > 2 and len(shared) > 60:
+                break
+            again = [k._segment_keys(m, percent, 1000, bounds, shared, level) for m in marks]
+            met = np.intersect1d(*again)
+            assert len(met)
+            shared = np.union1d(shared, met)
     assert checked > 100
 
 
@@ -179,7 +312,7 @@ def test_number_of_keys_is_linear_in_the_size(size, hot):
     from wardline.operators import setkeys as k
 
     rng = np.random.default_rng(size)
-    marks = (rng.integers(1, 1000, size) << k.HASH_BITS) | rng.integers(0, 1 << k.HASH_BITS, size)
+    marks = k.marks_of(rng.integers(0, 1 << k.HASH_BITS, size), rng.integers(1, 1000, size))
     bounds = k.class_bounds(85, size)
     keys = k._segment_keys(marks, 85, 10**6, bounds)
     if hot:
@@ -193,7 +326,7 @@ def test_large_close_sets_share_a_key_also_when_hot():
     from wardline.operators import setkeys as k
 
     rng = np.random.default_rng(1)
-    pool = (rng.integers(1, 500_000, 4000) << k.HASH_BITS) | rng.permutation(1 << 20)[:4000]
+    pool = k.marks_of(rng.permutation(1 << 20)[:4000], rng.integers(1, 500_000, 4000))
     for size in (450, 520, 800, 2500):
         for _ in range(20):
             other = pool[: size + int(size * 0.15)]

@@ -11,10 +11,14 @@ rounds of joins over the rows still open:
    `hot_limit` sets is *hot* and never expanded into pairs. Each round takes the earliest `hot_limit` open
    sets of every hot key, settles them among themselves, and compares only those that are kept with the
    rest of the key. A block of near copies so costs about one comparison per copy.
-4. Sets that still share hot keys after two rounds are unrelated to each other, and would take a round per
-   `hot_limit` of them. Their hot keys are replaced by pairs of hot keys, which few of them share.
+4. After a round blocks of near copies are gone: their first set is kept, and the rest was compared with it. Sets that still share hot keys
+   are unrelated to each other, and would take a round per `hot_limit` of them. Their hot keys are replaced by pairs of hot keys, which few of them share,
+   those that are hot by triples, and so on, until no key is hot or the deepest level is reached. Keys of sets with very many hot keys stay as they are.
 
 The earliest open row is settled in every round, so the rounds end; usually after one to three.
+
+Token sets are shuffled once, to collapse equal ones. What follows works on narrow tables of keys and pairs; tokens are fetched for the sets that
+candidates name, which are picked in the scan before any exchange, so a round moves what its candidates need and no more.
 """
 
 from __future__ import annotations
@@ -22,19 +26,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline import settings
 from wardline.functions.text import token_set
-from wardline.operators.setkeys import FREQUENCY_BITS, HASH_BITS, SEGMENT_PERCENT, set_keys
-from wardline.workdir import HEAVY_ROWS, broadcast_if_small, join_heavy_split, order_column, written
+from wardline.operators.setkeys import SEGMENT_PERCENT, SHARED, Frequencies, set_keys
+from wardline.workdir import BROADCAST_ROWS, HEAVY_ROWS, broadcast_if_small, join_heavy_split, order_column, written
 
 HOT_LIMIT = 256
-# After this many rounds blocks of near copies are gone; keys still hot are shared by unrelated sets.
-REFINE_AFTER = 2
-# Buckets of the token frequency sketch: bounds what is broadcast, whatever the vocabulary.
-SKETCH_BUCKETS = 1 << 18
+# Hot keys of a set beyond which its keys are not refined further than to pairs.
+MOST_HOT = 256
+# Buckets of the token frequencies, and how many tokens can be so frequent that they are counted on their own: both bound what is
+# broadcast, whatever the vocabulary. A token that is not frequent has less than a HEAVY_TOKENS-th of all.
+SKETCH_BUCKETS, HEAVY_TOKENS = 1 << 18, 1 << 16
 
 
 def near_dedup(
@@ -95,38 +101,36 @@ def _keep_only(df: DataFrame, kept: DataFrame, order_cols: Sequence[str]) -> Dat
 
 
 def _distinct_sets(rows: DataFrame) -> DataFrame:
-    """One written row per distinct token set: earliest row, number of copies, tokens, marks.
-
-    A mark holds the token's frequency above bits of its hash. Frequencies come from a sketch that counts
-    hashed tokens in a fixed number of buckets; they make keys selective but are not needed for correctness.
-    The table stays grouped by set key, so looking frequencies up needs no second shuffle. Outer explodes
-    throughout: for inner ones Catalyst adds a size filter below, computing the array twice.
-    """
-    bucket = F.pmod(F.xxhash64("token"), F.lit(SKETCH_BUCKETS)).cast("int").alias("bucket")
-    sketch = (
-        rows.select(F.explode_outer("tokens").alias("token")).groupBy(bucket).agg(F.count("*").alias("frequency"))
-    )
+    """One written row per distinct token set: earliest row, number of copies, tokens, their hashes."""
     sets = rows.groupBy("set_key").agg(
         F.min("ord").alias("ord"), F.count("*").alias("copies"), F.first("tokens").alias("tokens")
     )
-    frequency = F.least("frequency", F.lit((1 << FREQUENCY_BITS) - 1))
-    low_bits = F.lit((1 << HASH_BITS) - 1)
-    mark = F.shiftleft(frequency, HASH_BITS).bitwiseOR(F.xxhash64("token").bitwiseAND(low_bits))
-    marked = (
-        sets.select("set_key", "ord", "copies", F.explode_outer("tokens").alias("token"))
-        .withColumn("bucket", bucket)
-        .join(F.broadcast(sketch), "bucket", "left")
-        .select("set_key", "ord", "copies", "token", F.when(F.col("token").isNotNull(), mark).alias("mark"))
-        .groupBy("set_key")
-        .agg(
-            F.first("ord").alias("ord"),
-            F.first("copies").alias("copies"),
-            F.count("token").cast("int").alias("n"),
-            F.collect_list("token").alias("tokens"),
-            F.collect_list("mark").alias("marks"),
-        )
+    hashes = F.transform("tokens", lambda token: F.xxhash64(token))
+    return written(sets.withColumns({"n": F.size("tokens"), "hashes": hashes}), "dedup-sets")
+
+
+def token_frequencies(sets: DataFrame, buckets: int = SKETCH_BUCKETS, heavy_tokens: int = HEAVY_TOKENS) -> Frequencies:
+    """Frequencies of the tokens of `sets` (written; array column `hashes`), of bounded size.
+
+    All tokens are counted by bucket; in buckets that hold enough for a frequent one, tokens are counted themselves. Keys become selective by
+    this; it is not needed for correctness.
+    """
+    hashes = sets.select(F.explode("hashes").alias("hash"))
+    bucket = F.pmod("hash", F.lit(buckets))
+    found = hashes.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # at most `buckets` rows
+    counts = np.zeros(buckets, np.int64)
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    least = int(counts.sum()) // heavy_tokens + 1
+    crowded = np.flatnonzero(counts >= least).tolist()
+    if not crowded:
+        return Frequencies(counts, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    among = F.broadcast(sets.sparkSession.createDataFrame([(k,) for k in crowded], "bucket long"))
+    heavy = (
+        hashes.withColumn("bucket", bucket).join(among, "bucket", "left_semi").groupBy("hash").agg(F.count("*").alias("n"))
+        .where(F.col("n") >= least).toArrow()  # at most `heavy_tokens` rows
     )
-    return written(marked, "dedup-sets")
+    order = np.argsort(heavy["hash"].to_numpy())
+    return Frequencies(counts, heavy["hash"].to_numpy()[order], heavy["n"].to_numpy()[order])
 
 
 def _postings(sets: DataFrame, keys: Column, percent: int) -> DataFrame:
@@ -182,19 +186,24 @@ def _pairs_within_keys(postings: DataFrame, percent: int) -> DataFrame:
 def _verify(candidates: DataFrame, sets: DataFrame, percent: int, fan_out: DataFrame | None = None) -> DataFrame:
     """The candidates that are close, by exact integer arithmetic on the whole token sets.
 
-    Both sides read the same projection of `sets`, so Spark shuffles it once for both joins. With `fan_out`
+    Tokens are fetched for the sets that candidates name only: up to a bound these are broadcast and picked in the scan, so the exchanges
+    that follow carry no other set. Both sides read the same projection, so Spark shuffles it once for both joins. With `fan_out`
     (a_ord, part) a leader of very many candidates is repeated once per part, and candidates carry a part.
     """
+    if fan_out is None:
+        pairs, on = written(candidates.select("b_ord", "a_ord").distinct(), "dedup-candidates"), ["a_ord"]
+    else:
+        pairs, on = written(candidates.groupBy("b_ord", "a_ord").agg(F.min("part").alias("part")), "dedup-candidates"), ["a_ord", "part"]
+    named = pairs.select(F.explode(F.array("a_ord", "b_ord")).alias("ord")).distinct()
+    if 2 * pairs.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
+    some = sets.select("ord", "n", "tokens").join(named, "ord", "left_semi")
+
     def side(name: str) -> DataFrame:
-        return sets.select(F.col("ord").alias(f"{name}_ord"), F.col("n").alias(f"{name}_n"), F.col("tokens").alias(f"{name}_tokens"))
+        return some.select(F.col("ord").alias(f"{name}_ord"), F.col("n").alias(f"{name}_n"), F.col("tokens").alias(f"{name}_tokens"))
 
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    by_later = candidates.repartition("b_ord")  # one shuffle for the grouping and the next join
-    if fan_out is None:
-        pairs, leaders, on = by_later.select("b_ord", "a_ord").distinct(), side("a"), ["a_ord"]
-    else:
-        pairs = by_later.groupBy("b_ord", "a_ord").agg(F.min("part").alias("part"))
-        leaders, on = fan_out.join(side("a"), "a_ord"), ["a_ord", "part"]
+    leaders = side("a") if fan_out is None else fan_out.join(side("a"), "a_ord")
     return (
         pairs.join(side("b"), "b_ord")
         .join(leaders, on)
@@ -203,11 +212,47 @@ def _verify(candidates: DataFrame, sets: DataFrame, percent: int, fan_out: DataF
     )
 
 
+def _of_hot_keys(sets: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The sets that have hot keys, written: all that rounds look at."""
+    if hot is None:
+        return sets
+    named = written(hot.select("ord").distinct(), "dedup-hot-ords")
+    return written(sets.select("ord", "n", "tokens", "hashes").join(broadcast_if_small(named), "ord", "left_semi"), "dedup-hot-sets")
+
+
+def _refinable(hot: DataFrame, level: int) -> tuple[DataFrame | None, DataFrame]:
+    """Hot postings of a level whose keys can be refined (None without any), and the others, both written.
+
+    A set makes many keys of the next level if it has many hot ones. A key is refined if none of its sets has more than MOST_HOT of them, and stays as it is
+    otherwise: so two sets either meet in a key that stays, or both go on with all the keys they share. Pairs of single segments are few at any size.
+    """
+    hot = written(hot, "dedup-waiting")
+    if level == 1:
+        return hot, hot.where("false")
+    many = hot.groupBy("ord").agg(F.count("*").alias("n")).where(F.col("n") > MOST_HOT).select("ord")
+    kept = written(hot.join(many, "ord", "left_semi").select("key").distinct(), "dedup-coarse-keys")
+    if kept.isEmpty():
+        return hot, hot.where("false")
+    finer = written(hot.join(broadcast_if_small(kept), "key", "left_anti"), "dedup-finer")
+    return None if finer.isEmpty() else finer, written(hot.join(broadcast_if_small(kept), "key", "left_semi"), "dedup-coarse")
+
+
+def _hot_lists(waiting: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(ord, hot), written: all hot keys of each waiting set, of this level and those before."""
+    now = waiting.groupBy("ord").agg(F.collect_list("key").alias("hot"))
+    if before is not None:
+        earlier = before.select("ord", F.col("hot").alias("earlier"))
+        now = now.join(earlier, "ord", "left").select("ord", F.concat("hot", F.coalesce("earlier", F.array().cast("array<bigint>"))).alias("hot"))
+    return written(now, "dedup-hot-lists")
+
+
 def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -> tuple[DataFrame, DataFrame | None]:
     """Kept sets (`ord`), and for every dropped set its earliest kept match."""
-    total = sets.count()
-    postings = written(_postings(sets, set_keys(F.col("marks"), percent, total), percent), "dedup-postings")
+    total, shared = sets.count(), sets.sparkSession.sparkContext.broadcast(token_frequencies(sets))
+    level, lists, stay = 1, None, None
+    postings = written(_postings(sets, set_keys(F.col("hashes"), percent, total, lambda: shared.value), percent), "dedup-postings")
     cold, hot = _by_heat(postings, hot_limit)
+    hot_sets = _of_hot_keys(sets, hot)
     near = written(_verify(_pairs_within_keys(cold, percent), sets, percent), "dedup-near-pairs")
     open_sets = _hot_counts(sets.select("ord"), hot)
     kept_rounds: list[DataFrame] = []
@@ -218,7 +263,7 @@ def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -
             pivots = written(_earliest(hot.join(open_sets, "ord", "left_semi"), hot_limit), "dedup-pivots")
             seen = pivots.groupBy("ord").agg(F.count("*").alias("seen"))
             ready = open_sets.join(seen, "ord", "left").where(F.coalesce("seen", F.lit(0)) == F.col("hot_keys"))
-            live = near.unionByName(_verify(_pairs_within_keys(pivots, percent), sets, percent))
+            live = near.unionByName(_verify(_pairs_within_keys(pivots, percent), hot_sets, percent))
         live = written(
             live.join(open_sets.select(F.col("ord").alias("a_ord")), "a_ord", "left_semi").join(
                 open_sets.select(F.col("ord").alias("b_ord")), "b_ord", "left_semi"
@@ -236,7 +281,7 @@ def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -
             targets = hot.join(_union(kept_rounds), "ord", "left_anti") if with_matches else hot.join(
                 open_sets, "ord", "left_semi"
             ).join(kept_now, "ord", "left_anti")
-            matched = written(_match_hot(kept_now, hot, targets, sets, percent), "dedup-hot-matches")
+            matched = written(_match_hot(kept_now, hot, targets, hot_sets, percent), "dedup-hot-matches")
             hot_matches.append(matched)
             dropped = dropped.unionByName(matched.select(F.col("b_ord").alias("ord")))
         open_sets = written(
@@ -244,14 +289,25 @@ def _settle(sets: DataFrame, percent: int, hot_limit: int, with_matches: bool) -
         )
         if open_sets.isEmpty():
             break
-        refinable = percent >= SEGMENT_PERCENT and not with_matches
-        if hot is not None and refinable and len(kept_rounds) == REFINE_AFTER:
-            still_hot = hot.join(open_sets, "ord", "left_semi").groupBy("ord").agg(F.collect_list("key").alias("hot"))
-            keys = set_keys(F.col("marks"), percent, total, F.col("hot"))
-            postings = written(_postings(sets.join(still_hot, "ord"), keys, percent), "dedup-postings")
+        refine = hot is not None and percent >= SEGMENT_PERCENT and level < SHARED
+        while hot is not None and percent >= SEGMENT_PERCENT and level < SHARED:
+            # Later kept sets are compared with open ones; for matches with dropped ones, too.
+            waiting = hot.join(_union(kept_rounds), "ord", "left_anti") if with_matches else hot.join(open_sets, "ord", "left_semi")
+            level, (finer, coarse) = level + 1, _refinable(waiting, level)
+            if finer is None:
+                hot, level = None, SHARED
+                stay = coarse if stay is None else stay.unionByName(coarse)
+                break
+            lists = _hot_lists(finer, lists)
+            keys = set_keys(F.col("hashes"), percent, total, lambda: shared.value, F.col("hot"), level)
+            postings = written(_postings(hot_sets.join(lists, "ord"), keys, percent), "dedup-postings")
             cold, hot = _by_heat(postings, hot_limit)
-            more = _verify(_pairs_within_keys(cold, percent), sets, percent)
-            near = written(near.unionByName(more), "dedup-near-pairs")
+            near = written(near.unionByName(_verify(_pairs_within_keys(cold, percent), hot_sets, percent)), "dedup-near-pairs")
+            stay = coarse if stay is None else stay.unionByName(coarse)
+        if refine:
+            hot = stay if hot is None else hot if stay is None else written(hot.unionByName(stay), "dedup-hot-postings")
+            hot = None if hot is None or hot.isEmpty() else hot
+        if refine:
             open_sets = _hot_counts(open_sets.select("ord"), hot)
 
     kept = _union(kept_rounds)

@@ -88,13 +88,10 @@ def minhash_dedup(
     A band is an equality class, so at most one of its rows is kept and no pairs are formed: a round keeps
     the rows that come first in all their bands (a partial aggregation), then drops the others of those bands.
     """
-    tokens = F.sort_array(token_set(text_col))
-    sets = (
-        df.select(order_column(list(order_cols)).alias("ord"), tokens.alias("tokens"))
-        .groupBy(F.sha2(F.concat_ws(" ", "tokens"), 256).alias("set_key"))
-        .agg(F.min("ord").alias("ord"), F.first("tokens").alias("tokens"))
-    )
-    banded = minhash_bands(sets.select("ord", "tokens"), F.col("tokens"), bands, rows)
+    # Rows are signed where they are read; what is shuffled are bands, whatever the length of the texts. Of rows equal in all bands, copies
+    # among them, only the first can be kept: they collapse by partial aggregation.
+    signed = minhash_bands(df.select(order_column(list(order_cols)).alias("ord"), token_set(text_col).alias("tokens")), F.col("tokens"), bands, rows)
+    banded = signed.groupBy("bands").agg(F.min("ord").alias("ord"))
     live = written(banded.select("ord", each_band().alias("band")), "minhash-bands")
     kept_rounds = []
     while True:
