@@ -53,6 +53,39 @@ def test_counters_survive_a_restart(spark, tmp_path):
     assert counts.agg(F.sum("latency_sum") / F.sum("latency_count")).first()[0] == batch.average_latency_ms
 
 
+def test_a_reader_finds_whole_counters_while_batches_go_by(spark, tmp_path):
+    import glob
+    import os
+
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = requests(spark, str(tmp_path / "first"))
+    for k in range(15):
+        rows.limit(4).coalesce(1).write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = d.running_stats_stream(gate(arriving, scorer="s"), out, state, once=True)
+    seen = []
+    while query.isActive:
+        if glob.glob(f"{out}/batch=*/{d.FINISHED}"):
+            seen.append(d.stats_from_counts(d.read_running_counts(spark, out)).first().total_requests)
+    query.awaitTermination()
+    seen.append(d.stats_from_counts(d.read_running_counts(spark, out)).first().total_requests)
+    assert seen == sorted(seen) and seen[-1] == 60 and len(set(seen)) > 3
+    assert sum(name.startswith("batch=") for name in os.listdir(out)) == d.KEPT_BATCHES
+
+
+def test_a_table_without_its_mark_is_not_read(spark, tmp_path):
+    import pytest
+
+    out = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        d.read_running_counts(spark, out)
+    for number in (9, 10, 11):
+        spark.range(1).selectExpr(f"{number}L as n").write.parquet(f"{out}/batch={number}")
+        if number < 11:
+            (tmp_path / "out" / f"batch={number}" / d.FINISHED).touch()
+    assert [r.n for r in d.read_running_counts(spark, out).collect()] == [10]
+
+
 def test_log_lines(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = [("x" * 200, float("nan")), ("[INST]", 0.1)]

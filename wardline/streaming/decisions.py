@@ -10,6 +10,9 @@ from wardline.functions.scores import half_even
 from wardline.operators.gate import gate
 from wardline.operators.stats import STAGES, log_entries
 
+# The mark of a finished table of counters, and how many tables are kept.
+FINISHED, KEPT_BATCHES = "_finished", 3
+
 
 def gate_stream(requests: DataFrame, **options) -> DataFrame:
     """Decide each arriving text. Stateless: the batch gate as it is, so both give the same decisions."""
@@ -34,16 +37,19 @@ def running_counts(decided: DataFrame) -> DataFrame:
 
 
 def running_stats_stream(decided: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the counters as small tables under `path`, one for each batch; `read_running_counts` reads the newest.
+    """Keep the counters as small tables under `path`, one for each batch; `read_running_counts` reads the newest finished one.
 
-    A reader so always finds a whole table. A batch that is replayed writes its own table again; the last two are kept.
+    A table counts as finished when its mark stands, an empty file that is created after the last row is written and goes with the table. A batch that is
+    replayed writes its own table again; the last `KEPT_BATCHES` stay, for readers that have begun with an older one.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")  # at most nine rows
         spark = batch.sparkSession
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        table = f"{path}/batch={number}"
+        batch.coalesce(1).write.mode("overwrite").parquet(table)  # at most nine rows
+        files, path_of = _files(spark, path)
+        files.createNewFile(path_of(f"{table}/{FINISHED}"))
+        files.delete(path_of(f"{path}/batch={number - KEPT_BATCHES}"), True)
 
     writer = running_counts(decided).writeStream.outputMode("complete").foreachBatch(store).option(
         "checkpointLocation", checkpoint
@@ -51,11 +57,28 @@ def running_stats_stream(decided: DataFrame, path: str, checkpoint: str, once: b
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def read_running_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The counters after the newest finished batch."""
-    counts = spark.read.parquet(path)
-    newest = counts.agg(F.max("batch")).first()[0]
-    return counts.where(F.col("batch") == newest).drop("batch")
+def _files(spark: SparkSession, path: str):
+    """The file system of `path`, and the type of its paths."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    return path_of(path).getFileSystem(spark._jsc.hadoopConfiguration()), path_of
+
+
+def read_running_counts(spark: SparkSession, path: str, attempts: int = 5) -> DataFrame:
+    """The counters after the newest finished batch, at most nine rows, read at once; an error where no batch is finished.
+
+    Should the table be gone before it is read, because the reader was held up for several batches, the newest one is looked up again.
+    """
+    files, path_of = _files(spark, path)
+    for attempt in range(attempts):
+        marks = [str(mark.getPath().getParent()) for mark in files.globStatus(path_of(f"{path}/batch=*/{FINISHED}")) or ()]
+        if not marks:
+            raise FileNotFoundError(f"no finished batch below {path}")
+        try:
+            counts = spark.read.parquet(max(marks, key=lambda table: int(table.rsplit("=", 1)[1])))
+            return spark.createDataFrame(counts.collect(), counts.schema)
+        except Exception:
+            if attempt + 1 == attempts:
+                raise
 
 
 def stats_from_counts(counts: DataFrame) -> DataFrame:
