@@ -24,18 +24,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id; of rows with that id, one.
-
-    Documents without an id can't be told apart, and are kept.
-    """
-    groups = written(simhash.near_duplicates(docs), "pipeline-groups")
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    """Of each group of linked fingerprints one document: the smallest id, and of rows with that id one text."""
+    return simhash.one_of_each(docs)
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

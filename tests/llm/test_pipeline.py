@@ -51,3 +51,21 @@ def test_repeated_rows_and_missing_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
     assert sorted((tuple(r) for r in kept.collect()), key=repr) == sorted([rows[0], rows[2]], key=repr)
+
+
+A, B = "one two three four five six", "completely other words stand in this text, and many more of them than there"
+
+
+@pytest.mark.parametrize("given,left", [
+    ([(3, A), (5, A), (5, B)], [(3, A), (5, B)]),
+    ([(1, A), (1, B)], [(1, A), (1, B)]),
+    ([(None, A), (None, A), (5, A)], [(5, A)]),
+    ([(None, A), (None, A), (None, B)], [(None, A), (None, B)]),
+    ([(2, B), (2, A), (2, A), (2, B), (1, None), (0, "")], [(2, B), (2, A), (0, "")]),
+    ([], []),
+], ids=["id of two groups", "id of two texts", "copies without id", "no ids", "repeated rows", "empty"])
+def test_a_text_goes_only_for_one_of_its_own_group(spark, given, left):
+    docs = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(given)], "doc_id long, text string, identity string, row int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(left, key=repr)

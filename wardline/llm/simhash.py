@@ -19,7 +19,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query
@@ -51,8 +51,8 @@ def fingerprint(text: bytes, shingle_words: int = 4) -> int:
     return int(np.bitwise_or.reduce((2 * ones > n).astype(np.uint64) << _SHIFTS))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print): one row per row of `docs`; the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
+    """(doc_id, print, *more): one row per row of `docs`; the fingerprint as a signed long, `more` as texts."""
 
     def sign(batches):
         import pyarrow as pa
@@ -60,9 +60,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints), *batch.columns[2:]], ["doc_id", "print", *batch.schema.names[2:]])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(sign), "doc_id long, print long")
+    schema = ", ".join(["doc_id long, print long", *(f"{name} string" for name in more)])
+    return id_and_text(docs, id_col, text_col, **more).mapInArrow(frugal(sign), schema)
 
 
 def root_choices(count: int, errors: int, group: int = 512) -> list[list[tuple[int, int]]]:
@@ -248,17 +250,45 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def near_duplicates(docs: DataFrame, errors: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print, component_id) of every row: the component is named by its smallest id."""
-    signed = written(fingerprints(docs, id_col, text_col), "simhash-prints")
-    distinct = written(signed.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+def _firsts(signed: DataFrame, errors: int, first: Column) -> DataFrame:
+    """(print, first): for every distinct fingerprint the least `first` of all rows of its component."""
+    distinct = written(signed.groupBy("print").agg(F.min(first).alias("first")), "simhash-distinct")
     label = written(components(links(distinct.select("print"), errors)), "simhash-labels")
     named = distinct.join(label, distinct["print"] == label["node"], "left").select(
         "print", "first", F.coalesce("label", "print").alias("label"))
-    ids = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    # One row per fingerprint, joined with few rows per component; then with all documents, whose hot prints are split.
-    per_print = named.join(ids, "label").select("print", "component_id")
-    return signed.join(per_print, "print").select("doc_id", "print", "component_id")
+    # One row per fingerprint, joined with few rows per component.
+    return named.drop("first").join(named.groupBy("label").agg(F.min("first").alias("first")), "label").select("print", "first")
+
+
+def near_duplicates(docs: DataFrame, errors: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, print, component_id) of every row: the component is named by its smallest id."""
+    signed = written(fingerprints(docs, id_col, text_col), "simhash-prints")
+    # With all documents, whose hot prints are split.
+    return signed.join(_firsts(signed, errors, F.col("doc_id")), "print").select(
+        "doc_id", "print", F.col("first").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, errors: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, with all columns of `docs`.
+
+    The row with the smallest id stays (rows without an id come last), of several texts with that id the one with the smallest
+    digest, of rows equal in id and text any one. Rows are told apart by id and text together, so an id that several texts
+    share, or that is null, never decides about a text of another component.
+    """
+    id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    identity = F.concat(id_text, F.lit(":"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    signed = written(fingerprints(docs, id_col, text_col, identity=identity), "simhash-prints")
+    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "identity")
+    marked = written(signed.join(_firsts(signed, errors, best), "print").select(
+        "identity", (F.col("identity") == F.col("first.identity")).alias("stays")), "simhash-marked")
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), identity.alias("identity"))
+    kept = rows.join(marked.where("not stays").select("identity").distinct(), "identity", "left_anti")
+    repeated = written(marked.where("stays").groupBy("identity").count().where("count > 1").select("identity"), "simhash-repeated")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "identity", "left_semi").dropDuplicates(["identity"])
+        kept = kept.join(repeated, "identity", "left_anti").unionByName(once)
+    return kept.select("row.*")
 
 
 @query("op6_simhash")
