@@ -99,6 +99,15 @@ def test_suffixes_against_brute_force(docs, crowd, monkeypatch):
     assert sorted(got, key=repr) == sorted(brute_spans([(i, (t or "").encode()) for i, t, _ in awkward()], 200), key=repr)
 
 
+def test_ranges_of_equal_rows_are_listed_once(spark):
+    text = " ".join(f"word{i} of a long passage" for i in range(60))
+    sizes = []
+    for copies in (5, 20):
+        rows = spark.createDataFrame([(None, text)] * copies + [(1, text[7:])], "doc_id long, text string")
+        sizes.append({len(r.spans) for r in suffixes.repeated_spans(rows).collect() if r.doc_id is None})
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 1
+
+
 def test_documents_without_repeats_keep_their_columns(docs):
     out = suffixes.without_repeats(docs)
     assert out.schema == docs.schema and out.count() == docs.count()

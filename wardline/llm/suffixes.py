@@ -178,19 +178,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     anchored = written(rows.mapInArrow(
         frugal(find), "doc_id long, text_hash long, start int, windows int, offset int, anchor long, context long"), "suffix-anchors")
-    # Written, so that the join has a shuffle of its own, whose large partitions Spark can split.
-    repeated = written(anchored.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")
-    ).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "suffix-repeated")
-    candidates = written(anchored.join(repeated, "anchor"), "suffix-candidates")
-
-    same = candidates.where(~F.col("mixed")).select(
+    # Contexts are counted once; the one join of places brings what is known of their context. Both sides are written, so that
+    # the join has a shuffle of its own, whose large partitions Spark can split.
+    contexts = written(anchored.groupBy("anchor", "context").agg(F.count("*").alias("many")), "suffix-contexts")
+    repeated = contexts.groupBy("anchor").agg(F.sum("many").alias("n"), F.count("*").alias("kinds")).where("n > 1")
+    known = written(contexts.join(repeated, "anchor").select(
+        "anchor", "context", "many", (F.col("kinds") > 1).alias("mixed")), "suffix-repeated")
+    candidates = written(anchored.join(known, ["anchor", "context"]), "suffix-candidates")
+
+    # Contexts that occur more than once repeat whole, whether or not their anchor has others.
+    copied = candidates.where("many > 1").select(
         "doc_id", "text_hash", F.col("start").alias("begin"), (F.col("start") + F.col("windows") - 1 + length).alias("end"))
 
-    mixed = candidates.where("mixed")
-    kinds = written(mixed.groupBy("anchor", "context").agg(
-        F.count("*").alias("many"), F.min(F.struct("doc_id", "text_hash", "start", "windows", "offset")).alias("at")
-    ).select("anchor", "context", "many", "at.*"), "suffix-contexts")
+    kinds = written(candidates.where("mixed").groupBy("anchor", "context", "many").agg(
+        F.min(F.struct("doc_id", "text_hash", "start", "windows", "offset")).alias("at")
+    ).select("anchor", "context", "many", "at.*"), "suffix-kinds")
     crowded = written(kinds.groupBy("anchor").count().where(F.col("count") > group_contexts).select("anchor"), "suffix-crowded")
     wanted = kinds.groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("anchor", "context", "many", "start", "windows", "offset")).alias("contexts"))
@@ -239,10 +241,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     alone = verdicts.select("doc_id", "text_hash", "start", F.explode(F.arrays_zip("low", "high")).alias("r")).select(
         "doc_id", "text_hash", (F.col("start") + F.col("r.low")).alias("begin"),
         (F.col("start") + F.col("r.high") - 1 + length).alias("end"))
-    copied = mixed.join(kinds.where("many > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(
-        "doc_id", "text_hash", F.col("start").alias("begin"), (F.col("start") + F.col("windows") - 1 + length).alias("end"))
-    return same.unionByName(alone).unionByName(copied).groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("begin", "end")).alias("spans"))
+    # Rows equal in id and text name the same ranges: a set.
+    return alone.unionByName(copied).groupBy("doc_id", "text_hash").agg(
+        F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
 def _slicer(length: int):
