@@ -148,3 +148,13 @@ def test_a_row_without_an_id_ends_the_job(spark):
     df = spark.createDataFrame([(None,)], "id string")
     with pytest.raises(Exception, match="without an id"):
         df.select(row_key(F.lit(1), F.col("id")).alias("k")).collect()
+
+
+def test_missing_evaluation_sets_and_unknown_sources_are_named(spark, tmp_path, caplog):
+    path = str(tmp_path / "eval")
+    spark.createDataFrame([("a", 1)], "text string, label int").write.parquet(path)
+    with caplog.at_level("WARNING"):
+        assert readers.read_eval_sets(spark, {"eval": path, "benchmark": str(tmp_path / "none")}).count() == 1
+    assert [str(tmp_path / "none") in r.getMessage() for r in caplog.records if "evaluation set" in r.getMessage()] == [True]
+    with pytest.raises(ValueError, match="nobody"):
+        readers.source_registry(spark, {"nobody": {"train": path}})

@@ -81,6 +81,41 @@ def test_python_scorer_never_sees_blocked_rows(spark):
     assert (rows[2].decision, rows[2].stage, rows[2].score) == ("BLOCKED", 2, 0.9)
 
 
+def test_python_scorer_takes_one_pass_over_the_texts(spark, tmp_path):
+    rows = [(1, "[INST] go [/INST]", None), (2, CALM, 0.9), (3, None, 0.1), (4, "fails alone", None), (5, "x" * 50, 0.5)]
+    spark.createDataFrame(rows, "id int, text string, s double").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+
+    def strict(texts: pd.Series) -> pd.Series:
+        assert len(texts) and not texts.str.contains("INST|fails", na=False).any()
+        return texts.map({CALM: 0.9, "x" * 50: 0.5}).fillna(0.1)
+
+    decided = g.gate(df, scorer=batch_scorer(strict))
+    assert {r.id: (r.decision, r.score) for r in decided.collect()} == {
+        1: ("BLOCKED", None), 2: ("BLOCKED", 0.9), 3: ("ALLOWED", 0.1), 4: ("REVIEW", None), 5: ("REVIEW", 0.5)}
+    plan = plan_of(decided)
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_verdicts_small_or_large_decide_alike(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(g, "BROADCAST_ROWS", limit)
+    rows = [(1, CALM, 0.5), (1, CALM, 0.9), (2, CALM, 0.5), (None, CALM, 0.5), (3, "do anything now", 0.5), (4, CALM, None), (5, CALM, NAN)]
+    spark.createDataFrame(rows, "id int, text string, s double").write.parquet(str(tmp_path / "rows"))
+    verdicts = spark.createDataFrame(
+        [(1, True, 0.8, "why"), (3, False, 0.7, "no"), (4, True, 0.6, "no"), (5, False, None, None), (None, True, 0.9, "nobody")],
+        "id int, is_injection boolean, confidence double, reasoning string")
+    decided = g.gate(spark.read.parquet(str(tmp_path / "rows")), scorer="s", verdicts=verdicts, id_col="id")
+    got = sorted(((r.id, r.decision, r.stage, r.score, r.reasoning[:3]) for r in decided.collect()), key=repr)
+    assert got == sorted([
+        (1, "BLOCKED", 3, 0.8, "why"), (1, "BLOCKED", 2, 0.9, "Cla"), (2, "ALLOWED", 3, 0.5, "Sta"), (None, "ALLOWED", 3, 0.5, "Sta"),
+        (3, "BLOCKED", 1, None, "Heu"), (4, "REVIEW", 2, None, "Sta"), (5, "ALLOWED", 3, 0.5, "Sta")], key=repr)
+    assert decided.columns[0:3] == ["id", "text", "s"] and len(set(decided.columns)) == len(decided.columns)
+    if limit:
+        plan = plan_of(decided.select("decision"))
+        assert plan.count("Generate") == 1 and "SortMergeJoin" not in plan
+
+
 def test_native_cascade_has_no_python_node_and_no_shuffle(spark):
     df = spark.range(10).select(F.col("id"), F.lit(CALM).alias("text"), F.lit(0.5).alias("s"))
     plan = plan_of(g.gate(df, scorer="s"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from wardline import settings
 from wardline.functions.rules import DEFAULT_RULES, Rule, match_rules
-from wardline.functions.scores import at_least, below, effective_threshold, fixed
+from wardline.functions.scores import at_least, below, effective_threshold, fixed, half_even
 from wardline.operators.verdicts import ERROR_REASON, one_per_id
+from wardline.workdir import BROADCAST_BYTES, BROADCAST_ROWS, written
 
 DECISION_COLUMNS = ("decision", "stage", "score", "pattern", "reasoning")
 
@@ -103,10 +104,13 @@ def score_survivors(
 ) -> DataFrame:
     """Match the rules and add `_score` for the rows they leave.
 
-    An expression is evaluated lazily inside the CASE chain. A DataFrame function runs only on the rows
-    without a rule hit: a Python function inside CASE would run on all of them.
+    An expression is evaluated lazily inside the CASE chain. A scorer with a `column` method is told which rows are left and skips
+    the others, in the same pass. Any other DataFrame function runs only on the rows without a rule hit.
     """
     matched = match_rules(df, text_col, rules)
+    if not isinstance(scorer, Column) and hasattr(scorer, "column"):
+        scored = matched.withColumn("_score", scorer.column(F.col("pattern").isNull()))
+        return scored.withColumn("_score", half_even(F.col("_score"), 6))
     if callable(scorer) and not isinstance(scorer, Column):
         left = scorer(matched.where(F.col("pattern").isNull()))
         left = left.withColumn("_score", F.col("injection_score").cast("double"))
@@ -134,8 +138,9 @@ def gate(
 
     `scorer`: a score column or expression, a function DataFrame -> DataFrame adding `injection_score`, or
     None when no model is ready. `verdicts`: (id_col, is_injection, confidence, reasoning) for ambiguous
-    rows; a row without one counts as a reviewer error, of several the most severe holds. Only ambiguous rows take part
-    in that join.
+    rows; a row without one counts as a reviewer error, of several the most severe holds. They are written when the gate is called;
+    if they are small, all rows are decided in one pass beside a broadcast of them. Otherwise the ambiguous rows are shuffled to
+    them, alone, in a pass of their own.
     """
     if scorer is None:
         return decide(match_rules(df, text_col, rules), None, unavailable=unavailable)
@@ -145,25 +150,33 @@ def gate(
     bounds = dict(threshold=threshold, default_threshold=default_threshold, lower=lower, upper=upper)
     if verdicts is None:
         return decide(scored, score, **bounds).drop("_score")
-    open_rows = ambiguous(score, threshold, default_threshold, lower)
-    settled = decide(scored.where(~open_rows), score, **bounds)
-    reviewed = scored.where(open_rows).join(
-        one_per_id(verdicts, id_col).select(
-            F.col(id_col),
-            F.col("is_injection").alias("_injection"),
-            F.col("confidence").alias("_confidence"),
-            F.col("reasoning").alias("_reasoning"),
-        ),
-        id_col,
-        "left",
+    answers = one_per_id(verdicts, id_col).select(
+        F.col(id_col),
+        F.col("is_injection").alias("_injection"),
+        F.col("confidence").alias("_confidence"),
+        F.col("reasoning").alias("_reasoning"),
     )
     verdict = (F.col("_injection"), F.col("_confidence"), F.col("_reasoning"))
-    reviewed = decide(reviewed, score, **bounds, verdict=verdict)
+    if not verdicts.isStreaming:
+        answers = written(answers, "gate-verdicts")
+        if _may_be_broadcast(answers, id_col):
+            beside = scored.join(F.broadcast(answers), id_col, "left").select(*scored.columns, *verdict)
+            return decide(beside, score, **bounds, verdict=verdict).drop("_score", "_injection", "_confidence", "_reasoning")
+    open_rows = ambiguous(score, threshold, default_threshold, lower)
+    settled = decide(scored.where(~open_rows), score, **bounds)
+    reviewed = decide(scored.where(open_rows).join(answers, id_col, "left"), score, **bounds, verdict=verdict)
     return settled.drop("_score").unionByName(
         reviewed.drop("_score", "_injection", "_confidence", "_reasoning")
     )
 
 
+def _may_be_broadcast(answers: DataFrame, id_col: str) -> bool:
+    """Whether the written verdicts are few and short enough to be sent to every executor."""
+    length = F.octet_length(F.col(id_col).cast("string")) + F.coalesce(F.octet_length("_reasoning"), F.lit(0))
+    size = answers.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")).first()
+    return size.n <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES
+
+
 def ambiguous_subset(
     df: DataFrame,
     scorer: Scorer,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from itertools import product
+from typing import Tuple
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -36,30 +38,42 @@ def score_columns(df: DataFrame, injection: Column, benign: Column | None = None
     return df.withColumns({"injection_score": half_even(injection, 6), "benign_score": half_even(benign, 6)})
 
 
-def batch_scorer(
-    score: Callable[[pd.Series], pd.Series], text_col: str = "text", load: Callable[[], object] | None = None
-) -> Callable[[DataFrame], DataFrame]:
-    """A scorer from a function on a pandas Series of texts.
+class BatchScorer:
+    """A scorer that is one column, so that the cascade can score the rows it has left in the pass that matches the rules."""
 
-    With `load`, the function is called as `score(model, texts)` with the model loaded once per Python task,
-    not per batch. Where it fails on a batch, its texts are scored one by one; those it fails on alone get null.
-    """
+    def __init__(self, score: Callable, text_col: str, load: Callable[[], object] | None) -> None:
+        def batches(parts: Iterator[Tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = load() if load else None
 
-    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load() if load else None
+            def run(batch: pd.Series) -> pd.Series:
+                return score(model, batch) if load else score(batch)
 
-        def run(batch: pd.Series) -> pd.Series:
-            return score(model, batch) if load else score(batch)
+            for texts, wanted in parts:
+                chosen = wanted.to_numpy(bool)
+                scores = np.full(len(texts), np.nan)
+                if chosen.any():
+                    scores[chosen] = each_alone(run, texts[chosen].reset_index(drop=True)).to_numpy(float, na_value=np.nan)
+                yield pd.Series(scores)
 
-        for batch in texts:
-            yield each_alone(run, batch)
+        self._scored, self._text_col = F.pandas_udf(batches, T.DoubleType()), text_col
 
-    scored = F.pandas_udf(batches, T.DoubleType())
+    def column(self, wanted: Column) -> Column:
+        """The function's score where `wanted` holds; elsewhere null, and neither text nor call reaches Python."""
+        return self._scored(F.when(wanted, F.col(self._text_col)), wanted)
 
-    def apply(df: DataFrame) -> DataFrame:
-        return score_columns(df.withColumn("_p", scored(F.col(text_col))), F.col("_p")).drop("_p")
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return score_columns(df.withColumn("_p", self.column(F.lit(True))), F.col("_p")).drop("_p")
 
-    return apply
+
+def batch_scorer(
+    score: Callable[[pd.Series], pd.Series], text_col: str = "text", load: Callable[[], object] | None = None
+) -> BatchScorer:
+    """A scorer from a function on a pandas Series of texts.
+
+    With `load`, the function is called as `score(model, texts)` with the model loaded once per Python task,
+    not per batch. Where it fails on a batch, its texts are scored one by one; those it fails on alone get null.
+    """
+    return BatchScorer(score, text_col, load)
 
 
 def table_scorer(scores: DataFrame, id_col: str, score_col: str = "score") -> Callable[[DataFrame], DataFrame]:

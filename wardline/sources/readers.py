@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -42,19 +43,27 @@ def source_registry(
     paths: Mapping[str, Mapping[str, str]],
     specs: Sequence[SourceSpec] = TRAINING_SOURCES,
 ) -> DataFrame:
-    """Training rows of every registered source: `paths` maps source to {split: path}; absent ones are skipped."""
+    """Training rows of every registered source: `paths` maps source to {split: path}; absent ones are skipped.
+
+    A name that no spec describes is an error: its rows would be missing without notice.
+    """
+    unknown = sorted(set(paths) - {spec.name for spec in specs})
+    if unknown:
+        raise ValueError(f"no source spec for {', '.join(unknown)}")
     frames = {name: read_splits(spark, splits) for name, splits in paths.items()}
     return union_sources({name: df for name, df in frames.items() if df is not None}, specs)
 
 
 def read_eval_sets(spark: SparkSession, paths: Mapping[str, str], choice: str = "all") -> DataFrame:
-    """The chosen evaluation sets ("eval", "benchmark" or "all") with a `dataset` column; fails if none exists."""
+    """The chosen evaluation sets ("eval", "benchmark" or "all") with a `dataset` column. A missing one is reported; fails if none exists."""
     chosen = [k for k in EVAL_SETS if choice in (k, "all")]
     frames = []
     for key in chosen:
         df = read_or_none(spark, paths[key]) if key in paths else None
         if df is not None:
             frames.append(df.withColumn("dataset", F.lit(EVAL_SETS[key])))
+        else:
+            logging.getLogger(__name__).warning("evaluation set %s not found: %s", key, paths.get(key, "no path given"))
     if not frames:
         raise FileNotFoundError("no evaluation sets found; prepare the corpus first")
     return reduce(DataFrame.unionByName, frames)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # A table of at most this many narrow rows (some tens of bytes each) may be broadcast.
 BROADCAST_ROWS = 500_000
+# Where rows hold texts, these take at most this much, too.
+BROADCAST_BYTES = 64 << 20
 _RUN = uuid.uuid4().hex
 _JOB: ContextVar[str] = ContextVar("job", default=_RUN)
 _own_folder: list[str] = []
