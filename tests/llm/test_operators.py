@@ -209,7 +209,8 @@ def test_all_trusted_documents_are_counted(spark):
 def test_lm_scores(docs, labels, spark):
     scores = {r.doc_id: r for r in lm_score.score(docs, lm_score.trusted_ids(labels)).collect()}
     assert len(scores) == len({i for i, _, _ in awkward()}) and scores[3].n_tokens == 0 and scores[3].score == 0.0
-    assert scores[2].score < scores[8].score  # like a trusted document, and unlike any
+    assert scores[11].score < scores[8].score  # like a trusted document, and unlike any
+    assert scores[2].score > 0  # trusted, yet no other trusted text has its words
     none = lm_score.score(docs, lm_score.trusted_ids(labels.limit(0)))
     assert none.where("score <> 0").isEmpty()
 
@@ -227,17 +228,19 @@ def test_lm_counts_every_word_and_pair(spark):
     found = {r.doc_id: r for r in lm_score.score(given, trusted).collect()}
     words = [["^", *(text or "").lower().split()] for _, text in rows]
     kinds = len({w for ws in words for w in ws[1:]})
-    models = []
-    for good in (True, False):
-        some = [ws for (i, _), ws in zip(rows, words) if not good or i is not None and i < 120 and i % 3 == 0]
-        models.append((Counter(w for ws in some for w in ws[1:]), Counter(w for ws in some for w in ws[:-1]),
-                       Counter(p for ws in some for p in zip(ws, ws[1:]))))
+    trusted_rows = [i is not None and i < 120 and i % 3 == 0 for i, _ in rows]
     assert lm_score.score(given, trusted).count() == len(rows)
-    for (i, _), ws in zip(rows, words):
+    for at, ((i, _), ws) in enumerate(zip(rows, words)):
         losses = []
-        for one, followed, two in models:
-            unigram = {w: (one[w] + 1) / (one.total() + kinds) for w in ws}
-            losses.append(sum(-math.log(0.5 * (two[c, w] / followed[c] if followed[c] else unigram[w]) + 0.5 * unigram[w])
+        others = sum(len(o) - 1 for k, o in enumerate(words) if k != at)
+        for target in (True, False):  # models of all other rows
+            some = [other for k, other in enumerate(words) if k != at and (trusted_rows[k] or not target)]
+            one, followed = Counter(w for o in some for w in o[1:]), Counter(w for o in some for w in o[:-1])
+            two = Counter(p for o in some for p in zip(o, o[1:]))
+            share = one.total() / others
+            unigram = {w: (one[w] + share) / (one.total() + share * kinds) for w in ws}
+            prior = lm_score.PRIOR * share
+            losses.append(sum(-math.log((two[c, w] + prior * unigram[w]) / (followed[c] + prior))
                               for c, w in zip(ws, ws[1:])) / max(1, len(ws) - 1))
         assert found[i].n_tokens == len(ws) - 1
         assert (found[i].target_loss, found[i].background_loss) == (pytest.approx(losses[0]), pytest.approx(losses[1]))
@@ -246,16 +249,32 @@ def test_lm_counts_every_word_and_pair(spark):
 def test_lm_probabilities_add_up():
     import numpy as np
 
-    ids = {f"w{k}".encode(): k + 1 for k in range(700)}
-    rng = np.random.default_rng(2)
-    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 200) % 800).encode() for _ in range(40)]
-    tokens = lm_score.Tokens(texts, ids)
-    model = lm_score.Model(np.bincount(tokens.id, minlength=701), np.bincount(tokens.pair, minlength=lm_score.CLASSES**2))
-    every = np.arange(701)
-    kind = np.where(every < lm_score.CLASSES - 1, every, 0)
-    for before in (0, 1, lm_score.CLASSES - 1):
-        pair = model.pair[before * lm_score.CLASSES + kind] * model.own
-        assert abs((0.5 * pair + 0.5 * model.unigram).sum() - 1) < 1e-3
+    draw = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in draw.zipf(1.3, 30) % 40).encode() for _ in range(25)] + [b" ".join(b"w%d" % k for k in range(40))]
+    trusted = np.arange(27) % 2 == 0
+    for first in ("w1", "w39"):
+        total = np.zeros(2)
+        for k in range(40):  # the models without the last text are the same for all its endings
+            block = lm_score.Block([*texts, f"{first} w{k}".encode()])
+            words, pairs = block.counts(trusted)
+            losses = lm_score.token_losses(block, trusted, words, pairs, words[:2].sum(axis=1), 40)
+            total += np.exp([-loss[-1] for loss in losses])
+        assert np.abs(total - 1).max() < 1e-9
+
+
+def test_lm_scores_tell_likeness_not_membership(spark):
+    import random
+
+    draw = random.Random(9)
+    calm, loud = [f"calm{k}" for k in range(400)], [f"loud{k}" for k in range(400)]
+    rows = [(i, " ".join(draw.choice(calm if i < 300 else loud) for _ in range(80))) for i in range(500)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 300, 2)], "id long")
+    found = {r.doc_id: r.score for r in lm_score.score(given, trusted).collect()}
+    inside, left_out, other = ([found[i] for i in some] for some in (range(0, 300, 2), range(1, 300, 2), range(300, 500)))
+    assert abs(sum(inside) / 150 - sum(left_out) / 150) < 0.1
+    assert sum(a < b for a in inside for b in left_out) / 150**2 < 0.6
+    assert max(left_out) < min(other)
 
 
 def test_languages(docs, spark):

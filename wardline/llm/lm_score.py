@@ -1,8 +1,14 @@
 """Cross-entropy difference of two n-gram models (operator 9).
 
 A target model (trusted documents) and a background model (all documents) share one vocabulary: all words of the corpus. Both are word
-bigram models interpolated with their unigrams; nothing is left out of either. A document's score is the mean over its tokens of
-(target loss - background loss), in nats: the lower, the more like the target.
+bigram models; nothing is left out of either. A document's score is the mean over its tokens of (target loss - background loss), in nats:
+the lower, the more like the target.
+
+Every document is scored by models without it: its own counts are taken off both (off the target's only if it is trusted), so a score tells
+likeness, not membership. Copies of a document in other rows are not taken off. The models are matched in their smoothing: in the
+background one count is added for each word of the vocabulary, in the target that times its share of all tokens, so a word new to both is
+equally likely. A pair has the probability (count + prior * unigram) / (followers of the first word + prior), with PRIOR in the background
+and its share in the target: what was seen once does not take all mass, and new continuations cost some.
 
 Blocks of documents list their distinct words and pairs of neighbours by 64-bit hashes, with their counts. Shards of hash ranges bring equal ones
 of all blocks together, where counts are summed; the sums go back to the blocks in the order of their lists, and tokens are looked up
@@ -16,8 +22,6 @@ Repeated rows count as often as they stand in the table and get equal scores. An
 
 from __future__ import annotations
 
-from itertools import chain, repeat
-
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -28,50 +32,12 @@ from wardline.llm.common import block_count, block_of, compressed_blocks, frugal
 from wardline.llm.quality import in_chunks
 from wardline.llm.rules import Words, trusted_ids
 
-CLASSES = 512
-BIGRAM_WEIGHT = 0.5
+# Tokens that the unigram stands for beside a context's own followers (Dirichlet prior of the bigram).
+PRIOR = 64.0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _START = np.uint64(0x9E3779B97F4A7C15)  # stands before the first word
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_LOWER).split()
-
-
-class Tokens:
-    """For the class model below. Texts as vocabulary ids (0: unknown), and each token's pair of classes: its own and that of the word before it."""
-
-    def __init__(self, texts: list[bytes], ids: dict[bytes, int]):
-        words = [words_of(text) for text in texts]
-        self.n = len(texts)
-        self.sizes = np.fromiter(map(len, words), np.int64, self.n)
-        self.id = np.fromiter(map(ids.get, chain.from_iterable(words), repeat(0)), np.int64, int(self.sizes.sum()))
-        self.text = np.repeat(np.arange(self.n), self.sizes)
-        kind = np.where(self.id < CLASSES - 1, self.id, 0)
-        before = np.roll(kind, 1)
-        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = CLASSES - 1  # the sentence start
-        self.pair = before * CLASSES + kind
-
-
-class Model:
-    """A bounded class model, which `score` no longer uses. Interpolated probabilities; the unigrams have one count added for every word of the shared vocabulary."""
-
-    def __init__(self, unigrams: np.ndarray, pairs: np.ndarray):
-        unigram = (unigrams + 1) / (unigrams.sum() + len(unigrams))
-        kind = np.where(np.arange(len(unigram)) < CLASSES - 1, np.arange(len(unigram)), 0)
-        of_class = np.bincount(kind, unigram, CLASSES)
-        own = (unigram / of_class[kind]).astype(np.float32)  # share of a word in its class
-        table = pairs.reshape(CLASSES, CLASSES)
-        total = table.sum(1, keepdims=True)
-        # A class that was never followed by anything says nothing about the next one.
-        self.pair = np.where(total > 0, table / np.maximum(1, total), of_class).astype(np.float32).ravel()
-        self.unigram, self.own = unigram.astype(np.float32), own
-
-    def losses(self, tokens: Tokens) -> np.ndarray:
-        pair = self.pair[tokens.pair] * self.own[tokens.id]
-        return -np.log(BIGRAM_WEIGHT * pair + (1 - BIGRAM_WEIGHT) * self.unigram[tokens.id])
-
-
 class Block:
     """The distinct words and pairs of neighbours of some texts as sorted hashes, and the places of each token's in them."""
 
@@ -93,6 +59,14 @@ class Block:
         self.last = last
         self.start = start
 
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token, how often its text has its word, the word before it as one before another, and the pair."""
+        found = []
+        for place, n in ((self.word, len(self.words)), (self.before, len(self.words)), (self.pair, len(self.pairs))):
+            _, at, count = np.unique(self.text * n + place, return_inverse=True, return_counts=True)
+            found.append(count[at])
+        return tuple(found)
+
     def counts(self, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(raw, target) of all words and of pairs; words also have how often less than that they were followed by another."""
         good = trusted[self.text]
@@ -130,18 +104,21 @@ def summed(lists: list[bytes], columns: int) -> tuple[np.ndarray, list[np.ndarra
     return total, np.split(place, np.cumsum([len(h) for h, _ in parts])[:-1])
 
 
-def token_losses(block: Block, words: np.ndarray, pairs: np.ndarray, tokens: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(target, background) losses of a block's tokens, from the corpus's counts of its words and pairs.
+def token_losses(block: Block, trusted: np.ndarray, words: np.ndarray, pairs: np.ndarray, tokens: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(target, background) losses of a block's tokens, from the corpus's counts of its words and pairs less those of each token's own text.
 
-    `tokens` are the raw and target tokens of the corpus, `kinds` its distinct words.
+    `trusted` tells for each text whether it is part of the target, `tokens` are the raw and target tokens of the corpus, `kinds` its distinct words.
     """
+    own_word, own_before, own_pair = block.own()
+    size = block.sizes[block.text]
     out = []
     for k in (1 if tokens[1] else 0, 0):  # without trusted texts both models are equal
-        unigram = (words[k][block.word] + 1) / (tokens[k] + kinds)
-        followed = (words[k] - words[k + 2])[block.before]
-        # A word that was never followed by anything says nothing about the next one.
-        pair = np.where(followed > 0, pairs[k][block.pair] / np.maximum(1, followed), unigram)
-        out.append(-np.log(BIGRAM_WEIGHT * pair + (1 - BIGRAM_WEIGHT) * unigram))
+        inside = trusted[block.text] if k else np.ones(len(size), bool)
+        others = tokens[k] - size * inside
+        share = np.maximum(1, others) / np.maximum(1, tokens[0] - size)
+        unigram = (words[k][block.word] - own_word * inside + share) / (others + share * kinds)
+        followed = (words[k] - words[k + 2])[block.before] - own_before * inside
+        out.append(-np.log((pairs[k][block.pair] - own_pair * inside + PRIOR * share * unigram) / (followed + PRIOR * share)))
     return out[0], out[1]
 
 
@@ -188,14 +165,16 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     def look(key, texts, parts):
         import pandas as pd
 
-        parts = parts.sort_values("shard")
+        known = {i.decode() for i in parts["words"][parts["shard"] < 0]}
+        trusted = np.array([i in known for i in texts["doc_id"]], bool)
+        parts = parts[parts["shard"] >= 0].sort_values("shard")
         block = Block(unpacked(texts["packed"]))
         words = [np.frombuffer(part, "<i8") for part in unpacked(parts["words"])]
         kinds, *tokens = np.sum([part[:3] for part in words], axis=0)
         words = np.concatenate([part[3:].reshape(4, -1) for part in words], axis=1)
         pairs = np.concatenate([np.frombuffer(part, "<i8").reshape(2, -1) for part in unpacked(parts["pairs"])], axis=1)
         target, background = (np.bincount(block.text, losses, len(texts)) / np.maximum(1, block.sizes)
-                              for losses in token_losses(block, words, pairs, tokens, kinds))
+                              for losses in token_losses(block, trusted, words, pairs, tokens, kinds))
         return pd.DataFrame({"doc_id": pd.array(ids_of(texts["doc_id"]), "Int64"), "n_tokens": block.sizes,
                              "target_loss": target, "background_loss": background, "score": target - background})
 
@@ -204,6 +183,8 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
         dealt.groupBy("block").cogroup(good.groupBy("block")).applyInPandas(frugal_group(list_counts), lists)
         .groupBy("shard").applyInPandas(frugal_group(sum_shard), lists)
     )
+    # A cogroup has two sides only: trusted ids of a block come with its sums, as rows of no shard.
+    counts = counts.unionByName(good.select("block", F.lit(-1).alias("shard"), F.encode("good", "UTF-8").alias("words"), F.lit(b"").alias("pairs")))
     return (
         dealt.groupBy("block").cogroup(counts.groupBy("block"))
         .applyInPandas(frugal_group(look), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
