@@ -32,6 +32,8 @@ from wardline.llm.common import frugal
 from wardline.workdir import new_path, written
 
 ARCHIVE_BYTES = 1 << 30
+# Archive bytes that one task reads.
+TASK_BYTES = 16 << 20
 GAP, READ_BYTES = 1 << 16, 8 << 20
 _ID = "urn:page:"
 _DATE = "2024-01-01T00:00:00Z"
@@ -153,8 +155,12 @@ def coalesced(entries: list[tuple[int, int]], gap: int = GAP, read_bytes: int =
     return requests
 
 
-def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the index entries given (a selection of them, or all), payloads included on demand."""
+def read_records(index: DataFrame, folder: str, payloads: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records of the index entries given (a selection of them, or all), payloads included on demand.
+
+    The index is narrow, so its own size says nothing about the work: tasks are dealt by the bytes of archives to read.
+    """
+    total = index.agg(F.sum("length")).first()[0] or 0
 
     def read(batches):
         import pyarrow as pa
@@ -179,7 +185,7 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return (
-        index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+        index.select("file", "offset", "length").repartitionByRange(max(1, -(-total // task_bytes)), "file", "offset").sortWithinPartitions("file", "offset")
         .mapInArrow(frugal(read), RECORD)
     )
 
