@@ -9,7 +9,7 @@ which labels bound), so they are broadcast.
 The score is the second distance's share of the first two (0.5: undecided, 1: certain); with one language only it is the share of
 ranks found. A null text, or one without a letter, is `und` with score 0, as is every text if nothing could be learned.
 Training rows with a null text or language are left out. Ties between n-grams are ordered by length, then letters. Repeated rows get equal results.
-Whole texts are counted, however long; an empty table gives no rows.
+Whole texts are counted, however long; an empty table gives no rows. In the query a row without an id is predicted, never learned from, and not held out.
 """
 
 from __future__ import annotations
@@ -93,7 +93,9 @@ def profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = rows.mapInArrow(frugal(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # The bare row number is compared, so that Spark limits each language's rows before it shuffles and sorts them.
+    best = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    return best.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Profiles:
@@ -157,4 +159,5 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     learned = profiles(docs.where(remainder(F.col("doc_id"), 4) != 2))
     found = identify(docs.select("doc_id", "text"), learned, keep=["doc_id"])
-    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
