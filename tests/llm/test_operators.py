@@ -285,6 +285,25 @@ def test_languages(docs, spark):
     assert {tuple(r)[1:] for r in nothing.collect()} == {("und", 0.0)}
 
 
+def test_profiles_are_limited_before_the_sort(docs, spark):
+    found = langid.profiles(docs, 5)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    ranks = {}
+    for r in found.collect():
+        ranks.setdefault(r.lang, []).append(r.rank)
+    assert {lang: sorted(x) for lang, x in ranks.items()} == {lang: [0, 1, 2, 3, 4] for lang in ("en", "de", "fr")}
+
+
+def test_rows_without_an_id_are_not_held_out(docs, labels, tmp_path, spark):
+    import zlib
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for query, parts, part in ((langid.op1_language_id, 4, 2), (quality.op3_quality_mil, 3, 1)):
+        want = [(i, i is not None and zlib.crc32(str(i).encode()) % parts == part) for i, _, _ in awkward()]
+        assert rows_of(query(spark, str(tmp_path)), "doc_id", "held_out") == sorted(want, key=repr)
+
+
 def test_rank_order_distance():
     rows = [("a", gram, k) for k, gram in enumerate(langid.gram_counts("abba")[0].tolist())]
     table = langid.Profiles(rows + [("b", 1, 0)], len(rows))
@@ -420,6 +439,9 @@ def test_archives(spark, tmp_path):
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in records]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert {bytes(r.payload).decode() for r in records if r.payload is not None} == {"hi", "", "x\r\n\r\n" * 9999}
+    small = warc.read_records(index, str(tmp_path / "all"), task_bytes=200)
+    assert small.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    assert sorted(small.collect(), key=repr) == sorted(records, key=repr)
     only = warc.read_records(index.where("page_id = 5"), str(tmp_path / "all")).collect()
     assert [r.page_id for r in only] == [5]
     large = warc.write_archives(pages, str(tmp_path / "large"), min_bytes=3)

@@ -9,7 +9,7 @@ documents (those with the smallest hash of their id, half of either label where
 Null and empty texts are one passage without content and get a score like any other. Repeated rows get equal scores (rounded to five places). A
 label row that is null is ignored; of several for one document the smallest counts. Without labels of both kinds
 every score is the share of label 1 among them (0.5 if there are none). An empty table gives no rows. Input columns
-named like the results are replaced by them.
+named like the results are replaced by them. A row without an id is scored, never learned from, and not held out.
 """
 
 from __future__ import annotations
@@ -243,4 +243,5 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
 def op3_quality_mil(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    return score(docs, model, keep=["doc_id"]).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
