@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -55,7 +56,6 @@ def test_counters_survive_a_restart(spark, tmp_path):
 
 def test_a_reader_finds_whole_counters_while_batches_go_by(spark, tmp_path):
     import glob
-    import os
 
     folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = requests(spark, str(tmp_path / "first"))
@@ -102,3 +102,18 @@ def test_failing_log_does_not_fail_the_job(spark, tmp_path):
     (tmp_path / "file").write_text("not a folder")
     decided = gate(spark.createDataFrame([("a text",)], "text string"))
     assert write_decision_log(decided, str(tmp_path / "file" / "log")) is False
+
+
+def test_a_table_in_several_files_streams_as_one_file_does(spark, tmp_path):
+    import pytest
+
+    from wardline.catalog import stream_queries as q
+
+    one = "/root/testdata/sf0.001"
+    if not os.path.isdir(one):
+        pytest.skip("test tables not present")
+    turns = spark.read.parquet(f"{one}/conversations.parquet")
+    turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    for run in (q.gate_stream, q.logged_stream, q.running_stats):
+        got, expected = (sorted(map(str, run(spark, folder).collect())) for folder in (str(tmp_path), one))
+        assert got == expected and got

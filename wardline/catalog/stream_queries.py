@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.gate_queries import LOG_SQL, gated
-from wardline.catalog.inputs import pattern_sql, table, with_attacks, with_attacks_sql
+from wardline.catalog.inputs import pattern_sql, table_stream, with_attacks, with_attacks_sql
 from wardline.catalog.registry import query
 from wardline.sources.readers import read_decision_log
 from wardline.sources.writers import write_decision_log
@@ -32,9 +32,7 @@ def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as a file stream."""
-    schema = table(spark, sf_dir, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-    return turns.select(
+    return table_stream(spark, sf_dir, "conversations").select(
         "conv_id", "turn", with_attacks("conv_id").alias("text"),
         ((F.col("conv_id") * 7919 + F.col("turn") * 31) % 1000 / F.lit(1000.0)).alias("given_score"),
         (F.length("text") / F.lit(8.0)).alias("latency_ms"),
