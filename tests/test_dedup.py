@@ -339,3 +339,82 @@ def test_large_close_sets_share_a_key_also_when_hot():
             assert len(common)
             refined = [k._segment_keys(x, 85, 10**6, bounds, common) for x in (a, b)]
             assert len(np.intersect1d(*refined))
+
+
+def exchanged(node):
+    """Bytes that each shuffle of a plan that ran has written."""
+    name = node.nodeName()
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else []
+    found = [node.metrics().apply("dataSize").value()] if name == "Exchange" else []
+    children = node.children()
+    return found + [n for child in (*inner, *(children.apply(k) for k in range(children.size()))) for n in exchanged(child)]
+
+
+def test_tokens_travel_once_per_set_not_once_per_pair(spark):
+    """All pairs of a block of near copies are compared, but each set's tokens are shuffled once."""
+    texts = [words(*range(300), f"own{i}") for i in range(60)]
+    sets = d._distinct_sets(d._ordered_rows(frame(spark, texts), "text", ["id"]))
+    candidates = spark.createDataFrame([(a, b) for b in range(60) for a in range(b)], "a_ord long, b_ord long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = d._verify(candidates, sets, 85)
+        found.collect()
+        moved = sum(exchanged(found._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found.count() == 60 * 59 // 2
+    assert moved < 2 * sum(map(len, texts)) + 64 * 60 * 59 // 2, moved
+
+
+def test_keys_are_met_in_one_pass_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    keys = np.sort(np.concatenate((rng.integers(0, 40, 90), np.full(50, 17), np.full(5, 99))))
+    numbers = rng.permutation(len(keys))
+    for size in (1, 7, 1000):
+        batches = [pa.record_batch([pa.array(keys[k:k + size]), pa.array(numbers[k:k + size])], names=["key", "id"]) for k in range(0, len(keys), size)]
+        rows = [r for batch in d._meeting(4)(iter(batches)) for r in batch.to_pylist()]
+        held = {k: sorted(numbers[keys == k].tolist()) for k in np.unique(keys).tolist()}
+        pairs = {(a, b) for ids_ in held.values() if len(ids_) <= 4 for a in ids_ for b in ids_ if a < b}
+        hot = sorted((k, a) for k, ids_ in held.items() if len(ids_) > 4 for a in ids_)
+        assert {(r["a"], r["b"]) for r in rows if r["key"] is None} == pairs
+        assert sorted((r["key"], r["a"]) for r in rows if r["key"] is not None) == hot and hot and pairs
+
+
+def test_signatures_rule_out_unrelated_sets_and_no_close_ones(spark):
+    rng = random.Random(2)
+    pool = [f"t{i}" for i in range(5000)]
+    texts = []
+    for size in (14, 40, 200, 900):
+        base = rng.sample(pool, size)
+        texts += [" ".join(base), " ".join(base[: size - size // 14] + rng.sample(pool, size // 14)), " ".join(rng.sample(pool, size))]
+    sets = d._distinct_sets(d._ordered_rows(frame(spark, texts), "text", ["id"]))
+    pairs = spark.createDataFrame([(b, a) for b in range(len(texts)) for a in range(b)], "a long, b long")
+    found = {(r.a_ord, r.b_ord) for r in d._plausible(pairs, sets, 85).collect()}
+    close = {(a, b) for b in range(len(texts)) for a in range(b)
+             if 100 * len({*texts[a].split()} & {*texts[b].split()}) >= 85 * len({*texts[a].split()} | {*texts[b].split()})}
+    assert close and close <= found and len(found) <= len(close) + 1
+
+
+def test_large_sets_share_no_key_by_single_tokens():
+    """A token in a few large sets made them candidates of each other, and their number grew with its square. Weak sets still meet by prefixes."""
+    import numpy as np
+
+    from wardline.operators import setkeys as k
+
+    rng = np.random.default_rng(8)
+    hashes = rng.permutation(1 << 20)[:4000]
+    bounds = k.class_bounds(85, 2000)
+    rare = k.marks_of(hashes, rng.integers(2, 200, 4000))
+    a, b = rng.permutation(rare)[:1000], rng.permutation(rare)[:1000]
+    assert len(np.intersect1d(a, b)) > 200
+    assert not len(np.intersect1d(*(k._segment_keys(x, 85, 10**6, bounds) for x in (a, b))))
+    for frequencies in (rng.integers(2, 200, 1100), rng.integers(900_000, 10**6, 1100), np.where(rng.random(1100) < 0.3, 5, 999_000)):
+        marks = k.marks_of(hashes[:1100], frequencies)
+        for size in (1000, 1050):
+            close = [k._segment_keys(x, 85, 10**6, bounds) for x in (marks, rng.permutation(marks)[:size])]
+            shared = np.intersect1d(*close)
+            assert len(shared)
+            assert len(np.intersect1d(*(k._segment_keys(x, 85, 10**6, bounds, shared) for x in (marks, marks))))
