@@ -38,9 +38,9 @@ def prepare_corpus(training: DataFrame, options: PrepareOptions = PrepareOptions
 
     Each step that several later ones read is written once to the shared folder.
     """
-    rows, _ = reject_unlabelled(written(eval_only_guard(training), "corpus-rows"))
-    unique = rows if options.dedup == "off" else written(deduplicated(rows, options), "corpus-unique")
-    balanced = written(balance_classes(unique, options.benign_share, options.seed), "corpus-balanced")
+    rows, _ = reject_unlabelled(written(eval_only_guard(training), "corpus-rows", "zstd"))
+    unique = rows if options.dedup == "off" else written(deduplicated(rows, options), "corpus-unique", "zstd")
+    balanced = written(balance_classes(unique, options.benign_share, options.seed), "corpus-balanced", "zstd")
     return shuffle_rows(stratified_split(balanced, options.train_share, options.seed), options.seed)
 
 
