@@ -418,3 +418,29 @@ def test_large_sets_share_no_key_by_single_tokens():
             shared = np.intersect1d(*close)
             assert len(shared)
             assert len(np.intersect1d(*(k._segment_keys(x, 85, 10**6, bounds, shared) for x in (marks, marks))))
+
+
+def test_low_limits_take_few_rounds(spark, monkeypatch):
+    """Unrelated texts that share one key that can't be refined: 45 rounds if each settled no more than `hot_limit` of them."""
+    rounds = []
+    earliest = d._earliest
+    monkeypatch.setattr(d, "_earliest", lambda *args: rounds.append(args[1]) or earliest(*args))
+    texts = [f"alpha{i} beta{i} common gamma{i}" for i in range(90)] + ["common alpha7 gamma7", "delta common gamma8 beta8"]
+    kept = ids(d.near_dedup(frame(spark, texts), order_cols=["id"], percent=20, hot_limit=2))
+    assert kept == greedy(list(enumerate(texts)), 20)[0] == list(range(90))
+    assert rounds[0] == 2 and 1 < len(rounds) <= 5
+
+
+def test_shared_frequencies_need_no_package(spark, monkeypatch):
+    """Broadcast values are pickled by reference, so none may be of a class of this package."""
+    import pickle
+    import pickletools
+
+    seen = []
+    context = spark.sparkContext
+    share = type(context).broadcast
+    monkeypatch.setattr(type(context), "broadcast", lambda self, value: seen.append(value) or share(self, value))
+    df = spark.createDataFrame([("1", "a b c d e f"), ("2", "a b c d e f g")], "row_key string, text string")
+    assert d.near_dedup(df).count() == 1
+    names = [str(arg) for value in seen for _, arg, _ in pickletools.genops(pickle.dumps(value)) if isinstance(arg, str)]
+    assert seen and not any("wardline" in name for name in names)
