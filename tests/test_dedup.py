@@ -444,3 +444,25 @@ def test_shared_frequencies_need_no_package(spark, monkeypatch):
     assert d.near_dedup(df).count() == 1
     names = [str(arg) for value in seen for _, arg, _ in pickletools.genops(pickle.dumps(value)) if isinstance(arg, str)]
     assert seen and not any("wardline" in name for name in names)
+
+
+def test_long_signatures_rule_out_pairs_of_large_sets(spark, monkeypatch):
+    """Tokens of large unlike sets are not fetched: 64 bytes don't tell these apart. No close pair is lost, whatever the lengths of the signatures."""
+    monkeypatch.setattr(d, "BUCKET_PAIRS", 8)
+    rng, texts = random.Random(3), []
+    for size in (1100, 1950, 2100, 4000):
+        tokens = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for part in (1.0, 0.95, 0.9, 0.84):
+            texts.append(" ".join([*tokens[: int(size * part)], f"u{rng.random()}"]))
+        texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(size)) for _ in range(3)]
+    tables = {}
+    write = d.written
+    monkeypatch.setattr(d, "written", lambda df, name, *more: tables.setdefault(name, write(df, name, *more)))
+    sets = d._distinct_sets(d._ordered_rows(frame(spark, texts), "text", ["id"]))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    got = {(r.a_ord, r.b_ord) for r in d._verify(spark.createDataFrame(pairs, "a_ord long, b_ord long"), sets, 85).collect()}
+    words = [set(text.split()) for text in texts]
+    expected = {(a, b) for a, b in pairs if 100 * len(words[a] & words[b]) >= 85 * len(words[a] | words[b])}
+    like = {(r.a_ord, r.b_ord) for r in tables["dedup-like"].collect()}
+    assert got == expected and len(expected) >= 16
+    assert expected <= like and len(like) < len(pairs) / 4
