@@ -83,3 +83,18 @@ def test_score_table(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
     scores = spark.createDataFrame([(1, 0.25)], "id int, score double")
     assert {r.id: r.injection_score for r in sc.table_scorer(scores, "id")(df).collect()} == {1: 0.25, 2: None}
+
+
+def test_texts_are_read_once_whatever_the_grid(spark, labelled):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        reads.add(1)
+        return text
+
+    rows = labelled.withColumn("text", F.udf(seen)("text"))
+    model, f1 = sc.train_text_classifier(rows, labelled, regs=(0.01, 0.1, 0.5), features=(1 << 10,))
+    assert f1 == 1.0 and reads.value == labelled.count()
+    whole = sc.text_classifier(1 << 10, 0.01).fit(labelled)
+    expected, got = ([r.injection_score for r in sc.model_scorer(m)(labelled).orderBy("text").collect()] for m in (whole, model))
+    assert all(abs(a - b) < 1e-4 for a, b in zip(expected, got))
