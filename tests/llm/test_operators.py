@@ -181,6 +181,62 @@ def test_phrases_against_brute_force(docs):
     assert sorted(got, key=repr) == sorted(want, key=repr) and any(w[2] for w in want)
 
 
+def _phrases_by_force(rows):
+    first, want = {}, []
+    for i, text in rows:
+        words = WORD.findall(text)
+        for k in range(len(words) - 12):
+            window = tuple(words[k : k + 13])
+            first[window] = min(first.get(window, i), i)
+    for i, text in rows:
+        words = WORD.findall(text)
+        gone = [False] * len(words)
+        for k in range(len(words) - 12):
+            if first[tuple(words[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        want.append((i, len(words), sum(gone), " ".join(w for w, g in zip(words, gone) if not g).encode()))
+    return sorted(want)
+
+
+def _passages_in_many_places(n):
+    """Texts with one passage in different surroundings, copies of whole texts, parts of others, and repeats inside a text."""
+    import random
+
+    draw = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    common = [draw.choice(vocabulary) for _ in range(40)]
+    texts = []
+    for k in range(n):
+        words = [draw.choice(vocabulary) for _ in range(draw.randrange(5, 90))]
+        if k % 3 == 0:
+            at, a = draw.randrange(len(words)), draw.randrange(15)
+            words[at:at] = common[a : a + draw.randrange(13, 26)]
+        if k % 7 == 0 and texts:
+            words += draw.choice(texts).split()[:50]
+        if k % 11 == 0:
+            words += words
+        texts.append(draw.choice(texts) if k % 5 == 4 else " ".join(words))
+    ids = list(range(n))
+    draw.shuffle(ids)
+    return [*zip(ids, texts), (ids[0], texts[1])]
+
+
+@pytest.mark.parametrize("held, run", [(1 << 20, 64), (40, 2)])
+def test_phrases_whatever_is_sent_at_once(spark, monkeypatch, held, run):
+    monkeypatch.setattr(phrases, "HELD", held)
+    monkeypatch.setattr(phrases, "RUN", run)
+    rows = _passages_in_many_places(300)
+    got = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in phrases.remove_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == _phrases_by_force(rows)
+
+
+def test_phrases_are_sent_packed(spark):
+    """Work tables and passages do not have a row for each piece or window of each document."""
+    rows = spark.createDataFrame(_passages_in_many_places(600), "doc_id long, text string")
+    passages = phrases.confirmed_passages(rows.withColumn("block", F.expr("pmod(xxhash64(doc_id, text), 6)").cast("int")), 6)
+    assert 0 < passages.count() <= 6 * 12
+
+
 def test_base_rules_against_brute_force(docs, labels):
     want = []
     for i, t, _ in awkward():
