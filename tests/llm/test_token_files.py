@@ -47,6 +47,19 @@ def test_pieces_give_the_ids_of_whole_texts(library):
     assert few.documents(texts[:50]) == encoder.documents(texts[:50]) and len(few.known) < 1000
 
 
+def test_distinct_parts_are_encoded_side_by_side(library, monkeypatch):
+    texts = [" ".join(f"w{k}ord### ({k}) é{k}a, %{k}!" for k in range(j, j + 300)) + "\nNext\nÜbel\nline" for j in range(5)]
+    encoder, alone = tf.TextEncoder(tf.tokenizer_file()), []
+    one = encoder._library_ids
+    monkeypatch.setattr(encoder, "_library_ids", lambda part: alone.append(part) or one(part))
+    got = encoder.documents(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(library, t) for t in texts]
+    assert len(alone) < 20
+    encoder = tf.TextEncoder(tf.tokenizer_file())
+    encoder.bytes[:] = 2  # if tokens don't end where the parts do, each part goes alone
+    assert encoder.documents(texts) == got
+
+
 def test_the_library_s_white_space_is_python_s():
     from tokenizers import Regex, pre_tokenizers
 

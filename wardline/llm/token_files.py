@@ -8,7 +8,8 @@ of all its bytes, and its lanes must end in the state they began with. The index
 are read back by as many tasks as their bytes call for. A document's place in the whole follows from the tokens of files and blocks before its own.
 
 A text is cut before each space that stands between two characters that are no white space, and between letters and common marks: the pre-tokenizer cuts
-there too, whatever stands around, so the parts' ids joined are the text's ids. Each distinct part of a task is encoded once by the library.
+there too, whatever stands around, so the parts' ids joined are the text's ids. Each distinct part of a task is encoded once by the library, many of them
+side by side as one text: the bytes of its tokens tell where a part ends.
 
 Null text is empty: its document holds the end id alone. Rows without an id come last; rows of equal id follow a hash of their ids, and rows equal in all keep the order
 of the work table. A block holds at least one document, so a very long text is a block of its own. An empty table gives a file without blocks and no rows.
@@ -18,6 +19,7 @@ every executor; a task that fails or runs twice leaves a file that no index entr
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -41,13 +43,16 @@ READ_BYTES = 4 << 20
 LOW = np.uint64(1 << 31)
 _MAGIC, _TABLE_MAGIC = b"wtb1", b"wtf1"
 _HEADER = "<4s7I"
-# Parts of texts that a task remembers, the longest of them in characters, words that the library gets at once, and characters of texts cut together.
-KNOWN_PARTS, KNOWN_LENGTH, SIDE_BY_SIDE, GROUP_CHARS = 600_000, 64, 256, 4 << 20
+# Parts of texts that a task remembers, the longest of them in characters, parts that stand side by side, and bytes of texts cut together.
+KNOWN_PARTS, KNOWN_LENGTH, SIDE_BY_SIDE, GROUP_BYTES = 600_000, 64, 256, 8 << 20
 # Stands where a text is cut. A text in which it, or a space beside white space, occurs is not cut at all.
 _MARK = "\0"
 _WHOLE = f"\0| [{WHITESPACE}]|[{WHITESPACE}] "
 # Besides before spaces, the pre-tokenizer always cuts between these letters and marks, and behind a single line feed.
-_INNER = (("([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?\n])", "\\1\0\\2"), (f"([^{WHITESPACE}])\n([A-Za-z])", "\\1\n\0\\2"))
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_INNER = ((f"({_LETTER})([.,;:!?\n])", "\\1\0\\2"), (f"([^{WHITESPACE}])\n({_LETTER})", "\\1\n\0\\2"))
+# Parts that can stand side by side as they are, and those that can with a line feed behind each.
+_BESIDE, _LINE = f"(?s)^ [^{WHITESPACE}](.*[^{WHITESPACE}])?\\z", f"^{_LETTER}+\\z"
 ENCODED = "doc_id long, n_tokens long, ids binary"
 INDEX = ("file string, offset long, length long, n_tokens long, n_docs long, "
          "first_null boolean, first_id long, first_hash long, first_place long")
@@ -58,32 +63,86 @@ class TextEncoder:
     """Ids of texts as the bytes of little-endian 32-bit integers, each distinct part encoded once."""
 
     def __init__(self, tokenizer: str, end_id: int = END_ID):
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores
         self.library = Tokenizer.from_str(tokenizer)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = struct.pack("<I", end_id)
+        # A character of the vocabulary stands for a byte.
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        # Parts encoded alone, and those encoded side by side with their ids.
         self.known: dict[str, bytes] = {"": b""}
+        self.words, self.word_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def _library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode parts that are not known yet: plain words side by side, told apart by the number of their word."""
-        words = [p for p in parts if p[0] == " " and p[1:].isalpha() and len(p) <= KNOWN_LENGTH]
-        for k in range(0, len(words), SIDE_BY_SIDE):
-            some = words[k : k + SIDE_BY_SIDE]
-            encoded = self.library.encode("".join(some), add_special_tokens=False)
-            number = np.array(encoded.word_ids)
-            if number[-1] + 1 == len(some):  # else the library sees a mark where Python sees a letter
-                ids = np.array(encoded.ids, "<u4").tobytes()
-                edges = [0, *(4 * np.flatnonzero(np.diff(number)) + 4).tolist(), len(ids)]
-                self.known.update(zip(some, (ids[a:b] for a, b in zip(edges, edges[1:]))))
-        for part in parts:
-            if part not in self.known:
-                self.known[part] = self._library_ids(part)
-
-    def documents(self, texts: list[str]) -> list[bytes]:
+    def _alone(self, parts) -> list[bytes]:
+        out = []
+        for part in parts.to_pylist():
+            if (ids := self.known.get(part)) is None:
+                ids = self._library_ids(part)
+                if len(part) <= KNOWN_LENGTH:
+                    self.known[part] = ids
+            out.append(ids)
+        return out
+
+    def _side_by_side(self, parts, behind: str = ""):
+        """The ids of parts between which the pre-tokenizer cuts, with the one-byte mark `behind` after each if given."""
+        import pyarrow as pa
+        from pyarrow import compute as pc
+
+        none = pa.scalar("", pa.large_string())
+        joined = pc.binary_join_element_wise(parts, pa.scalar(behind, pa.large_string()), none) if behind else parts
+        ends = np.cumsum(pc.binary_length(joined).to_numpy())
+        line = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(joined)], pa.int64()), joined), none)[0].as_buffer()
+        begin, runs = 0, []
+        for k in range(0, len(ends), SIDE_BY_SIDE):
+            stop = ends[min(k + SIDE_BY_SIDE, len(ends)) - 1]
+            runs.append(line[begin:stop].to_pybytes().decode())
+            begin = stop
+        found, begin = [], 0
+        for k, encoded in enumerate(self.library.encode_batch_fast(runs, add_special_tokens=False)):
+            here = ends[k * SIDE_BY_SIDE : (k + 1) * SIDE_BY_SIDE] - begin
+            ids = np.array(encoded.ids, "<u4")
+            at = np.cumsum(self.bytes[ids])
+            last = np.searchsorted(at, here)
+            if at[-1] == here[-1] and np.array_equal(at[last], here) and (not behind or (self.bytes[ids[last]] == 1).all()):
+                if behind:
+                    ids, last = np.delete(ids, last), last - np.arange(1, len(last) + 1)
+                edges = np.concatenate(([0], 4 * (last + 1)))
+                found.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(here), [None, pa.py_buffer(edges), pa.py_buffer(ids)]))
+            else:  # the library doesn't cut where it was thought to
+                found.append(pa.array(self._alone(parts[k * SIDE_BY_SIDE : (k + 1) * SIDE_BY_SIDE]), pa.large_binary()))
+            begin += here[-1]
+        return pa.concat_arrays(found) if found else pa.array([], pa.large_binary())
+
+    def _part_ids(self, parts):
+        """(ids, places): the ids of some parts in an order of their own, and where each part's are."""
+        import pyarrow as pa
+        from pyarrow import compute as pc
+
+        places = pc.fill_null(pc.index_in(parts, value_set=self.words), -1).to_numpy().astype(np.int64)
+        unknown = np.flatnonzero(places < 0)
+        new = parts.take(pa.array(unknown))
+        beside = pc.match_substring_regex(new, _BESIDE).to_numpy(zero_copy_only=False)
+        line = pc.match_substring_regex(new, _LINE).to_numpy(zero_copy_only=False)
+        alone = ~(beside | line)
+        kinds = [new.filter(pa.array(kind)) for kind in (beside, line, alone)]
+        ids = [self._side_by_side(kinds[0]), self._side_by_side(kinds[1], "\n"), pa.array(self._alone(kinds[2]), pa.large_binary())]
+        places[unknown[np.concatenate([np.flatnonzero(kind) for kind in (beside, line, alone)])]] = len(self.words) + np.arange(len(new))
+        every = pa.concat_arrays([self.word_ids, *ids])
+        words, word_ids = (pa.concat_arrays(x) for x in (kinds[:2], ids[:2]))
+        short = pc.less_equal(pc.utf8_length(words), KNOWN_LENGTH)
+        self.words = pa.concat_arrays([self.words, words.filter(short)])
+        self.word_ids = pa.concat_arrays([self.word_ids, word_ids.filter(short)])
+        return every, places
+
+    def documents(self, texts) -> list[bytes]:
         """The ids of each text and the end id.
 
         Texts are cut, and their distinct parts found, on Arrow arrays; only these reach the library.
@@ -93,7 +152,9 @@ class TextEncoder:
 
         if len(self.known) > KNOWN_PARTS:
             self.known = {"": b""}
-        column = pa.array(texts, pa.large_string())
+        if len(self.words) > KNOWN_PARTS:
+            self.words, self.word_ids = self.words[:0], self.word_ids[:0]
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         # Beside white space the pre-tokenizer's cuts depend on what follows; the mark of the cuts may stand in a text, too.
         whole = pc.match_substring_regex(column, _WHOLE)
         cut = pc.replace_substring(pc.if_else(whole, "", column), " ", _MARK + " ")
@@ -101,28 +162,29 @@ class TextEncoder:
             cut = pc.replace_substring_regex(cut, pattern, parts)
         lists = pc.split_pattern(cut, _MARK)
         coded = pc.list_flatten(lists).dictionary_encode()
-        parts = coded.dictionary.to_pylist()
-        self._learn([part for part in parts if part not in self.known])
-        found = pa.array([self.known[part] for part in parts], pa.large_binary()).take(coded.indices)
+        ids, places = self._part_ids(coded.dictionary)
+        found = ids.take(pa.array(places[coded.indices.to_numpy()]))
         joined = pc.binary_join(pa.LargeListArray.from_arrays(lists.offsets.cast(pa.int64()), found), pa.scalar(b"", pa.large_binary()))
-        for part in parts:
-            if len(part) > KNOWN_LENGTH:
-                del self.known[part]
-        return [(self._library_ids(text) if alone else ids) + self.end
-                for text, alone, ids in zip(texts, whole.to_pylist(), joined.to_pylist())]
-
-
-def groups_of(column) -> Iterator[list[str]]:
-    """The strings of an Arrow column in runs of about `GROUP_CHARS` characters."""
-    texts, size = [], 0
-    for value in column:
-        texts.append(value.as_py())
-        size += len(texts[-1])
-        if size >= GROUP_CHARS:
-            yield texts
-            texts, size = [], 0
-    if texts:
-        yield texts
+        return [(self._library_ids(text.as_py()) if alone else ids) + self.end
+                for text, alone, ids in zip(column, whole.to_pylist(), joined.to_pylist())]
+
+
+def groups_of(batches) -> Iterator:
+    """The rows of Arrow batches with an id and a text, together as batches of about `GROUP_BYTES` of text."""
+    import pyarrow as pa
+    from pyarrow import compute as pc
+
+    held, size = [], 0
+    for batch in batches:
+        start = 0
+        for k, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+            size += n
+            if size >= GROUP_BYTES:
+                yield pa.concat_batches([*held, batch.slice(start, k + 1 - start)])
+                held, size, start = [], 0, k + 1
+        held.append(batch.slice(start))
+    if sum(batch.num_rows for batch in held):
+        yield pa.concat_batches(held)
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -133,12 +195,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         import pyarrow as pa
 
         encoder, press = TextEncoder(shared.value, end_id), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in groups_of(batches):
             sizes, packed = [], []
-            for texts in groups_of(batch.column(1)):
-                for ids in encoder.documents(texts):
-                    sizes.append(len(ids) // 4)
-                    packed.append(press.compress(ids))
+            for ids in encoder.documents(batch.column(1)):
+                sizes.append(len(ids) // 4)
+                packed.append(press.compress(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
                                              ["doc_id", "n_tokens", "ids"])
 
