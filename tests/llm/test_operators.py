@@ -230,6 +230,24 @@ def test_phrases_whatever_is_sent_at_once(spark, monkeypatch, held, run):
     assert sorted(got) == _phrases_by_force(rows)
 
 
+@pytest.mark.parametrize("least", [1, 10])
+def test_phrases_of_frequent_seeds_are_dealt_by_windows(spark, monkeypatch, least):
+    monkeypatch.setattr(phrases, "HOT_LEAST", least)
+    monkeypatch.setattr(phrases, "HOT_SHARE", 1 << 40)
+    monkeypatch.setattr(phrases, "HELD", 200)
+    rows = _passages_in_many_places(300)
+    got = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in phrases.remove_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == _phrases_by_force(rows)
+    import numpy as np
+
+    # One seed with a form in each document: its windows do not all go to one shard.
+    n = np.full(200, 5)
+    windows = np.random.default_rng(1).integers(0, 1 << 62, 1000)
+    seed, doc = np.full(200, 77 << 40), np.arange(200)
+    assert len(list(phrases._messages(seed, n, doc, doc % 6, windows, 12, phrases._short(seed[:1])))) == 12
+    assert len(list(phrases._messages(seed, n, doc, doc % 6, windows, 12, np.zeros(0, np.int64)))) == 1
+
+
 def test_phrases_are_sent_packed(spark):
     """Work tables and passages do not have a row for each piece or window of each document."""
     rows = spark.createDataFrame(_passages_in_many_places(600), "doc_id long, text string")

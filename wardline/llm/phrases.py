@@ -10,7 +10,7 @@ documents: each is bounded by its block, and together they see every document on
 
 Counting of seeds is by `SEED_BITS` of their hash and a Bloom filter of recurring ones of at most `BLOOM_BITS`, which only save work: what passes is counted exactly. Windows
 are told apart by two 64-bit hashes (seed and content). What tasks send to shards and back is packed: sorted gaps, and each form once per `HELD` windows
-with the documents and blocks that have it, so frequent phrases do not gather. Runs of a document's windows with one smallest id are one passage of at most `RUN` windows.
+with the documents and blocks that have it. Windows of seeds in very many documents are dealt by their own hashes. Runs of a document's windows with one smallest id are one passage of at most `RUN` windows.
 
 Null and empty texts have no words. Rows of one id are one document: they never remove from each other. A null id is not
 compared: such a row neither loses words nor makes others lose them. An empty table gives no rows.
@@ -35,6 +35,8 @@ SEED_BITS = 40
 BLOOM_BITS = 1 << 28
 # Windows or pieces that a task holds before it sends them, blocks whose text a shard stands for, windows of a passage.
 HELD, SHARD_BLOCKS, RUN = 1 << 20, 8, 64
+# A seed is hot if it stands in more documents than `HOT_LEAST`, and than one `HOT_SHARE`-th of what a shard has on average.
+HOT_LEAST, HOT_SHARE = 1000, 100
 _PROBES = 4
 
 
@@ -102,7 +104,7 @@ def _shards_of(short: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _recurring_seeds(rows: DataFrame, shards: int) -> DataFrame:
-    """The upper bits of seeds that stand in two documents or more; few others are among them."""
+    """(seed, docs): the upper bits of seeds that stand in two documents or more, and in about how many; few others are among them."""
 
     def find(batches):
         import pyarrow as pa
@@ -112,17 +114,18 @@ def _recurring_seeds(rows: DataFrame, shards: int) -> DataFrame:
             seed, doc = seed[order], doc[order]
             new = np.concatenate(([True], seed[1:] != seed[:-1]))
             first = np.flatnonzero(new)
-            several = np.logical_or.reduceat(np.concatenate(([False], doc[1:] != doc[:-1])) & ~new, first)
+            several = np.add.reduceat(np.concatenate(([False], doc[1:] != doc[:-1])) & ~new, first, dtype=np.int64)
             seed = seed[first]
             edges = np.searchsorted(_shards_of(seed, shards), np.arange(shards + 1))
             for k in np.flatnonzero(np.diff(edges)).tolist():
-                part, often = (x[edges[k] : edges[k + 1]] for x in (seed, several))
-                yield k, *(_planes(np.diff(part[some], prepend=0)) for some in (~often, often))
+                part, more = (x[edges[k] : edges[k + 1]] for x in (seed, several))
+                often = more > 0
+                yield k, *(_planes(np.diff(part[some], prepend=0)) for some in (~often, often)), _planes(more[often])
 
         def send(held):
             found = list(zip(*lists(*map(np.concatenate, zip(*held)))))
             return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), *(pa.array(x, pa.binary()) for x in found[1:])],
-                                              ["shard", "once", "often"])
+                                              ["shard", "once", "often", "more"])
 
         held, size = [], 0
         for batch in batches:
@@ -142,11 +145,17 @@ def _recurring_seeds(rows: DataFrame, shards: int) -> DataFrame:
     def merge(group):
         import pandas as pd
 
-        seed, times = np.unique(_joined(group["once"], gaps=True), return_counts=True)
-        return pd.DataFrame({"seed": np.union1d(seed[times > 1], _joined(group["often"], gaps=True))})
+        once, often = (_joined(group[c], gaps=True) for c in ("once", "often"))
+        seed, place = np.unique(np.concatenate((once, often)), return_inverse=True)
+        docs = np.ones(len(place), np.int64)
+        docs[len(once) :] += _joined(group["more"])
+        total = np.zeros(len(seed), np.int64)
+        np.add.at(total, place, docs)
+        return pd.DataFrame({"seed": seed[total > 1], "docs": total[total > 1]})
 
-    lists = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(frugal(find), "shard int, once binary, often binary")
-    return lists.groupBy("shard").applyInPandas(frugal_group(merge), "seed long")
+    lists = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(
+        frugal(find), "shard int, once binary, often binary, more binary")
+    return lists.groupBy("shard").applyInPandas(frugal_group(merge), "seed long, docs long")
 
 
 def _probes(seeds: np.ndarray, size: int) -> list[np.ndarray]:
@@ -168,7 +177,7 @@ def _bloom(seeds: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
             mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(cell) else at
             yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array(mask.view(np.int64))], ["cell", "mask"])
 
-    cells = seeds.mapInArrow(mark, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    cells = seeds.select("seed").mapInArrow(mark, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
     table = np.zeros(size // 64, np.int64)
     table[cells["cell"].to_numpy()] = cells["mask"].to_numpy()
     return table.view(np.uint64)
@@ -187,23 +196,32 @@ def _keys(seed: np.ndarray, content: np.ndarray) -> np.ndarray:
 
 
 def _piece_keys(seed: np.ndarray, windows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Keys of whole pieces: the first and the last of their windows hold all of their words."""
+    """Keys of whole pieces: the first and the last of their windows hold all of their words. A single window has its own key."""
     if not len(seed):
         return np.zeros(0, np.int64)
     ends = np.cumsum(windows)
     with np.errstate(over="ignore"):
         both = hashes[ends - windows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(hashes[ends - 1].view(np.uint64))
-        return _keys(seed, mix(both + windows.astype(np.uint64)))
+        return _keys(seed, np.where(windows == 1, hashes[ends - 1].view(np.uint64), mix(both + windows.astype(np.uint64))))
 
 
 MESSAGE = "shard int, seeds binary, windows binary, lengths binary, times binary, docs binary, blocks binary"
 PASSAGES = "block int, keys binary, lows binary"
 
 
-def _messages(seed: np.ndarray, n: np.ndarray, doc: np.ndarray, block: np.ndarray, windows: np.ndarray, shards: int):
-    """Rows of `MESSAGE`: the forms of some pieces, each with its windows and with the documents and blocks that have it."""
-    _, sample, form = np.unique(_piece_keys(seed, n, windows), return_index=True, return_inverse=True)
-    order = np.lexsort((sample, _shards_of(_short(seed[sample]), shards)))
+def _messages(seed: np.ndarray, n: np.ndarray, doc: np.ndarray, block: np.ndarray, windows: np.ndarray, shards: int, hot: np.ndarray):
+    """Rows of `MESSAGE`: the forms of some pieces, each with its windows and with the documents and blocks that have it.
+
+    Pieces of `hot` seeds are taken apart, and their windows dealt each for itself.
+    """
+    apart = np.isin(_short(seed), hot)
+    times = np.where(apart, n, 1)
+    seed, n, doc, block, apart = (np.repeat(x, times) for x in (seed, n, doc, block, apart))
+    n = np.where(apart, 1, n)
+    keys = _piece_keys(seed, n, windows)
+    dealt = _shards_of(_short(np.where(apart, keys, seed)), shards)
+    _, sample, form = np.unique(keys, return_index=True, return_inverse=True)
+    order = np.lexsort((sample, dealt[sample]))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     sample, form = sample[order], place[form]
@@ -214,7 +232,7 @@ def _messages(seed: np.ndarray, n: np.ndarray, doc: np.ndarray, block: np.ndarra
     times = np.bincount(form)
     edges, begins = np.concatenate(([0], np.cumsum(times))), np.cumsum(n) - n
     seed, n, begins = seed[sample], n[sample], begins[sample]
-    parts = np.searchsorted(_shards_of(_short(seed), shards), np.arange(shards + 1))
+    parts = np.searchsorted(dealt[sample], np.arange(shards + 1))
     for k in np.flatnonzero(np.diff(parts)).tolist():
         some = slice(parts[k], parts[k + 1])
         those = slice(edges[parts[k]], edges[parts[k + 1]])
@@ -275,12 +293,15 @@ def confirmed_passages(rows: DataFrame, blocks: int) -> DataFrame:
     shards = max(12, blocks // SHARD_BLOCKS)
     seeds = written(_recurring_seeds(rows, shards), "phrase-seeds")
     table = rows.sparkSession.sparkContext.broadcast(_bloom(seeds))
+    # At most `HOT_SHARE` of them for each shard.
+    limit = max(HOT_LEAST, (seeds.agg(F.sum("docs")).first()[0] or 0) // (HOT_SHARE * shards))
+    hot = seeds.where(F.col("docs") > limit).select("seed").toArrow()["seed"].to_numpy()
 
     def find(batches):
         import pyarrow as pa
 
         def send(held):
-            found = zip(*_messages(*map(np.concatenate, zip(*held)), shards))
+            found = zip(*_messages(*map(np.concatenate, zip(*held)), shards, hot))
             names = [part.split()[0] for part in MESSAGE.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k else pa.int32()) for k, x in enumerate(found)], names)
 
