@@ -248,6 +248,18 @@ def test_phrases_of_frequent_seeds_are_dealt_by_windows(spark, monkeypatch, leas
     assert len(list(phrases._messages(seed, n, doc, doc % 6, windows, 12, np.zeros(0, np.int64)))) == 1
 
 
+def test_phrases_fill_shards_evenly():
+    """Seeds are smallest hashes: dealt as they are, one shard in 40 would get a fifth of all pieces."""
+    import random
+
+    import numpy as np
+
+    draw = random.Random(5)
+    pieces = phrases.Pieces([" ".join(f"w{draw.randrange(3000)}" for _ in range(200)).encode() for _ in range(400)])
+    share = np.bincount(phrases._shards_of(phrases._short(pieces.seed), 40), minlength=40)
+    assert len(pieces.seed) > 10_000 and share.max() < 1.5 * share.mean()
+
+
 def test_phrases_are_sent_packed(spark):
     """Work tables and passages do not have a row for each piece or window of each document."""
     rows = spark.createDataFrame(_passages_in_many_places(600), "doc_id long, text string")

@@ -86,7 +86,8 @@ class Pieces:
         self.windows = np.diff(np.append(first, len(at)))
         self.text = words.text[self.start]
         self.table = PrefixHash(h)
-        self.seed = values[chosen[self.start]].view(np.int64)
+        # Smallest hashes lie near zero; mixed again, they fill all ranges (shards) alike.
+        self.seed = mix(values[chosen[self.start]]).view(np.int64)
 
     def window_hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, content hash) of all windows of the chosen pieces, in order."""
