@@ -260,6 +260,18 @@ def test_phrases_fill_shards_evenly():
     assert len(pieces.seed) > 10_000 and share.max() < 1.5 * share.mean()
 
 
+def test_phrases_shards_grow_with_what_recurs(spark, monkeypatch):
+    """Six copies of each text: shards are as many as their pieces need, not as the bytes of the texts say."""
+    monkeypatch.setattr(phrases, "SHARD_PIECES", 50, raising=False)
+    texts = _passages_in_many_places(40)
+    rows = [(1000 * k + i, text) for k in range(6) for i, text in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    passages = phrases.confirmed_passages(docs.withColumn("block", F.expr("pmod(xxhash64(doc_id, text), 6)").cast("int")), 6)
+    assert passages.count() > 6 * 12
+    got = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in phrases.remove_phrases(docs).collect()]
+    assert sorted(got) == _phrases_by_force(rows)
+
+
 def test_phrases_are_sent_packed(spark):
     """Work tables and passages do not have a row for each piece or window of each document."""
     rows = spark.createDataFrame(_passages_in_many_places(600), "doc_id long, text string")

@@ -33,8 +33,10 @@ WINDOW = 13
 SEED = 5
 SEED_BITS = 40
 BLOOM_BITS = 1 << 28
-# Windows or pieces that a task holds before it sends them, blocks whose text a shard stands for, windows of a passage.
+# Windows or pieces that a task holds before it sends them, blocks whose seeds a shard counts, windows of a passage.
 HELD, SHARD_BLOCKS, RUN = 1 << 20, 8, 64
+# Pieces of recurring seeds (of nine windows at most) that meet in a shard, whatever share of the texts they are.
+SHARD_PIECES = 1 << 19
 # A seed is hot if it stands in more documents than `HOT_LEAST`, and than one `HOT_SHARE`-th of what a shard has on average.
 HOT_LEAST, HOT_SHARE = 1000, 100
 _PROBES = 4
@@ -291,11 +293,12 @@ def confirmed_passages(rows: DataFrame, blocks: int) -> DataFrame:
 
     `rows` are (doc_id, text, block).
     """
-    shards = max(12, blocks // SHARD_BLOCKS)
-    seeds = written(_recurring_seeds(rows, shards), "phrase-seeds")
+    seeds = written(_recurring_seeds(rows, max(12, blocks // SHARD_BLOCKS)), "phrase-seeds")
     table = rows.sparkSession.sparkContext.broadcast(_bloom(seeds))
+    total = seeds.agg(F.sum("docs")).first()[0] or 0
+    shards = max(12, -(-total // SHARD_PIECES))
     # At most `HOT_SHARE` of them for each shard.
-    limit = max(HOT_LEAST, (seeds.agg(F.sum("docs")).first()[0] or 0) // (HOT_SHARE * shards))
+    limit = max(HOT_LEAST, total // (HOT_SHARE * shards))
     hot = seeds.where(F.col("docs") > limit).select("seed").toArrow()["seed"].to_numpy()
 
     def find(batches):
