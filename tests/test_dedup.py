@@ -466,3 +466,83 @@ def test_long_signatures_rule_out_pairs_of_large_sets(spark, monkeypatch):
     like = {(r.a_ord, r.b_ord) for r in tables["dedup-like"].collect()}
     assert got == expected and len(expected) >= 16
     assert expected <= like and len(like) < len(pairs) / 4
+
+
+def near_sets(count):
+    """Sets of three tokens in common and some of their own, and after every fifth two near copies of it."""
+    texts = []
+    for i in range(count):
+        texts.append(words("all", "of", "them", *(f"v{i}y{k}" for k in range(20 + i % 3))))
+        if i % 5 == 0:
+            texts += [f"{texts[-1]} more", f"{texts[-1]} other"]
+    return texts
+
+
+def test_hot_keys_lose_sets_that_no_other_is_like():
+    """A pass over postings with signatures: pairs that may be close, of hot keys only the sets that have such a partner, however the rows are batched."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    bases = [rng.integers(-2**62, 2**62, size) for size in rng.choice([30, 200, 1500], 60)]
+    sets = bases + [np.append(bases[i][: int(len(bases[i]) * 0.97)], rng.integers(0, 99)) for i in (0, 0, 0, 7, 9, 9, 20, 30, 31, 32, 33)]
+
+    def signature(h):
+        odd = lambda bits: np.packbits((np.bincount(h >> 7 & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+        return [*odd(d.SIGNATURE_BITS), *(odd(d.WIDE_BITS) if len(h) > d.LONG_SIGNATURE else [])]
+
+    holders = {1: range(len(sets)), 2: range(0, len(sets), 2), 3: [0, 60, 61, 62], 4: [1, 2], 5: [7, 63], 9: [5]}
+    rows = [(key, i) for key, members in holders.items() for i in members]
+    close = lambda i, j: 100 * len({*sets[i]} & {*sets[j]}) >= 85 * len({*sets[i]} | {*sets[j]})
+    for size in (1, 13, 1000):
+        for limit in (2, 256):
+            batches = [
+                pa.record_batch([
+                    pa.array([key for key, _ in part], pa.int64()), pa.array([i for _, i in part], pa.int64()),
+                    pa.array([len(sets[i]) for _, i in part], pa.int32()), pa.array([signature(sets[i]) for _, i in part], pa.list_(pa.int64())),
+                ], names=["key", "id", "n", "signature"])
+                for part in (rows[k:k + size] for k in range(0, len(rows), size))
+            ]
+            found = [r for batch in d._meeting(limit, 85)(iter(batches)) for r in batch.to_pylist()]
+            pairs, hot = {(r["a"], r["b"]) for r in found if r["key"] is None}, {(r["key"], r["a"]) for r in found if r["key"] is not None}
+            met = {(i, j) for members in holders.values() for i in members for j in members if i < j and close(i, j)}
+            assert met == pairs | {(i, j) for key, i in hot for other, j in hot if other == key and i < j and close(i, j)} and len(met) > 11
+            assert all(any(close(i, j) for other, j in hot if other == key and i != j) for key, i in hot)
+            assert {key for key, _ in hot} == ({1, 2, 3} if limit == 2 else set())
+
+
+def test_keys_that_one_set_has_go_no_further():
+    import numpy as np
+    import pyarrow as pa
+
+    keys = np.sort(np.concatenate((np.arange(50), np.arange(0, 50, 7), np.full(30, 14))))
+    for size in (1, 9, 1000):
+        batches = [pa.record_batch([pa.array(keys[k:k + size]), pa.array(np.arange(k, min(k + size, len(keys))))], names=["key", "id"]) for k in range(0, len(keys), size)]
+        rows = [r for batch in d._shared(8)(iter(batches)) for r in batch.to_pylist()]
+        assert sorted(r["key"] for r in rows) == [k for k in keys.tolist() if k % 7 == 0]
+        assert {r["key"] for r in rows if r["many"]} == {14} and {r["many"] for r in rows if r["key"] == 14} == {True}
+
+
+@pytest.mark.parametrize("function", ["near_dedup", "near_duplicate_pairs"])
+def test_unlike_sets_of_shared_keys_are_never_written(spark, monkeypatch, function):
+    """Unlike sets that share a key were pairs, or postings of hot keys that went from round to round."""
+    monkeypatch.setattr(d, "COMPARED_PART", 1)
+    monkeypatch.setattr(d, "SHARED", 1)
+    monkeypatch.setattr(d, "set_keys", lambda hashes, *rest: F.array_distinct(F.transform(hashes, lambda h: F.pmod(h, F.lit(20)))))
+    tables, write = {}, d.written
+    monkeypatch.setattr(d, "written", lambda df, name, *more: tables.setdefault(name, []).append(write(df, name, *more)) or tables[name][-1])
+    texts = near_sets(40)
+    kept, match = greedy(list(enumerate(texts)), 85)
+    for hot_limit in (2, 256):
+        tables.clear()
+        out = getattr(d, function)(frame(spark, texts), order_cols=["id"], hot_limit=hot_limit)
+        assert ids(out) == kept if function == "near_dedup" else {r.duplicate: r.kept for r in out.collect()} == match
+        met = tables["dedup-met"][0]
+        assert met.where("key IS NULL").select("a", "b").distinct().count() <= 3 * 8
+        assert met.where("key IS NOT NULL").select("a").distinct().count() <= (3 * 8 if hot_limit == 2 else 0)
+
+
+def test_finer_keys_only_where_a_round_leaves_sets_out(spark):
+    hot = spark.createDataFrame([(1, i) for i in range(10)] + [(2, i) for i in range(4)], "key long, ord long")
+    still = spark.createDataFrame([(0,), (1,), (2,), (20,)], "ord long")
+    assert d._any_beyond(hot, still, 2) and not d._any_beyond(hot, still, 3)
