@@ -546,3 +546,11 @@ def test_finer_keys_only_where_a_round_leaves_sets_out(spark):
     hot = spark.createDataFrame([(1, i) for i in range(10)] + [(2, i) for i in range(4)], "key long, ord long")
     still = spark.createDataFrame([(0,), (1,), (2,), (20,)], "ord long")
     assert d._any_beyond(hot, still, 2) and not d._any_beyond(hot, still, 3)
+
+
+def test_texts_of_pairs_are_split_once(spark):
+    """Rows of sets with copies were found again by splitting all texts a second time."""
+    texts = [words(*range(30)), words(*range(30)), words(*range(29)), words(*range(50, 80))]
+    out = d.near_duplicate_pairs(frame(spark, texts), order_cols=["id"])
+    assert sorted((r.duplicate, r.kept) for r in out.collect()) == [(1, 0), (2, 0)]
+    assert "sha2" not in plan_of(out) and "split" not in plan_of(out)
